@@ -90,26 +90,30 @@ class Transducer:
         return self.pairs[one, two]
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple]:
-        guesses, tail = [], bytes((byte,))
-        for held, last, part in self.states[state]:
+        after, whole, tail, prefixes, ranks = [], None, bytes((byte,)), self.prefixes, self.ranks
+        for held, last, part in self.states[state]:  # by the place where their last token begins, so equal sets have equal order
             part += tail
-            if part in self.prefixes:
-                guesses.append((held, last, part))
-                token = self.ranks.get(part)
-                if token is not None and self.joins(last, token):
-                    guesses.append(((*held, token), token, b""))
-        shared = 0
-        first = guesses[0][0]
-        while all(len(g[0]) > shared and g[0][shared] == first[shared] for g in guesses) and shared < len(first):
-            shared += 1
-        after = tuple(sorted((held[shared:], last, part) for held, last, part in guesses))
-        if after not in self.number:
-            self.number[after] = len(self.states)
-            self.states.append(after)
+            if part in prefixes:
+                after.append((held, last, part))
+                if whole is None and (token := ranks.get(part)) is not None and self.joins(last, token):
+                    whole = (*held, token)  # just one guess can end here
+        sent = ()
+        if not after or after[0][0]:
+            sent = after[0][0] if after else whole
+            for held, _, _ in (*after[1:], (whole, 0, 0)):
+                while held[: len(sent)] != sent:
+                    sent = sent[:-1]
+            after = [(held[len(sent) :], last, part) for held, last, part in after]
+        after.append((whole[len(sent) :], whole[-1], b""))
+        key = tuple(after)
+        number = self.number.get(key)
+        if number is None:
+            number = self.number[key] = len(self.states)
+            self.states.append(key)
             self.moves.append({})
-            self.ends.append(next(held for held, _, part in after if not part))
-        self.moves[state][byte] = self.number[after], first[:shared]
-        return self.moves[state][byte]
+            self.ends.append(key[-1][0])
+        self.moves[state][byte] = number, sent
+        return number, sent
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one match of the pattern."""

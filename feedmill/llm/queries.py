@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from feedmill.llm import neardup_embeddings, simhash
+import public_tokenizers
+
+from feedmill.llm import bpe, langid, neardup_embeddings, quality, simhash, toxicity
+
+#: Rank file and pattern that the encoding query takes.
+RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def _read(spark, sf_dir, name):
@@ -17,5 +22,21 @@ def op2_simhash_neardup(spark, sf_dir):
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_simhash_neardup)}
+def op3_toxicity(spark, sf_dir):
+    return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op5_byte_bpe(spark, sf_dir):
+    return bpe.round_trip(_read(spark, sf_dir, "documents"), RANKS, PATTERN)
+
+
+def op9_quality(spark, sf_dir):
+    return quality.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op10_language_id(spark, sf_dir):
+    return langid.language_id(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_simhash_neardup, op3_toxicity, op5_byte_bpe, op9_quality, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
