@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +77,20 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(tops)
 
 
+def in_pieces(dealt: DataFrame, sizes: DataFrame, on: list[str], unit: str, piece: int, broadcast_rows: int = 50_000) -> DataFrame:
+    """dealt with piece, low, high: a group of over two pieces of rows is compared as pairs of its pieces.
+
+    sizes: written table of on and size, the groups to split. A row of such a group goes to each pair (low, high)
+    that holds its own piece (by hash of `unit`); all other rows get piece 0 of the pair (0, 0).
+    """
+    n = sizes.count()
+    if not n:
+        return dealt.withColumns({c: F.lit(0).cast("long") for c in ("piece", "low", "high")})
+    out = dealt.join(F.broadcast(sizes) if n <= broadcast_rows else sizes, on, "left").withColumn("pieces", F.ceil(F.coalesce("size", F.lit(1)) / piece).cast("long"))
+    out = out.withColumn("piece", F.pmod(F.xxhash64(unit), "pieces")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    return out.withColumn("low", F.least("piece", "other")).withColumn("high", F.greatest("piece", "other")).drop("size", "pieces", "other")
+
+
 def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """For each of n nodes the least node that the links i-j reach, by label passing with pointer jumps."""
     label = np.arange(n)
@@ -105,16 +118,3 @@ def ascii_words(text: str | None) -> list[bytes]:
 def bucket_of(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n: the folds that the contracts name."""
     return F.crc32(doc_id.cast("string")) % n
-
-
-def table(batches, schema: pa.Schema) -> pa.Table:
-    """All Arrow batches of a task as one table, empty too."""
-    return pa.Table.from_batches(list(batches), schema=schema) if not isinstance(batches, list) else pa.Table.from_batches(batches, schema=schema)
-
-
-def long_binary(values: np.ndarray) -> pa.Array:
-    """Rows of a 2-d numeric array as one binary value each."""
-    width = values.shape[1] * values.itemsize
-    flat = np.ascontiguousarray(values)
-    offsets = np.arange(len(flat) + 1, dtype=np.int64) * width
-    return pa.Array.from_buffers(pa.large_binary(), len(flat), [None, pa.py_buffer(offsets), pa.py_buffer(flat.tobytes())]).cast(pa.binary())

@@ -1,7 +1,5 @@
 """Language ID of code-switched text: a linear-chain conditional random field over words."""
 
-from __future__ import annotations
-
 import pickle
 import re
 import zlib
@@ -9,8 +7,9 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedmill.llm.common import bucket_of
@@ -181,6 +180,20 @@ def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, rows: int = SAMPLE_R
     return Field(*pickle.loads(made["model"])) if made else Field([], {}, np.zeros((BUCKETS, 0)), np.zeros((0, 0)))
 
 
+def language_column(field: Field, spark: SparkSession):
+    """A function of a text column that gives (lang_pred, score)."""
+    shared = spark.sparkContext.broadcast((field.names, field.lexicons, field.weights, field.moves))
+
+    @F.pandas_udf("lang_pred string, score double")
+    def language(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = Field(*shared.value)
+        for part in texts:
+            found = [x for at in range(0, len(part), 1024) for x in own.document(list(part.iloc[at : at + 1024]))]
+            yield pd.DataFrame({"lang_pred": pd.Series([a for a, _ in found], dtype=str), "score": pd.Series([b for _, b in found], dtype=float)})
+
+    return language
+
+
 def identified(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, lang_pred, score of every row from its whole text. Null texts and texts without letters are und with score 0. Rows are independent; other columns are ignored."""
     shared = docs.sparkSession.sparkContext.broadcast((field.names, field.lexicons, field.weights, field.moves))

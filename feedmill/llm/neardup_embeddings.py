@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedmill.llm.common import components, local_roots, long_binary, written
+from feedmill.llm.common import components, in_pieces, local_roots, written
 
 #: Vectors that one bucket holds on average, whatever their number: key bits grow with its logarithm.
 BUCKET = 256
@@ -21,8 +21,6 @@ RECALL = 0.99
 DEVIATIONS = 4.0
 #: Rows of a bucket that one task compares with one another; a larger bucket is dealt as pairs of pieces.
 PIECE = 1024
-#: Rows of a table of hot buckets up to which it may be broadcast.
-HOT_ROWS = 50_000
 
 
 def rotations(dim: int, number: int, seed: int = 7) -> np.ndarray:
@@ -170,13 +168,7 @@ def _links(unique: DataFrame, dim: int, n: int, threshold: float) -> DataFrame:
     keyed = written(unique.where(F.col("dim") == dim).select("uid", "copies", "vec").mapInArrow(_bucketed(coder), "uid long, copies long, vec binary, keys array<long>"), "codes")
     dealt = keyed.select("uid", "copies", "vec", F.posexplode("keys").alias("tab", "bucket"))
     hot = written(keyed.select(F.posexplode("keys").alias("tab", "bucket")).groupBy("tab", "bucket").agg(F.count("*").alias("size")).where(F.col("size") > 2 * PIECE), "hot")
-    n_hot = hot.count()
-    if n_hot:
-        dealt = dealt.join(F.broadcast(hot) if n_hot <= HOT_ROWS else hot, ["tab", "bucket"], "left").withColumn("pieces", F.ceil(F.coalesce("size", F.lit(1)) / PIECE).cast("long"))
-        dealt = dealt.withColumn("piece", F.pmod(F.xxhash64("uid"), "pieces")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
-        dealt = dealt.withColumn("low", F.least("piece", "other")).withColumn("high", F.greatest("piece", "other"))
-    else:
-        dealt = dealt.withColumns({c: F.lit(0).cast("long") for c in ("piece", "low", "high")})
+    dealt = in_pieces(dealt, hot, ["tab", "bucket"], "uid", PIECE)
     dealt = dealt.select("uid", "copies", "tab", "bucket", "piece", "low", "high", "vec").repartition("tab", "bucket", "low", "high")
     return dealt.mapInArrow(_compared(coder, threshold), "uid long, n long, root long")
 

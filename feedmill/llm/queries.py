@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from feedmill.llm import bpe, langid, neardup_embeddings, quality, simhash, toxicity
+from feedmill.llm import bpe, chat, decontaminate, langid, licenses, neardup_embeddings, quality, simhash, toxicity, warc
 
 #: Rank file and pattern that the encoding query takes.
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -26,10 +26,26 @@ def op3_toxicity(spark, sf_dir):
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op4_license_scan(spark, sf_dir):
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark, sf_dir):
     return bpe.round_trip(_read(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
+def op6_decontaminate(spark, sf_dir):
+    return decontaminate.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op7_chat(spark, sf_dir):
+    return chat.canonical(_read(spark, sf_dir, "conversations"))
+
+
+def op8_warc(spark, sf_dir):
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark, sf_dir):
     return quality.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -38,5 +54,6 @@ def op10_language_id(spark, sf_dir):
     return langid.language_id(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_simhash_neardup, op3_toxicity, op5_byte_bpe, op9_quality, op10_language_id)}
+_ALL = (op1_embedding_neardup, op2_simhash_neardup, op3_toxicity, op4_license_scan, op5_byte_bpe, op6_decontaminate, op7_chat, op8_warc, op9_quality, op10_language_id)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -11,11 +12,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedmill.llm.common import ascii_words, components, local_roots, written
+from feedmill.llm.common import ascii_words, components, in_pieces, local_roots, written
 
 SEED = 42
 #: Fingerprints under one lowest node of the index, and children under each node above.
 LEAF, FANOUT = 8, 8
+#: For similar_groups: lanes of 64 bits, documents of a bucket on average, share of pairs at the least similarity that meet.
+LANES, BUCKET, RECALL = 4, 64, 0.95
+#: Nearest pairs that a document keeps of a bucket, rows of a bucket that one task compares, ids that may be broadcast (8 bytes each).
+NEIGHBOURS, PIECE, BROADCAST_IDS = 4, 4096, 500_000
 #: Rows of the frontier (query x node) that a search holds at once.
 FRONTIER = 2_000_000
 
@@ -81,7 +86,7 @@ def gray_rank(fps: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Fingerprints in Gray order under a tree whose nodes hold the bits that all below them share.
+    """Fingerprints (rows of 64-bit lanes) in Gray order under a tree whose nodes hold the bits that all below them share.
 
     A node keeps only the shared bits that its parent does not hold yet (mask) and their values (pattern),
     so the differences from root to leaf add up to the Hamming distance; a group is left as soon as the sum
@@ -89,10 +94,10 @@ class GrayIndex:
     """
 
     def __init__(self, fps: np.ndarray):
-        self.order = np.argsort(gray_rank(fps), kind="stable")
+        fps = fps.reshape(len(fps), -1)
+        self.order = np.argsort(gray_rank(fps[:, 0]), kind="stable")
         self.fps = fps[self.order]
-        full = np.uint64(2**64 - 1)
-        levels = [(self.fps, np.full(len(fps), full))]
+        levels = [(self.fps, np.full_like(self.fps, 2**64 - 1))]
         width = LEAF
         while len(levels[-1][0]) > 1:
             value, mask = levels[-1]
@@ -104,13 +109,13 @@ class GrayIndex:
         self.levels = []
         for depth, (value, mask) in enumerate(levels):
             if depth + 1 < len(levels):
-                above = np.repeat(levels[depth + 1][1], LEAF if depth == 0 else FANOUT)[: len(value)]
-                mask = mask & ~above
+                mask = mask & ~np.repeat(levels[depth + 1][1], LEAF if depth == 0 else FANOUT, axis=0)[: len(value)]
             self.levels.append((value & mask, mask))
 
-    def pairs(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Positions (i, j) of the original array, each pair within the radius once, in bounded pieces."""
-        stack = [(len(self.levels) - 1, np.arange(len(self.fps)), np.zeros(len(self.fps), np.int64), np.zeros(len(self.fps), np.uint8))] if len(self.fps) > 1 else []
+    def pairs(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Positions (i, j) of the original array and distances, each pair within the radius once, in bounded pieces."""
+        n = len(self.fps)
+        stack = [(len(self.levels) - 1, np.arange(n - 1), np.zeros(n - 1, np.int64), np.zeros(n - 1, np.int64))] if n > 1 else []
         while stack:
             depth, query, node, far = stack.pop()
             if len(query) > FRONTIER // FANOUT and len(query) > 1:
@@ -118,13 +123,13 @@ class GrayIndex:
                 stack += [(depth, query[half:], node[half:], far[half:]), (depth, query[:half], node[:half], far[:half])]
                 continue
             pattern, mask = self.levels[depth]
-            far = far + np.bitwise_count((self.fps[query] ^ pattern[node]) & mask[node])
+            far = far + np.bitwise_count((self.fps[query] ^ pattern[node]) & mask[node]).sum(axis=1, dtype=np.int64)
             keep = far <= radius
             query, node, far = query[keep], node[keep], far[keep]
             if not len(query):
                 continue
             if depth == 0:
-                yield self.order[query], self.order[node]
+                yield self.order[query], self.order[node], far
                 continue
             width = LEAF if depth == 1 else FANOUT
             below = len(self.levels[depth - 1][0])
@@ -144,7 +149,7 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         return
     once = np.unique(ids, return_index=True)[1]  # a row comes once for each table
     ids, fps = ids[once], fps[once]  # ascending, so the least position is the least id
-    found = [(i[i != j], j[i != j]) for i, j in GrayIndex(fps).pairs(radius)]
+    found = [(i, j) for i, j, _ in GrayIndex(fps).pairs(radius)]
     if found:
         i, j = (np.concatenate(x) for x in zip(*found, strict=True))
         root = local_roots(len(ids), i, j)
@@ -180,3 +185,118 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     found = components(links(reps.where("rep is not null"), radius))
     named = reps.join(found, reps.rep == found.id, "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _nearest(n: int, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Places of the pairs to keep: each item's NEIGHBOURS nearest and a minimum spanning forest, at most linear in n."""
+    rank = np.argsort(far, kind="stable")
+    keep = np.zeros(len(far), bool)
+    for side in (i[rank], j[rank]):
+        order = np.argsort(side, kind="stable")
+        starts = np.searchsorted(side[order], side[order])
+        keep[rank[order[np.arange(len(order)) - starts < NEIGHBOURS]]] = True
+    label = np.arange(n)
+    for level in np.unique(far):
+        left = np.flatnonzero(far == level)
+        while len(left):
+            a, b = label[i[left]], label[j[left]]
+            left, a, b = left[a != b], np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+            if len(left):
+                first = np.unique(b, return_index=True)[1]  # an edge for each upper component
+                keep[left[first]] = True
+                label = local_roots(n, np.concatenate((np.arange(n), a[first])), np.concatenate((label, b[first])))
+    return np.flatnonzero(keep)
+
+
+def _alike(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of one task, bucket by bucket, each with its distance."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    whole = pa.Table.from_batches(got)
+    ids, piece, low, high, bucket = (whole[c].to_numpy() for c in ("rep", "piece", "low", "high", "bucket"))
+    fps = np.frombuffer(b"".join(whole["fp"].to_pylist()), np.uint64).reshape(len(ids), -1)
+    order = np.lexsort((ids, high, low, bucket))
+    named = np.stack([x[order] for x in (bucket, low, high)])
+    starts = np.flatnonzero(np.concatenate(([True], (named[:, 1:] != named[:, :-1]).any(axis=0))))
+    out = []
+    for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
+        at = order[a:b]
+        if len(at) < 2:
+            continue
+        found = list(GrayIndex(fps[at]).pairs(radius))
+        if not found:
+            continue
+        i, j, far = (np.concatenate(x) for x in zip(*found, strict=True))
+        if low[at[0]] != high[at[0]]:
+            across = piece[at[i]] != piece[at[j]]
+            i, j, far = i[across], j[across], far[across]
+        best = _nearest(len(at), i, j, far)
+        out.append((ids[at[i[best]]], ids[at[j[best]]], far[best]))
+    if out:
+        i, j, far = (np.concatenate(x) for x in zip(*out, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array(far.astype(np.int32))], ["u", "v", "far"])
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id of every row with an id: groups linked by word shingles of that Jaccard similarity or more.
+
+    Fingerprints of LANES x 64 bits. At the least similarity two of them differ in a share of bits near
+    acos(2s / (1 + s)) / pi, with the deviation of as many coin throws; the radius lies three above.
+    As a pigeonhole over so many bits would name everything, documents meet in tables of sampled bits
+    (RECALL of the pairs exactly at the similarity, nearly all closer ones), whose buckets a Gray-order index
+    searches. Of what it finds each document keeps its nearest and a spanning forest. Pairs that are
+    clearly above by their distance link; the rest link if their shingle sets, compared exactly, are similar.
+
+    Null and empty texts are one group. Equal fingerprints are one vertex, so copies cost one row each.
+    Repeated rows of an id repeat; rows without an id are left out. Other columns are ignored.
+    """
+    bits = 64 * LANES
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    spread = math.sqrt(bits * share * (1 - share))
+    radius, sure = math.ceil(bits * share + 3 * spread), math.floor(bits * share - 5 * spread)
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.array(wide_fingerprint(shingle_hashes(t.as_py(), shingle), LANES), np.uint64).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "fp"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    fps = written(own.mapInArrow(prints, "doc_id long, fp binary"), "wide")
+    reps = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "wide-reps")
+    width = max(4, round(math.log2(max(2, reps.count()) / BUCKET)))
+    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - share) ** width))
+    chosen = np.stack([np.random.default_rng([3, t]).choice(bits, min(width, 48), replace=False) for t in range(tables)])
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                key = np.unpackbits(raw, axis=1)[:, chosen].astype(np.int64) @ (1 << np.arange(chosen.shape[1], dtype=np.int64)) | np.arange(tables, dtype=np.int64) << 48
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1, dtype=np.int32) * tables), pa.array(key.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat], ["rep", "fp", "keys"])
+
+    keyed = written(reps.select("rep", "fp").mapInArrow(keys, "rep long, fp binary, keys array<long>"), "wide-keys")
+    dealt = keyed.select("rep", "fp", F.explode("keys").alias("bucket"))
+    hot = written(dealt.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > 2 * PIECE), "wide-hot")
+    dealt = in_pieces(dealt, hot, ["bucket"], "rep", PIECE).select("rep", "fp", "bucket", "piece", "low", "high").repartition("bucket", "low", "high")
+    pairs = written(dealt.mapInArrow(lambda b: _alike(b, radius), "u long, v long, far int").distinct(), "wide-pairs")
+    doubt = pairs.where(F.col("far") > sure)
+    ids = written(doubt.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "wide-ids")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "hashes"])
+
+    few = ids.count() <= BROADCAST_IDS
+    texts = own.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    held = written(texts.mapInArrow(sets, "id long, hashes array<long>").dropDuplicates(["id"]), "wide-sets")
+    both = doubt.join(held.select(F.col("id").alias("u"), F.col("hashes").alias("a")), "u").join(held.select(F.col("id").alias("v"), F.col("hashes").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    linked = pairs.where(F.col("far") <= sure).select("u", "v").unionByName(both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v"))
+    found = components(linked)
+    named = reps.join(found, reps.rep == found.id, "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    return fps.join(named, "fp").select("doc_id", "component_id")

@@ -1,13 +1,12 @@
 """Toxic passages: maximum-scoring segments of token log-odds, with extreme-value calibration."""
 
-from __future__ import annotations
-
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -160,6 +159,17 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, r
     return model
 
 
+def score_column(model: Model):
+    """A function of a text column that gives its score."""
+
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in texts:
+            yield pd.Series([model.score(tokens(t)) for t in part], dtype=float)
+
+    return score
+
+
 def scored(docs: DataFrame, model: Model, with_passages: bool = False) -> DataFrame:
     """doc_id, score, n_passages of every row, from its whole text; on request the significant passages (word places, score, expected number).
 
