@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from feedmill.llm import bpe, chat, decontaminate, langid, licenses, neardup_embeddings, quality, simhash, toxicity, warc
 
@@ -35,7 +36,8 @@ def op5_byte_bpe(spark, sf_dir):
 
 
 def op6_decontaminate(spark, sf_dir):
-    return decontaminate.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    found = decontaminate.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_words", F.round("similarity", 6).alias("similarity"))
 
 
 def op7_chat(spark, sf_dir):
@@ -56,4 +58,36 @@ def op10_language_id(spark, sf_dir):
 
 _ALL = (op1_embedding_neardup, op2_simhash_neardup, op3_toxicity, op4_license_scan, op5_byte_bpe, op6_decontaminate, op7_chat, op8_warc, op9_quality, op10_language_id)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    # Every pair of vectors, then everything in reach.
+    "op1_embedding_neardup": """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+good AS (SELECT * FROM ok WHERE n > 0),
+pairs AS (SELECT a.vec_id AS u, b.vec_id AS v FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+reach AS (SELECT vec_id AS u, vec_id AS v FROM v UNION SELECT r.u, p.v FROM reach r JOIN pairs p ON r.v = p.u),
+comp AS (SELECT u, min(v) AS c FROM reach GROUP BY u), deg AS (SELECT u, count(*) AS n FROM pairs GROUP BY u)
+SELECT v.vec_id, coalesce(d.n, 0) AS n_links, c.c AS component_id, v.vec_id = c.c AS kept FROM v JOIN comp c ON v.vec_id = c.u LEFT JOIN deg d ON v.vec_id = d.u""",
+    # Windows of an item's length where a shared shingle aligns them, compared as multisets of shingles.
+    "op6_decontaminate": r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM documents),
+i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM benchmark),
+ig AS (SELECT item_id, len(ws) AS n, unnest(range(0, len(ws) - 4)) AS p, ws FROM i), ig2 AS (SELECT item_id, n, p, array_to_string(ws[p + 1:p + 5], ' ') AS g FROM ig),
+dg AS (SELECT doc_id, unnest(range(0, len(ws) - 4)) AS p, ws FROM d), dg2 AS (SELECT doc_id, p, len(ws) AS m, array_to_string(ws[p + 1:p + 5], ' ') AS g FROM dg),
+laid AS (SELECT DISTINCT doc_id, n, greatest(0, least(dg2.p - ig2.p, m - n)) AS start FROM dg2 JOIN ig2 ON dg2.g = ig2.g),
+w AS (SELECT laid.*, d.ws[start + 1:start + n] AS ws FROM laid JOIN d USING (doc_id)),
+wu AS (SELECT doc_id, n, start, ws, len(ws) - 4 AS size, unnest(range(0, len(ws) - 4)) AS p FROM w),
+wg AS (SELECT doc_id, n, start, size, array_to_string(ws[p + 1:p + 5], ' ') AS g, count(*) AS k FROM wu GROUP BY ALL),
+ic AS (SELECT item_id, n, n - 4 AS size, g, count(*) AS k FROM ig2 GROUP BY ALL),
+s AS (SELECT doc_id, item_id, wg.start, wg.n, sum(least(wg.k, ic.k)) AS common, any_value(wg.size + ic.size) AS sizes FROM wg JOIN ic ON wg.g = ic.g AND wg.n = ic.n GROUP BY doc_id, item_id, wg.start, wg.n),
+f AS (SELECT doc_id, item_id, start, n, common / (sizes - common) AS similarity FROM s WHERE common / (sizes - common) >= 0.8)
+SELECT doc_id, item_id, start, CAST(n AS BIGINT) AS n_words, round(similarity, 6) AS similarity FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1""",
+    # Texts without tool calls, as those of the tables here; fixtures test the rest.
+    "op7_chat": """
+SELECT conv_id, turn, CAST(0 AS BIGINT) AS part, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, CAST(NULL AS BOOLEAN) AS linked, CAST(NULL AS BOOLEAN) AS valid, turn AS after, CAST(0 AS BIGINT) AS level,
+  '{"content":' || to_json(coalesce(text, '')) || ',"role":' || to_json(coalesce(role, '')) || ',"type":"message"}' AS json FROM conversations""",
+    "op8_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages), t AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, CAST((i // 4) * 5 + 1 AS INTEGER), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM t""",
+}

@@ -18,7 +18,7 @@ SEED = 42
 #: Fingerprints under one lowest node of the index, and children under each node above.
 LEAF, FANOUT = 8, 8
 #: For similar_groups: lanes of 64 bits, documents of a bucket on average, share of pairs at the least similarity that meet.
-LANES, BUCKET, RECALL = 4, 64, 0.95
+LANES, BUCKET, RECALL = 4, 64, 0.99
 #: Nearest pairs that a document keeps of a bucket, rows of a bucket that one task compares, ids that may be broadcast (8 bytes each).
 NEIGHBOURS, PIECE, BROADCAST_IDS = 4, 4096, 500_000
 #: Rows of the frontier (query x node) that a search holds at once.
@@ -244,7 +244,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     Fingerprints of LANES x 64 bits. At the least similarity two of them differ in a share of bits near
     acos(2s / (1 + s)) / pi, with the deviation of as many coin throws; the radius lies three above.
     As a pigeonhole over so many bits would name everything, documents meet in tables of sampled bits
-    (RECALL of the pairs exactly at the similarity, nearly all closer ones), whose buckets a Gray-order index
+    (RECALL of the pairs exactly at the similarity, nearly all closer ones, all of few documents), whose buckets a Gray-order index
     searches. Of what it finds each document keeps its nearest and a spanning forest. Pairs that are
     clearly above by their distance link; the rest link if their shingle sets, compared exactly, are similar.
 
@@ -264,8 +264,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     fps = written(own.mapInArrow(prints, "doc_id long, fp binary"), "wide")
     reps = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "wide-reps")
-    width = max(4, round(math.log2(max(2, reps.count()) / BUCKET)))
-    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - share) ** width))
+    width = max(0, round(math.log2(max(1, reps.count()) / BUCKET)))
+    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - share) ** width)) if width else 1  # few documents all meet
     chosen = np.stack([np.random.default_rng([3, t]).choice(bits, min(width, 48), replace=False) for t in range(tables)])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
