@@ -91,7 +91,7 @@ def title_key(text: Column, size: int = 16) -> Column:
 
 def split_clauses(text: Column) -> Column:
     """Clauses between punctuation, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[.,;:!?\n，。；：！？、]+"), F.trim), lambda c: c != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[.,;:!?\n，。；：！？、]+"), lambda c: F.trim(c)), lambda c: c != "")
 
 
 def scrub_sentences(text: Column, banned: str) -> Column:
