@@ -76,7 +76,7 @@ def normal_published(text: Column, offset: str = "+08:00") -> Column:
     """A time text as a timestamp: one without an offset gets the report's; what is no time is null."""
     t = F.replace(F.trim(text), F.lit(" "), F.lit("T"))
     naive = t.rlike(r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?$")
-    full = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(t, F.lit("T00:00:00"))).otherwise(t)
+    full = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(t, F.lit("T00:00:00"))).when(t.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}$"), F.concat(t, F.lit(":00"))).otherwise(t)
     return F.try_to_timestamp(F.when(naive, F.concat(full, F.lit(offset))).otherwise(t))
 
 
