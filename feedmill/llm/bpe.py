@@ -13,8 +13,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries that a worker keeps of each cache before it starts anew; results don't depend on it.
-CACHE = 300_000
+#: Pieces, pairs of tokens and states that a worker keeps, about 100 MB each at most, before it starts pieces and pairs
+#: anew; and moves to states beyond those kept after which it starts the states anew. Results don't depend on it.
+PIECES, PAIRS, STATES, MISSED = 200_000, 200_000, 60_000, 5_000_000
+#: Rows of a batch whose ids a worker holds at once.
+ROWS = 256
 #: Letters of texts that the standard library's regex splits as the Unicode one does, only faster.
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PLAIN = re.compile(f"[\\x00-\\x1b\\x20-\\x7f{_LATIN}]*")
@@ -55,6 +58,7 @@ class Transducer:
         self.number = {self.states[0]: 0}
         self.moves: list[dict[int, tuple[int, tuple]]] = [{}]
         self.ends: list[tuple] = [()]
+        self.missed = 0
 
     def _spine(self, token: int) -> tuple[list, list]:
         """Parts of a token at its left and right edge, outermost last, each with the rank of the part that takes it up."""
@@ -84,7 +88,7 @@ class Transducer:
             right = self._spine(one)[1] if one >= 0 else []
             left = self._spine(two)[0]
             fit = bool(left) and not any((r := self.ranks.get(a + b)) is not None and r < up_a and r <= up_b for a, up_a in right for b, up_b in left)
-            if len(self.pairs) > 4 * CACHE:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             self.pairs[one, two] = fit
         return self.pairs[one, two]
@@ -108,10 +112,13 @@ class Transducer:
         key = tuple(after)
         number = self.number.get(key)
         if number is None:
-            number = self.number[key] = len(self.states)
+            number = len(self.states)
             self.states.append(key)
             self.moves.append({})
             self.ends.append(key[-1][0])
+            if number >= STATES:  # it goes when the piece ends
+                return number, sent
+            self.number[key] = number
         self.moves[state][byte] = number, sent
         return number, sent
 
@@ -120,7 +127,7 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        if len(self.states) > CACHE:
+        if self.missed > MISSED:
             self.clear()
         state, out, moves = 0, [], self.moves
         for byte in piece:
@@ -128,6 +135,9 @@ class Transducer:
             if sent:
                 out += sent
         out += self.ends[state]
+        if (extra := len(moves) - STATES) > 0:
+            self.missed += extra
+            del self.states[STATES:], moves[STATES:], self.ends[STATES:]
         return tuple(out)
 
 
@@ -181,7 +191,7 @@ class Codec:
         self.known: dict[str, tuple[int, ...]] = {}
 
     def _piece(self, piece: str) -> tuple[int, ...]:
-        if len(self.known) > CACHE:
+        if len(self.known) > PIECES:
             self.known.clear()
         ids = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
         if len(piece) < 64:
@@ -225,7 +235,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value, pattern)
         names = [str(i) for i in range(max(own.transducer.bytes) + 1)]
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             counts, firsts, seconds, lists = [], [], [], []
             for value in batch.column(1):
                 ids = own.encode(value.as_py() or "")

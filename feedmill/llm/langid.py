@@ -22,8 +22,8 @@ RUN = 24
 #: Words of each language's lexicon, buckets of hashed features, features of a word at most.
 LEXICON, BUCKETS, MOST = 300, 1 << 16, 32
 EPOCHS, RATE, RIDGE = 14, 0.15, 1e-3
-#: Words x languages that a forward-backward pass over padded texts holds at once, and word scores that a worker keeps.
-CELLS, CACHE = 1_000_000, 300_000
+#: Words x languages that a forward-backward pass over padded texts holds at once, texts split into words at once, and words whose scores a worker keeps.
+CELLS, ROWS, CACHE = 1_000_000, 512, 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -87,26 +87,35 @@ class Field:
 
     def __init__(self, names: list[str], lexicons: dict[str, tuple[int, ...]], weights: np.ndarray, moves: np.ndarray):
         self.names, self.lexicons, self.weights, self.moves = names, lexicons, weights, moves
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, int] = {}  # place of each word's scores in the table
+        self.table = np.empty((1024, len(names)), np.float32)
 
-    def _score(self, word: str) -> np.ndarray:
+    def _place(self, word: str) -> int:
+        at = self.known[word] = len(self.known)
+        if at == len(self.table):
+            self.table = np.concatenate((self.table, np.empty_like(self.table)))
+        self.table[at] = self.weights[features(word, self.lexicons)].sum(axis=0)
+        return at
+
+    def _scores(self, words: list[str]) -> np.ndarray:
         if len(self.known) > CACHE:
             self.known.clear()
-        self.known[word] = self.weights[features(word, self.lexicons)].sum(axis=0)
-        return self.known[word]
+        get, make = self.known.get, self._place
+        places = [at if (at := get(w)) is not None else make(w) for w in words]
+        return self.table[places]
 
     def label(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Marginals (words x languages) of each text, texts of like length together."""
         out: list[np.ndarray] = [np.empty((0, len(self.names)))] * len(texts)
         order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: -len(texts[i]))
-        get, make, kinds = self.known.get, self._score, len(self.names)
+        kinds = len(self.names)
         while order:
             steps = len(texts[order[0]])
             group = order[: max(1, CELLS // (steps * kinds))]
             order = order[len(group) :]
             scores = np.zeros((len(group), steps, kinds))
             for row, i in enumerate(group):
-                scores[row, : len(texts[i])] = [s if (s := get(w)) is not None else make(w) for w in texts[i]]
+                scores[row, : len(texts[i])] = self._scores(texts[i])
             each = marginals(scores, self.moves, np.array([len(texts[i]) for i in group]))[0]
             for row, i in enumerate(group):
                 out[i] = each[row, : len(texts[i])]
@@ -188,7 +197,7 @@ def language_column(field: Field, spark: SparkSession):
     def language(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = Field(*shared.value)
         for part in texts:
-            found = [x for at in range(0, len(part), 1024) for x in own.document(list(part.iloc[at : at + 1024]))]
+            found = [x for at in range(0, len(part), ROWS) for x in own.document(list(part.iloc[at : at + ROWS]))]
             yield pd.DataFrame({"lang_pred": pd.Series([a for a, _ in found], dtype=str), "score": pd.Series([b for _, b in found], dtype=float)})
 
     return language
@@ -201,8 +210,8 @@ def identified(docs: DataFrame, field: Field) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Field(*shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 found = own.document(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 

@@ -32,7 +32,8 @@ def test_encoding_matches_the_library(codec):
 
 
 def test_caches_start_anew_without_a_change(codec, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE", 20)
+    for name in ("PIECES", "PAIRS", "STATES", "MISSED"):
+        monkeypatch.setattr(bpe, name, 20)
     own, library = codec
     for n in range(200):
         text = f"unusual{n}words andpieces{n * 7}"
