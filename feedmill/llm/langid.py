@@ -4,7 +4,8 @@ import pickle
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -19,8 +20,9 @@ from feedmill.llm.training import sample_by_class
 SAMPLE_ROWS, LANGUAGES = 300, 64
 #: Words of one language in a training sequence; two such runs of any two languages make one sequence.
 RUN = 24
-#: Words of each language's lexicon, buckets of hashed features, features of a word at most.
-LEXICON, BUCKETS, MOST = 300, 1 << 16, 32
+#: Words of each language's lexicon, and bits of a hashed feature's bucket.
+LEXICON, BUCKET_BITS = 300, 16
+BUCKETS = 1 << BUCKET_BITS
 EPOCHS, RATE, RIDGE = 14, 0.15, 1e-3
 #: Words x languages that a forward-backward pass over padded texts holds at once, texts split into words at once, and words whose scores a worker keeps.
 CELLS, ROWS, CACHE = 1_000_000, 512, 200_000
@@ -32,18 +34,41 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def features(word: str, lexicons: dict[str, tuple[int, ...]]) -> list[int]:
-    """Affixes, character n-grams, and the lexicons that hold the word; a bucket each."""
-    names = [f"<{word[:n]}" for n in (1, 2, 3) if n < len(word)] + [f"{word[-n:]}>" for n in (1, 2, 3) if n < len(word)]
-    marked = f"^{word}$"
-    names += [marked[i : i + n] for n in (2, 3) for i in range(len(marked) - n + 1)]
-    names = list(dict.fromkeys(names))[: MOST - 4]
-    names += [f"lexicon {i}" for i in lexicons.get(word, ())[:3]]
-    names.append(f"word {word}" if word in lexicons else "no lexicon")
-    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) % BUCKETS for n in names]
-
-
-def marginals(scores: np.ndarray, moves: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _bucket(kind: int, *signs: np.ndarray) -> np.ndarray:
+    """Bucket of up to three code points each, for one kind of feature."""
+    x = np.full(len(signs[0]), 0x9E3779B97F4A7C15 * (kind + 1) & (2**64 - 1), np.uint64)
+    for i, sign in enumerate(signs):
+        x ^= sign << np.uint64(21 * i)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def features(words: list[str], lexicons: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of distinct non-empty words: buckets of their affixes, character n-grams and the lexicons that hold them; the word of each bucket."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    sign = np.frombuffer(f"^{'$^'.join(words)}$".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    starts = np.cumsum(sizes + 2) - sizes - 2
+    owner = np.repeat(np.arange(len(words)), sizes + 2)
+    inside = owner[:-1] == owner[1:]
+    both = inside[:-1] & inside[1:]
+    found = [(_bucket(0, sign[:-1][inside], sign[1:][inside]), owner[:-1][inside]), (_bucket(1, sign[:-2][both], sign[1:-1][both], sign[2:][both]), owner[:-2][both])]
+    for n in (1, 2, 3):
+        long = np.flatnonzero(sizes > n)
+        first, last = starts[long] + 1, starts[long] + sizes[long]
+        found.append((_bucket(1 + n, *(sign[first + i] for i in range(n))), long))
+        found.append((_bucket(4 + n, *(sign[last - i] for i in range(n))), long))
+    known = [(i, w) for i, w in enumerate(words) if w in lexicons]
+    listed = [(k, i) for i, w in known for k in lexicons[w]]
+    found.append((_bucket(8, np.array([k for k, _ in listed], np.uint64)), np.array([i for _, i in listed], np.int64)))
+    found.append((np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % (1 << BUCKET_BITS) for _, w in known], np.int64), np.array([i for i, _ in known], np.int64)))
+    other = np.ones(len(words), bool)
+    other[[i for i, _ in known]] = False
+    other = np.flatnonzero(other)
+    found.append((_bucket(9, np.zeros(len(other), np.uint64)), other))
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
+def marginals(scores: np.ndarray, moves: np.ndarray, lengths: np.ndarray, with_pairs: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward-backward over padded sequences: word marginals (B x T x K), summed pair marginals (K x K), and a factor per step.
 
     scores: word scores (logarithms), moves: transition scores. Both passes are rescaled at each word.
@@ -72,7 +97,7 @@ def marginals(scores: np.ndarray, moves: np.ndarray, lengths: np.ndarray) -> tup
     each /= each.sum(axis=2, keepdims=True)
     each *= alive[:, :, None]
     pairs = np.zeros((kinds, kinds))
-    if steps > 1:
+    if steps > 1 and with_pairs:
         left = ahead[:, :-1].reshape(-1, kinds)
         weight = (alive[:, 1:] / scale[:, 1:]).reshape(-1, 1)
         right = (emit[:, 1:] * back[:, 1:]).reshape(-1, kinds) * weight
@@ -90,19 +115,19 @@ class Field:
         self.known: dict[str, int] = {}  # place of each word's scores in the table
         self.table = np.empty((1024, len(names)), np.float32)
 
-    def _place(self, word: str) -> int:
-        at = self.known[word] = len(self.known)
-        if at == len(self.table):
-            self.table = np.concatenate((self.table, np.empty_like(self.table)))
-        self.table[at] = self.weights[features(word, self.lexicons)].sum(axis=0)
-        return at
-
-    def _scores(self, words: list[str]) -> np.ndarray:
+    def _meet(self, words: Iterable[str]) -> None:
+        """Scores of the words in the table; those of words not met before are added up together."""
         if len(self.known) > CACHE:
             self.known.clear()
-        get, make = self.known.get, self._place
-        places = [at if (at := get(w)) is not None else make(w) for w in words]
-        return self.table[places]
+        known, start = self.known, len(self.known)
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        if new:
+            column, row = features(new, self.lexicons)
+            known.update(zip(new, range(start, start + len(new)), strict=True))
+            while len(known) > len(self.table):
+                self.table = np.concatenate((self.table, np.empty_like(self.table)))
+            for k in range(len(self.names)):
+                self.table[start : start + len(new), k] = np.bincount(row, self.weights[column, k], len(new))
 
     def label(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Marginals (words x languages) of each text, texts of like length together."""
@@ -113,10 +138,12 @@ class Field:
             steps = len(texts[order[0]])
             group = order[: max(1, CELLS // (steps * kinds))]
             order = order[len(group) :]
+            self._meet(chain.from_iterable(texts[i] for i in group))
+            known = self.known
             scores = np.zeros((len(group), steps, kinds))
             for row, i in enumerate(group):
-                scores[row, : len(texts[i])] = self._scores(texts[i])
-            each = marginals(scores, self.moves, np.array([len(texts[i]) for i in group]))[0]
+                scores[row, : len(texts[i])] = self.table[[known[w] for w in texts[i]]]
+            each = marginals(scores, self.moves, np.array([len(texts[i]) for i in group]), with_pairs=False)[0]
             for row, i in enumerate(group):
                 out[i] = each[row, : len(texts[i])]
         return out
@@ -145,9 +172,8 @@ def _fitted(texts: list[tuple[list[str], int]], names: list[str]) -> tuple:
         for word, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
             lexicons[word] = (*lexicons.get(word, ()), k)
     number = {w: i for i, w in enumerate(sorted({w for words, _ in texts for w in words}))}
-    held = [features(w, lexicons) for w in number]
-    sizes = np.array([len(f) for f in held])
-    column, row = np.concatenate([np.array(f) for f in held]), np.repeat(np.arange(len(held)), sizes)
+    held = len(number)
+    column, row = features(list(number), lexicons)
     runs = [([number[w] for w in words[i : i + RUN]], k) for words, k in texts for i in range(0, len(words), RUN)]
     rng = np.random.default_rng(5)
     order = rng.permutation(len(runs))
@@ -165,12 +191,12 @@ def _fitted(texts: list[tuple[list[str], int]], names: list[str]) -> tuple:
     for _ in range(EPOCHS):
         for at in range(0, len(runs), batch * 8):
             part = slice(at, at + batch * 8)
-            table = np.stack([np.bincount(row, weights[column, k], len(held)) for k in range(kinds)], axis=1)
+            table = np.stack([np.bincount(row, weights[column, k], held) for k in range(kinds)], axis=1)
             each, pairs, alive = marginals(table[ids[part]], moves, lengths[part])
             target = (gold[part][:, :, None] == np.arange(kinds)) * 1.0
             diff = (target - each)[alive]
             words = ids[part][alive]
-            word_grad = np.stack([np.bincount(words, diff[:, k], len(held)) for k in range(kinds)], axis=1)
+            word_grad = np.stack([np.bincount(words, diff[:, k], held) for k in range(kinds)], axis=1)
             grad = np.stack([np.bincount(column, word_grad[row, k], BUCKETS) for k in range(kinds)], axis=1) / len(words) - RIDGE * weights / len(runs)
             both = alive[:, 1:]
             joint = np.zeros_like(moves)
