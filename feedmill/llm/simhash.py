@@ -208,8 +208,12 @@ def _nearest(n: int, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> np.ndarra
     return np.flatnonzero(keep)
 
 
-def _alike(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of one task, bucket by bucket, each with its distance."""
+def _alike(batches: Iterator[pa.RecordBatch], radius: int, sure: int) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of one task, found bucket by bucket, each with its distance.
+
+    Pairs of `sure` or less bits link whatever else is near, so a spanning forest of them is enough: each row
+    once with the least id that it reaches in this task. Other pairs count only between parts that those leave apart.
+    """
     got = [b for b in batches if b.num_rows]
     if not got:
         return
@@ -219,7 +223,7 @@ def _alike(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
     order = np.lexsort((ids, high, low, bucket))
     named = np.stack([x[order] for x in (bucket, low, high)])
     starts = np.flatnonzero(np.concatenate(([True], (named[:, 1:] != named[:, :-1]).any(axis=0))))
-    out = []
+    out, forest = [], []
     for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
         at = order[a:b]
         if len(at) < 2:
@@ -231,11 +235,26 @@ def _alike(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         if low[at[0]] != high[at[0]]:
             across = piece[at[i]] != piece[at[j]]
             i, j, far = i[across], j[across], far[across]
+        near = far <= sure
+        root = local_roots(len(at), i[near], j[near])
+        bound = np.flatnonzero(root != np.arange(len(at)))
+        forest.append((ids[at[bound]], ids[at[root[bound]]]))
+        apart = root[i] != root[j]
+        i, j, far = i[apart], j[apart], far[apart]
         best = _nearest(len(at), i, j, far)
         out.append((ids[at[i[best]]], ids[at[j[best]]], far[best]))
-    if out:
-        i, j, far = (np.concatenate(x) for x in zip(*out, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array(far.astype(np.int32))], ["u", "v", "far"])
+    if not out:
+        return
+    i, j, far = (np.concatenate(x) for x in zip(*out, strict=True))
+    a, b = (np.concatenate(x) for x in zip(*forest, strict=True))
+    names, place = np.unique(np.concatenate((a, b, i, j)), return_inverse=True)
+    root = local_roots(len(names), place[: len(a)], place[len(a) : 2 * len(a)])
+    bound = np.flatnonzero(root != np.arange(len(names)))
+    i, j = place[2 * len(a) : 2 * len(a) + len(i)], place[2 * len(a) + len(i) :]
+    pairs = np.stack((np.minimum(i, j), np.maximum(i, j), far))[:, root[i] != root[j]]
+    i, j, far = np.unique(pairs, axis=1)  # a pair may share several buckets
+    u, v = np.concatenate((names[root[bound]], names[i])), np.concatenate((names[bound], names[j]))
+    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.concatenate((np.full(len(bound), sure), far)).astype(np.int32))], ["u", "v", "far"])
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -245,8 +264,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     acos(2s / (1 + s)) / pi, with the deviation of as many coin throws; the radius lies three above.
     As a pigeonhole over so many bits would name everything, documents meet in tables of sampled bits
     (RECALL of the pairs exactly at the similarity, nearly all closer ones, all of few documents), whose buckets a Gray-order index
-    searches. Of what it finds each document keeps its nearest and a spanning forest. Pairs that are
-    clearly above by their distance link; the rest link if their shingle sets, compared exactly, are similar.
+    searches. Pairs that are clearly above by their distance link, and a spanning forest stands for them. Of the
+    other pairs between what those leave apart, each document keeps its nearest and a spanning forest; they link if
+    their shingle sets, compared exactly, are similar.
 
     Null and empty texts are one group. Equal fingerprints are one vertex, so copies cost one row each.
     Repeated rows of an id repeat; rows without an id are left out. Other columns are ignored.
@@ -280,7 +300,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     dealt = keyed.select("rep", "fp", F.explode("keys").alias("bucket"))
     hot = written(dealt.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > 2 * PIECE), "wide-hot")
     dealt = in_pieces(dealt, hot, ["bucket"], "rep", PIECE).select("rep", "fp", "bucket", "piece", "low", "high").repartition("bucket", "low", "high")
-    pairs = written(dealt.mapInArrow(lambda b: _alike(b, radius), "u long, v long, far int").distinct(), "wide-pairs")
+    pairs = written(dealt.mapInArrow(lambda b: _alike(b, radius, sure), "u long, v long, far int").distinct(), "wide-pairs")
     doubt = pairs.where(F.col("far") > sure)
     ids = written(doubt.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "wide-ids")
 
