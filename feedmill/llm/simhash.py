@@ -1,7 +1,8 @@
-"""SimHash near-duplicates over a Gray-order hierarchical index."""
+"""SimHash near-duplicates over a Gray-order hierarchical index, and exact groups of similar shingle sets."""
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from itertools import combinations
@@ -9,6 +10,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +19,10 @@ from feedmill.llm.common import ascii_words, components, in_pieces, local_roots,
 SEED = 42
 #: Fingerprints under one lowest node of the index, and children under each node above.
 LEAF, FANOUT = 8, 8
-#: For similar_groups: lanes of 64 bits, documents of a bucket on average, share of pairs at the least similarity that meet.
-LANES, BUCKET, RECALL = 4, 64, 0.99
-#: Nearest pairs that a document keeps of a bucket, rows of a bucket that one task compares, ids that may be broadcast (8 bytes each).
-NEIGHBOURS, PIECE, BROADCAST_IDS = 4, 4096, 500_000
+#: For similar_groups: candidates of a document compared at once, rows of a group that one task compares, ids that may be broadcast (8 bytes each).
+BUCKET, PIECE, BROADCAST_IDS = 64, 4096, 500_000
+#: Shingles that a task counts, that a task deals at once, and that count as one row of a group.
+COUNTED, DEALT, ROW = 1 << 18, 1 << 19, 512
 #: Rows of the frontier (query x node) that a search holds at once.
 FRONTIER = 2_000_000
 
@@ -53,19 +55,6 @@ def fingerprint(hashes: np.ndarray) -> int:
     return _majority(hashes) if len(hashes) else 0
 
 
-def _mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
-    """Another 64 well-mixed bits from each hash."""
-    x = hashes + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & (2**64 - 1))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def wide_fingerprint(hashes: np.ndarray, lanes: int) -> list[int]:
-    """A fingerprint of 64 x lanes bits: lane 0 is fingerprint(), the others use remixed hashes."""
-    return [fingerprint(hashes), *(fingerprint(_mixed(hashes, lane)) for lane in range(1, lanes))]
-
-
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) of every row; a null text counts as empty."""
 
@@ -187,136 +176,192 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _nearest(n: int, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> np.ndarray:
-    """Places of the pairs to keep: each item's NEIGHBOURS nearest and a minimum spanning forest, at most linear in n."""
-    rank = np.argsort(far, kind="stable")
-    keep = np.zeros(len(far), bool)
-    for side in (i[rank], j[rank]):
-        order = np.argsort(side, kind="stable")
-        starts = np.searchsorted(side[order], side[order])
-        keep[rank[order[np.arange(len(order)) - starts < NEIGHBOURS]]] = True
-    label = np.arange(n)
-    for level in np.unique(far):
-        left = np.flatnonzero(far == level)
-        while len(left):
-            a, b = label[i[left]], label[j[left]]
-            left, a, b = left[a != b], np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
-            if len(left):
-                first = np.unique(b, return_index=True)[1]  # an edge for each upper component
-                keep[left[first]] = True
-                label = local_roots(n, np.concatenate((np.arange(n), a[first])), np.concatenate((label, b[first])))
-    return np.flatnonzero(keep)
-
-
-def _alike(batches: Iterator[pa.RecordBatch], radius: int, sure: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of one task, found bucket by bucket, each with its distance.
-
-    Pairs of `sure` or less bits link whatever else is near, so a spanning forest of them is enough: each row
-    once with the least id that it reaches in this task. Other pairs count only between parts that those leave apart.
+def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """uid (of the row), doc_id, digest, size, hashes (ascending, 8 bytes each) of the set of shingles of each (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in part.column(1)]
+                raw = [x.tobytes() for x in found]
+                digest = [hashlib.blake2b(x, digest_size=16).digest() for x in raw]
+                sizes = pa.array([len(x) for x in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(raw))), part.column(0), pa.array(digest, pa.binary()), sizes, pa.array(raw, pa.binary())], ["uid", "doc_id", "digest", "size", "hashes"])
+                uid += len(raw)
+
+    return docs.mapInArrow(run, "uid long, doc_id long, digest binary, size long, hashes binary")
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Shingles (low 32 bits) by the part of the range of hashes that holds them, with runs of their documents' uid and size."""
+
+    def deal(uids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        flat, sizes = np.concatenate(sets), np.fromiter(map(len, sets), np.int64, len(sets))
+        part = ((flat >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint16 if parts <= 65536 else np.uint32)
+        order = np.argsort(part, kind="stable")
+        part, low, doc = part[order], flat[order].astype(np.uint32), np.repeat(np.arange(len(sets)), sizes)[order]
+        named, starts = np.unique(part, return_index=True)
+        columns = [[], [], [], []]
+        for a, b in zip(starts, [*starts[1:], len(part)], strict=True):
+            first = np.flatnonzero(np.concatenate(([True], doc[a + 1 : b] != doc[a : b - 1])))
+            own = doc[a:b][first]
+            for column, x in zip(columns, (np.array(uids)[own], sizes[own].astype(np.int32), np.diff(np.append(first, b - a)).astype(np.int32), low[a:b]), strict=True):
+                column.append(x.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(named.astype(np.int64)), *(pa.array(x, pa.binary()) for x in columns)], ["part", "uids", "sizes", "runs", "low"])
+
+    uids, sets, held = [], [], 0
+    for batch in batches:
+        for uid, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            found = np.frombuffer(raw.as_buffer(), np.uint64) if raw.as_buffer().size else np.empty(0, np.uint64)
+            if len(found):
+                uids.append(uid)
+                sets.append(found)
+                held += len(found)
+            if held >= DEALT:
+                yield deal(uids, sets)
+                uids, sets, held = [], [], 0
+    if sets:
+        yield deal(uids, sets)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """uid, size, key, n of each document's shingles whose key several documents (n) have, of the parts of one task."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    whole = pa.Table.from_batches(got)
+    uids, sizes, runs, low = (np.frombuffer(b"".join(whole[c].to_pylist()), t) for c, t in (("uids", np.int64), ("sizes", np.int32), ("runs", np.int32), ("low", np.uint32)))
+    part = np.repeat(whole["part"].to_numpy(), [len(x) // 4 for x in whole["low"].to_pylist()])
+    key = part << 32 | low
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    n = np.diff(np.append(first, len(key)))
+    n = np.repeat(n, n)
+    many = n > 1
+    at = np.repeat(np.arange(len(uids)), runs)[order[many]]
+    key, n = key[many], n[many]
+    for a in range(0, len(at), 65536):
+        b = slice(a, a + 65536)
+        yield pa.RecordBatch.from_arrays([pa.array(uids[at[b]]), pa.array(sizes[at[b]].astype(np.int64)), pa.array(key[b]), pa.array(n[b])], ["uid", "size", "key", "n"])
+
+
+def _prefix_length(size: np.ndarray, similarity: float) -> np.ndarray:
+    """So many first shingles, in any one order of all, hold a common one of any two similar sets."""
+    return size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """uid, key of the rarest shingles of each document; those that no other has come first and are not named."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    whole = pa.Table.from_batches(got)
+    uid, size, key, n = (whole[c].to_numpy() for c in ("uid", "size", "key", "n"))
+    order = np.lexsort((key, n, uid))
+    uid, size, key = uid[order], size[order], key[order]
+    first = np.flatnonzero(np.concatenate(([True], uid[1:] != uid[:-1])))
+    many = np.diff(np.append(first, len(uid)))
+    take = _prefix_length(size[first], similarity) - (size[first] - many)
+    keep = np.arange(len(uid)) - np.repeat(first, many) < np.repeat(take, many)
+    yield pa.RecordBatch.from_arrays([pa.array(uid[keep]), pa.array(key[keep])], ["uid", "key"])
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places starts[0], starts[0] + 1, ... of all ranges of those sizes."""
+    return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+
+
+def similar_forest(sets: list[np.ndarray], side: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
+    """Pairs that link whatever sets (not empty) have that Jaccard similarity or more, each computed exactly, none within what others link.
+
+    side: where given, only pairs of different sides count. Sets that share none of their rarest shingles, by
+    their frequency among these sets, can't be similar. What is already linked needs no further comparison.
     """
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    begin = np.cumsum(size) - size
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    order = np.lexsort((place, count[place], owner))
+    chosen = order[np.arange(len(order)) - np.repeat(begin, size) < np.repeat(_prefix_length(size, similarity), size)]
+    chosen = chosen[count[place[chosen]] > 1]
+    token, doc = place[chosen], owner[chosen]
+    start = np.searchsorted(doc, np.arange(len(sets) + 1))
+    by_token = np.argsort(token, kind="stable")  # documents of a token ascend
+    posts = doc[by_token]
+    lists = np.searchsorted(token[by_token], np.arange(len(count) + 1))
+    marked, label, out = np.zeros(len(count), bool), np.arange(len(sets)), []
+    for x in range(len(sets)):
+        own = token[start[x] : start[x + 1]]
+        rest = np.unique(posts[_spread(lists[own], lists[own + 1] - lists[own])])
+        rest = rest[(rest < x) & (np.minimum(size[rest], size[x]) >= similarity * np.maximum(size[rest], size[x]) - 1e-9)]
+        if side is not None:
+            rest = rest[side[rest] != side[x]]
+        mine = place[begin[x] : begin[x] + size[x]]
+        marked[mine] = True
+        while len(rest):
+            rest = rest[label[rest] != label[x]]
+            now, rest = rest[:BUCKET], rest[BUCKET:]
+            if not len(now):
+                break
+            both = np.add.reduceat(marked[place[_spread(begin[now], size[now])]], np.cumsum(size[now]) - size[now], dtype=np.int64)
+            for y in now[both >= similarity * (size[now] + size[x] - both)].tolist():
+                if label[y] != label[x]:
+                    out.append((x, y))
+                    label[label == max(label[x], label[y])] = min(label[x], label[y])
+        marked[mine] = False
+    return out
+
+
+def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) within the groups of one task, as a forest of each group or pair of its pieces."""
     got = [b for b in batches if b.num_rows]
     if not got:
         return
     whole = pa.Table.from_batches(got)
-    ids, piece, low, high, bucket = (whole[c].to_numpy() for c in ("rep", "piece", "low", "high", "bucket"))
-    fps = np.frombuffer(b"".join(whole["fp"].to_pylist()), np.uint64).reshape(len(ids), -1)
-    order = np.lexsort((ids, high, low, bucket))
+    uid, piece, low, high, bucket = (whole[c].to_numpy() for c in ("uid", "piece", "low", "high", "bucket"))
+    sets = whole["hashes"].to_pylist()
+    order = np.lexsort((uid, high, low, bucket))
     named = np.stack([x[order] for x in (bucket, low, high)])
     starts = np.flatnonzero(np.concatenate(([True], (named[:, 1:] != named[:, :-1]).any(axis=0))))
-    out, forest = [], []
     for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
         at = order[a:b]
-        if len(at) < 2:
-            continue
-        found = list(GrayIndex(fps[at]).pairs(radius))
-        if not found:
-            continue
-        i, j, far = (np.concatenate(x) for x in zip(*found, strict=True))
-        if low[at[0]] != high[at[0]]:
-            across = piece[at[i]] != piece[at[j]]
-            i, j, far = i[across], j[across], far[across]
-        near = far <= sure
-        root = local_roots(len(at), i[near], j[near])
-        bound = np.flatnonzero(root != np.arange(len(at)))
-        forest.append((ids[at[bound]], ids[at[root[bound]]]))
-        apart = root[i] != root[j]
-        i, j, far = i[apart], j[apart], far[apart]
-        best = _nearest(len(at), i, j, far)
-        out.append((ids[at[i[best]]], ids[at[j[best]]], far[best]))
-    if not out:
-        return
-    i, j, far = (np.concatenate(x) for x in zip(*out, strict=True))
-    a, b = (np.concatenate(x) for x in zip(*forest, strict=True))
-    names, place = np.unique(np.concatenate((a, b, i, j)), return_inverse=True)
-    root = local_roots(len(names), place[: len(a)], place[len(a) : 2 * len(a)])
-    bound = np.flatnonzero(root != np.arange(len(names)))
-    i, j = place[2 * len(a) : 2 * len(a) + len(i)], place[2 * len(a) + len(i) :]
-    pairs = np.stack((np.minimum(i, j), np.maximum(i, j), far))[:, root[i] != root[j]]
-    i, j, far = np.unique(pairs, axis=1)  # a pair may share several buckets
-    u, v = np.concatenate((names[root[bound]], names[i])), np.concatenate((names[bound], names[j]))
-    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.concatenate((np.full(len(bound), sure), far)).astype(np.int32))], ["u", "v", "far"])
+        if len(at) > 1:
+            found = similar_forest([np.frombuffer(sets[i], np.uint64) for i in at], piece[at] if low[at[0]] != high[at[0]] else None, similarity)
+            if found:
+                u, v = at[np.array(found)].T
+                yield pa.RecordBatch.from_arrays([pa.array(uid[u]), pa.array(uid[v])], ["u", "v"])
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id of every row with an id: groups linked by word shingles of that Jaccard similarity or more.
 
-    Fingerprints of LANES x 64 bits. At the least similarity two of them differ in a share of bits near
-    acos(2s / (1 + s)) / pi, with the deviation of as many coin throws; the radius lies three above.
-    As a pigeonhole over so many bits would name everything, documents meet in tables of sampled bits
-    (RECALL of the pairs exactly at the similarity, nearly all closer ones, all of few documents), whose buckets a Gray-order index
-    searches. Pairs that are clearly above by their distance link, and a spanning forest stands for them. Of the
-    other pairs between what those leave apart, each document keeps its nearest and a spanning forest; they link if
-    their shingle sets, compared exactly, are similar.
+    Exact at every size: equal sets of shingles are one vertex; shingles are counted over all vertices, and two
+    sets can only be similar if they share one of the rarest of each, so many that no similar pair escapes. What
+    such shared shingles connect is compared in one task, or in pairs of pieces if it is large, set by set; a
+    forest of the similar pairs comes out.
 
-    Null and empty texts are one group. Equal fingerprints are one vertex, so copies cost one row each.
-    Repeated rows of an id repeat; rows without an id are left out. Other columns are ignored.
+    Null and empty texts are one group. Repeated rows of an id repeat; rows without an id are left out.
+    Other columns are ignored.
     """
-    bits = 64 * LANES
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    spread = math.sqrt(bits * share * (1 - share))
-    radius, sure = math.ceil(bits * share + 3 * spread), math.floor(bits * share - 5 * spread)
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [np.array(wide_fingerprint(shingle_hashes(t.as_py(), shingle), LANES), np.uint64).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "fp"])
-
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    fps = written(own.mapInArrow(prints, "doc_id long, fp binary"), "wide")
-    reps = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "wide-reps")
-    width = max(0, round(math.log2(max(1, reps.count()) / BUCKET)))
-    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - share) ** width)) if width else 1  # few documents all meet
-    chosen = np.stack([np.random.default_rng([3, t]).choice(bits, min(width, 48), replace=False) for t in range(tables)])
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                key = np.unpackbits(raw, axis=1)[:, chosen].astype(np.int64) @ (1 << np.arange(chosen.shape[1], dtype=np.int64)) | np.arange(tables, dtype=np.int64) << 48
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1, dtype=np.int32) * tables), pa.array(key.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat], ["rep", "fp", "keys"])
-
-    keyed = written(reps.select("rep", "fp").mapInArrow(keys, "rep long, fp binary, keys array<long>"), "wide-keys")
-    dealt = keyed.select("rep", "fp", F.explode("keys").alias("bucket"))
-    hot = written(dealt.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > 2 * PIECE), "wide-hot")
-    dealt = in_pieces(dealt, hot, ["bucket"], "rep", PIECE).select("rep", "fp", "bucket", "piece", "low", "high").repartition("bucket", "low", "high")
-    pairs = written(dealt.mapInArrow(lambda b: _alike(b, radius, sure), "u long, v long, far int").distinct(), "wide-pairs")
-    doubt = pairs.where(F.col("far") > sure)
-    ids = written(doubt.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "wide-ids")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "hashes"])
-
-    few = ids.count() <= BROADCAST_IDS
-    texts = own.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    held = written(texts.mapInArrow(sets, "id long, hashes array<long>").dropDuplicates(["id"]), "wide-sets")
-    both = doubt.join(held.select(F.col("id").alias("u"), F.col("hashes").alias("a")), "u").join(held.select(F.col("id").alias("v"), F.col("hashes").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    linked = pairs.where(F.col("far") <= sure).select("u", "v").unionByName(both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v"))
-    found = components(linked)
-    named = reps.join(found, reps.rep == found.id, "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "component_id")
+    sets = written(_shingle_sets(own, shingle), "sets")
+    first = written(sets.groupBy("digest").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("rep")), "first")
+    copies = written(sets.select("uid").join(first, "uid", "left_anti"), "copies")
+    once = sets.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "uid", "left_anti")
+    parts = max(1, math.ceil((sets.agg(F.sum("size")).first()[0] or 0) / COUNTED))
+    dealt = once.select("uid", "hashes").mapInArrow(lambda b: _dealt(b, parts), "part long, uids binary, sizes binary, runs binary, low binary")
+    shared = dealt.repartition(parts, "part").mapInArrow(_shared, "uid long, size long, key long, n long")
+    rare = written(shared.repartition(parts, "uid").mapInArrow(lambda b: _prefixes(b, similarity), "uid long, key long"), "rare")
+    lead = rare.groupBy("key").agg(F.min("uid").alias("v"), F.count("*").alias("n")).where("n > 1")
+    near = written(components(rare.join(lead, "key").select(F.col("uid").alias("u"), "v")).select(F.col("id").alias("uid"), F.col("component_id").alias("bucket")), "near")
+    few = near.count() <= BROADCAST_IDS
+    held = once.join(F.broadcast(near) if few else near, "uid").select("uid", "bucket", "size", "hashes")
+    hot = written(held.groupBy("bucket").agg(F.greatest(F.count("*"), F.ceil(F.sum("size") / ROW)).alias("size")).where(F.col("size") > 2 * PIECE), "hot")
+    split = in_pieces(held.drop("size"), hot, ["bucket"], "uid", PIECE).select("uid", "bucket", "piece", "low", "high", "hashes")
+    found = components(split.repartition("bucket", "low", "high").mapInArrow(lambda b: _alike(b, similarity), "u long, v long"))
+    named = written(first.join(found, first.uid == found.id, "left").select("digest", "rep", F.coalesce("component_id", "uid").alias("vertex")), "named")
+    least = named.groupBy("vertex").agg(F.min("rep").alias("component_id"))
+    return sets.select("doc_id", "digest").join(named.join(least, "vertex").select("digest", "component_id"), "digest").select("doc_id", "component_id")

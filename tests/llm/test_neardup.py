@@ -102,6 +102,31 @@ def test_similar_groups_match_brute_force(spark, monkeypatch):
     assert sorted((r.doc_id, r.component_id) for r in out) == sorted((i, want[i]) for i, _ in rows if i is not None)
 
 
+def brute_groups(rows):
+    """component of each id: groups of texts whose sets of five-word shingles are alike by 0.8 or more."""
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    holders = {}
+    for i, found in sets.items():
+        for x in found:
+            holders.setdefault(x, []).append(i)
+    pairs = {(a, b) for ids in holders.values() for k, a in enumerate(ids) for b in ids[k + 1 :]}
+    return brute_components(list(sets), [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+
+
+def groups_of(spark, rows):
+    return {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_similar_groups_measure_sets_of_shingles(spark):
+    rng = random.Random(5)
+    prose = [" ".join(f"{name}{rng.randrange(10**6)}" for _ in range(n)) for name, n in (("a", 60), ("b", 200), ("c", 300), ("d", 300), ("e", 300))]
+    line = "this one line of eleven words stands fifty times in both "
+    rows = [(1, line * 50 + prose[0]), (2, line * 50 + prose[1]), (3, "word " * 1000 + prose[2]), (4, "word " * 1000 + prose[3]), (5, prose[4] + " left" * 900), (6, prose[4] + " right" * 900)]
+    want = {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5}
+    assert brute_groups(rows) == want
+    assert groups_of(spark, rows) == want
+
+
 def test_local_roots():
     assert common.local_roots(6, np.array([5, 3, 4]), np.array([4, 2, 1])).tolist() == [0, 1, 2, 2, 1, 1]
 
