@@ -127,6 +127,20 @@ def test_similar_groups_measure_sets_of_shingles(spark):
     assert groups_of(spark, rows) == want
 
 
+def test_similar_groups_compare_all_of_a_group(spark):
+    rng = random.Random(8)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(90):
+        copy = list(base)
+        for at in rng.sample(range(150), rng.randint(2, 6)):
+            copy[at] = f"edit{i}"
+        rows.append((i, " ".join(copy)))
+    want = brute_groups(rows)
+    assert 20 < len(set(want.values())) < 80
+    assert groups_of(spark, rows) == want
+
+
 def test_local_roots():
     assert common.local_roots(6, np.array([5, 3, 4]), np.array([4, 2, 1])).tolist() == [0, 1, 2, 2, 1, 1]
 
