@@ -141,6 +141,18 @@ def test_similar_groups_compare_all_of_a_group(spark):
     assert groups_of(spark, rows) == want
 
 
+def test_similar_groups_lose_none_of_many_documents(spark):
+    rng = random.Random(9)
+    rows = []
+    for _ in range(900):
+        words = [f"v{rng.randrange(10**6)}" for _ in range(rng.randint(60, 120))]
+        cut = round(len(words) * rng.uniform(0.1, 0.13))
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[:-cut] + [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(0, cut // 2))]))]
+    want = brute_groups(rows)
+    assert 300 < sum(i != c for i, c in want.items())
+    assert groups_of(spark, rows) == want
+
+
 def test_local_roots():
     assert common.local_roots(6, np.array([5, 3, 4]), np.array([4, 2, 1])).tolist() == [0, 1, 2, 2, 1, 1]
 
