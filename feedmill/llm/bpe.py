@@ -13,8 +13,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces, pairs of tokens and states that a worker keeps, about 100 MB each at most, before it starts pieces and pairs
-#: anew; and moves to states beyond those kept after which it starts the states anew. Results don't depend on it.
+from feedmill.llm.common import small_batches
+
+#: Pieces, pairs of tokens (and steps of the decoder) and states that a worker keeps, about 150 MB in all, before it starts
+#: pieces, pairs and steps anew; and states beyond those kept after which it starts the states anew. Results don't depend on it.
 PIECES, PAIRS, STATES, MISSED = 200_000, 200_000, 60_000, 5_000_000
 #: Rows of a batch whose ids a worker holds at once.
 ROWS = 256
@@ -58,7 +60,7 @@ class Transducer:
         self.number = {self.states[0]: 0}
         self.moves: list[dict[int, tuple[int, tuple]]] = [{}]
         self.ends: list[tuple] = [()]
-        self.missed = 0
+        self.spare, self.missed = 0, 0
 
     def _spine(self, token: int) -> tuple[list, list]:
         """Parts of a token at its left and right edge, outermost last, each with the rank of the part that takes it up."""
@@ -90,6 +92,7 @@ class Transducer:
             fit = bool(left) and not any((r := self.ranks.get(a + b)) is not None and r < up_a and r <= up_b for a, up_a in right for b, up_b in left)
             if len(self.pairs) > PAIRS:
                 self.pairs.clear()
+                self.spines.clear()
             self.pairs[one, two] = fit
         return self.pairs[one, two]
 
@@ -112,11 +115,16 @@ class Transducer:
         key = tuple(after)
         number = self.number.get(key)
         if number is None:
+            if len(self.states) >= STATES + 2:  # it takes the place of the last but one such state
+                self.spare, self.missed = 1 - self.spare, self.missed + 1
+                number = len(self.states) - 1 - self.spare
+                self.states[number], self.moves[number], self.ends[number] = key, {}, key[-1][0]
+                return number, sent
             number = len(self.states)
             self.states.append(key)
             self.moves.append({})
             self.ends.append(key[-1][0])
-            if number >= STATES:  # it goes when the piece ends
+            if number >= STATES:
                 return number, sent
             self.number[key] = number
         self.moves[state][byte] = number, sent
@@ -135,9 +143,6 @@ class Transducer:
             if sent:
                 out += sent
         out += self.ends[state]
-        if (extra := len(moves) - STATES) > 0:
-            self.missed += extra
-            del self.states[STATES:], moves[STATES:], self.ends[STATES:]
         return tuple(out)
 
 
@@ -150,6 +155,7 @@ class Utf8Stream:
     def __init__(self, tokens: dict[int, bytes]):
         self.tokens = tokens
         self.steps: dict[bytes, dict[int, tuple[bytes, bytes]]] = {b"": {}}
+        self.kept = 0
 
     @staticmethod
     def _open(raw: bytes) -> int:
@@ -167,6 +173,11 @@ class Utf8Stream:
         raw = held + self.tokens[token]
         left = self._open(raw)
         rest = raw[len(raw) - left :]
+        if self.kept >= PAIRS:
+            self.kept = 0
+            for known in self.steps.values():
+                known.clear()
+        self.kept += 1
         self.steps.setdefault(rest, {})
         self.steps[held][token] = rest, raw[: len(raw) - left]
         return self.steps[held][token]
@@ -228,6 +239,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool =
     repeated rows repeat, other columns are ignored, an empty table gives an empty result. The rank file
     is read once on the driver and goes to the workers with the function, so executors need no copy of it.
     """
+    small_batches(docs.sparkSession)
     with open(ranks_path, "rb") as file:
         raw = file.read()
     shared = docs.sparkSession.sparkContext.broadcast(raw)

@@ -1,80 +1,25 @@
-"""What several operators share: written tables, components, word splitting, Arrow helpers."""
+"""What several operators share: batches, pieces of hot groups, word splitting. Tables and components are those of the core."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIRS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where it is unset (tests, one machine) a temporary folder of this application takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base:
-        return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIRS:
-        _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="feedmill-")
-    return _OWN_DIRS[app]
-
+from feedmill.operators.components import components
+from feedmill.storage import forget, new_path, shared_dir, written
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["ascii_words", "bucket_of", "components", "forget", "in_pieces", "local_roots", "new_path", "shared_dir", "small_batches", "written"]
 
+#: Rows that a Python worker gets at once: with whole texts in them, Spark's 10,000 are tens of MB in the JVM and again in the worker.
+BATCH_ROWS = 1024
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here and the files outlive executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._feedmill_path = path
-    return out
 
-
-def forget(df: DataFrame) -> None:
-    """Deletes the files of a written() table that no later plan reads."""
-    path = getattr(df, "_feedmill_path", None)
-    if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of the undirected edges (u long, v long): rows (id, component_id = least id).
-
-    Alternating large and small stars; each round is written, so no lineage grows. Minima are combined
-    before the shuffle and the joins back are plain equi-joins, which AQE splits for a hub with most edges.
-    Ids without an edge to another id have no row; nulls and loops are skipped.
-    """
-    spark = edges.sparkSession
-    now = written(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = None
-    while True:
-        sign = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if sign[0] == 0 or sign == mark:
-            break
-        mark = sign
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small")
-        forget(now)
-        forget(large)
-        now = after
-    tops = now.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(tops)
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch to BATCH_ROWS if they are more."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def in_pieces(dealt: DataFrame, sizes: DataFrame, on: list[str], unit: str, piece: int, broadcast_rows: int = 50_000) -> DataFrame:
