@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedmill.llm.common import ascii_words, components, in_pieces, local_roots, written
+from feedmill.llm.common import ascii_words, components, in_pieces, local_roots, small_batches, written
 
 SEED = 42
 #: Fingerprints under one lowest node of the index, and children under each node above.
@@ -58,6 +58,8 @@ def fingerprint(hashes: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) of every row; a null text counts as empty."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)), np.uint64, batch.num_rows)
@@ -130,50 +132,58 @@ class GrayIndex:
 
 
 def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Links of one task: a spanning forest of what its index finds, each row to the least id it reaches."""
-    got = list(batches)
-    fps = np.concatenate([b.column(0).to_numpy(zero_copy_only=False) for b in got]).view(np.uint64) if got else np.empty(0, np.uint64)
-    ids = np.concatenate([b.column(1).to_numpy(zero_copy_only=False) for b in got]) if got else np.empty(0, np.int64)
-    if len(fps) < 2:
+    """Links within the groups of one task: a spanning forest of what each group's index finds."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
         return
-    once = np.unique(ids, return_index=True)[1]  # a row comes once for each table
-    ids, fps = ids[once], fps[once]  # ascending, so the least position is the least id
-    found = [(i, j) for i, j, _ in GrayIndex(fps).pairs(radius)]
-    if found:
-        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-        root = local_roots(len(ids), i, j)
-        far = np.flatnonzero(root != np.arange(len(ids)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[root[far]])], ["u", "v"])
+    whole = pa.Table.from_batches(got)
+    fps, key, low, high = (whole[c].to_numpy() for c in ("fp", "key", "low", "high"))
+    order = np.lexsort((fps, high, low, key))
+    named = np.stack([x[order] for x in (key, low, high)])
+    starts = np.flatnonzero(np.concatenate(([True], (named[:, 1:] != named[:, :-1]).any(axis=0))))
+    for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
+        own = fps[order[a:b]]
+        if b - a < 2:
+            continue
+        found = [(i, j) for i, j, _ in GrayIndex(own.view(np.uint64)).pairs(radius)]
+        if found:
+            root = local_roots(len(own), *(np.concatenate(x) for x in zip(*found, strict=True)))
+            far = np.flatnonzero(root != np.arange(len(own)))
+            yield pa.RecordBatch.from_arrays([pa.array(own[far]), pa.array(own[root[far]])], ["u", "v"])
 
 
-def links(reps: DataFrame, radius: int = 2) -> DataFrame:
-    """Edges (u, v) that connect whatever fingerprints (fp, rep) differ in at most radius bits.
+def links(prints: DataFrame, radius: int = 2) -> DataFrame:
+    """Edges (u, v) between distinct fingerprints (fp) that connect whatever differs in at most radius bits.
 
     Pigeonhole routing: the 64 bits fall into radius + 2 blocks, so two fingerprints within the radius agree
-    on 2 blocks at least. Each fingerprint goes once for every pair of blocks to the task that its values there
-    name, and the task's Gray-order index finds all links among what it got. Exact at every size.
+    on 2 blocks at least. Each fingerprint goes once for every pair of blocks to the group that its values there
+    name, and the group's Gray-order index finds all links among what it got. A group of over two pieces is
+    searched as pairs of its pieces. Exact at every size.
     """
     n = radius + 2
     cuts = [64 * k // n for k in range(n + 1)]
     part = [F.expr(f"(shiftrightunsigned(fp, {a}) & {2 ** (b - a) - 1}L)") for a, b in zip(cuts, cuts[1:], strict=False)]
     keys = [F.xxhash64(F.lit(f"{a},{b}"), part[a], part[b]) for a, b in combinations(range(n), 2)]
-    dealt = reps.select("fp", "rep", F.explode(F.array(*keys)).alias("key"))
-    return dealt.repartition("key").select("fp", "rep").mapInArrow(lambda batches: _links(batches, radius), "u long, v long")
+    dealt = prints.select("fp", F.explode(F.array(*keys)).alias("key"))
+    hot = written(dealt.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > 2 * PIECE), "hot")
+    split = in_pieces(dealt, hot, ["key"], "fp", PIECE).select("fp", "key", "low", "high")
+    return split.repartition("key", "low", "high").mapInArrow(lambda batches: _links(batches, radius), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable by links of <= radius bits).
 
-    Null and empty texts have fingerprint zero and link like any other. Equal fingerprints are one vertex of
-    the link graph, so a group of copies costs one row however large it is. Repeated rows come out as often as
-    they came in; a row without doc_id takes the component of its fingerprint (null if all such rows lack ids).
-    Other columns are ignored. An empty table gives an empty result.
+    Null and empty texts have fingerprint zero and link like any other. Fingerprints are the vertices of the
+    link graph, so a group of copies costs one row however large it is. Repeated rows come out as often as
+    they came in; rows without doc_id link and bridge like others, and get a null component if nothing that
+    they reach has an id. Other columns are ignored. An empty table gives an empty result.
     """
     fps = written(fingerprints(docs, shingle), "fps")
     reps = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    found = components(links(reps.where("rep is not null"), radius))
-    named = reps.join(found, reps.rep == found.id, "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = components(links(reps.select("fp"), radius))
+    named = written(reps.join(found, reps.fp == found.id, "left").select("fp", "rep", F.coalesce("component_id", "fp").alias("vertex")), "named")
+    least = named.groupBy("vertex").agg(F.min("rep").alias("component_id"))
+    return fps.join(named.join(least, "vertex").select("fp", "component_id"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -346,6 +356,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     Null and empty texts are one group. Repeated rows of an id repeat; rows without an id are left out.
     Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     sets = written(_shingle_sets(own, shingle), "sets")
     first = written(sets.groupBy("digest").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("rep")), "first")

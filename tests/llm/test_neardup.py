@@ -209,3 +209,29 @@ def test_estimates_are_unbiased_and_bounds_hold():
     assert abs((guess - true).mean()) < 0.01
     near = true >= 0.9
     assert near.sum() > 500 and (guess[near] >= 0.9 - neardup_embeddings.margin(factor[near], dim, 0.9)).mean() > 0.999
+
+
+def test_rows_without_an_id_bridge_others(spark):
+    base = [0xFFFF_0000_1234_5678, 0xFFFF_0000_1234_567B, 0xFFFF_0000_1234_5677 ^ 0x3F000000]
+    chain = [base[0], base[0] ^ 0b11, base[0] ^ 0b1111, base[0] ^ 0b111111]
+    edges = {tuple(r) for r in simhash.links(spark.createDataFrame([(x - 2**64,) for x in chain], "fp long")).collect()}
+    assert len(edges) == 3
+    words = " ".join(f"w{i}" for i in range(400))
+    rows = [(5, words), (None, words), (9, words)]
+    out = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.component_id for r in out] == [5, 5, 5]
+
+
+def test_hot_groups_are_searched_in_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    low = rng.integers(0, 1 << 32, 300, dtype=np.uint64)
+    low = np.unique(np.concatenate([low, low[:60] ^ np.uint64(1), low[60:90] ^ np.uint64(6)])).astype(np.int64)
+    frame = spark.createDataFrame([(int(x),) for x in low], "fp long")
+    far = np.bitwise_count((low[:, None] ^ low[None, :]).view(np.uint64))
+    monkeypatch.setattr(simhash, "PIECE", 40)
+    edges = [tuple(r) for r in simhash.links(frame).collect()]
+    place = {int(x): i for i, x in enumerate(low)}
+    i, j = np.nonzero((far <= 2) & (far > 0))
+    want = common.local_roots(len(low), i, j)
+    got = common.local_roots(len(low), np.array([place[u] for u, _ in edges]), np.array([place[v] for _, v in edges]))
+    assert (want == got).all()
