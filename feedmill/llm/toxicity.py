@@ -16,13 +16,9 @@ from feedmill.llm.training import labelled_sample
 
 #: Labelled rows that the log-odds and the calibration are fitted on.
 SAMPLE_ROWS = 20_000
-#: Tokens that the model keeps at most, those of the surest log-odds; the others score as ordinary words.
-MODEL_TOKENS = 50_000
-#: Weight of the Dirichlet prior as a share of the counted tokens, and the deviations by which a log-odds must exceed zero.
-PRIOR, SURE = 0.1, 4.0
-#: Least log-odds of a token that scores.
-LEAST_ODDS = 1.0
-#: What an ordinary word costs a segment; a passage goes on over 1/DRIFT such words for each unit of score.
+#: Weight of the Dirichlet prior as a share of the counted tokens, and the deviations by which a log-odds must differ from zero to count; it is drawn one toward zero.
+PRIOR, SURE = 0.1, 3.0
+#: What every word costs a segment beside its log-odds, so that chance has no drift upward.
 DRIFT = 0.2
 #: Expected number of such segments in an ordinary text of equal length, below which a passage is significant.
 SIGNIFICANT = 0.05
@@ -34,18 +30,19 @@ def tokens(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def segments(hits: list[tuple[int, float]]) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (first place, last place, score), in one pass.
+def segments(scores: list[float]) -> list[tuple[int, int, float]]:
+    """All maximal-scoring segments (first place, last place, score) of the tokens' scores, in one pass.
 
-    hits: places and scores of the scoring tokens; every token between costs DRIFT. Each candidate keeps the
-    sums before and after it; a new one joins back to the last candidate with a smaller sum before, as long
-    as that one's sum after is smaller than the new one's.
+    Each candidate keeps the sums before and after it; a new one joins back to the last candidate with a smaller
+    sum before, as long as that one's sum after is smaller than the new one's.
     """
     kept: list[list] = []  # first, last, sum before, sum after, index of the last candidate with a smaller sum before
-    total, last = 0.0, -1
-    for place, score in hits:
-        total -= DRIFT * (place - last - 1)
-        before, total, last = total, total + score, place
+    total = 0.0
+    for place, score in enumerate(scores):
+        if score <= 0:
+            total += score
+            continue
+        before, total = total, total + score
         new = [place, place, before, total, len(kept) - 1]
         while True:
             at = new[4]
@@ -61,7 +58,7 @@ def segments(hits: list[tuple[int, float]]) -> list[tuple[int, int, float]]:
 
 
 class Model:
-    """Log-odds of tokens, the constants of the extreme-value law, and the weights of the calibration."""
+    """Scores of the tokens whose log-odds surely differ from zero (all others cost DRIFT), the constants of the extreme-value law, and the weights of the calibration."""
 
     def __init__(self, odds: dict[str, float], decay: float = 1.0, size: float = 1.0, weights: tuple[float, float] = (-9.0, 0.0)):
         self.odds, self.decay, self.size, self.weights = odds, decay, size, weights
@@ -69,9 +66,9 @@ class Model:
     def passages(self, words: list[str]) -> list[tuple[int, int, float, float]]:
         """(first word, last word, score, logarithm of the number expected by chance) of every maximal segment."""
         get = self.odds.get
-        hits = [(i, s) for i, s in enumerate(map(get, words)) if s is not None]
-        base = math.log(self.size * len(words)) if hits else 0.0
-        return [(a, b, s, base - self.decay * s) for a, b, s in segments(hits)]
+        found = segments([get(w, -DRIFT) for w in words]) if self.odds else []
+        base = math.log(self.size * len(words)) if found else 0.0
+        return [(a, b, s, base - self.decay * s) for a, b, s in found]
 
     def evidence(self, words: list[str]) -> float:
         """Sum of -ln(expected number) over the significant passages."""
@@ -132,11 +129,10 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, r
     one, zero = F.col("toxic") + prior, F.col("clean") + prior
     all_prior = PRIOR * (clean + toxic)
     odds = F.log(one / (toxic + all_prior - one)) - F.log(zero / (clean + all_prior - zero))
-    sure = counts.select("token", odds.alias("odds"), F.sqrt(1 / one + 1 / zero).alias("far"), (zero / (clean + all_prior)).alias("share"))
-    sure = sure.where((F.col("odds") > SURE * F.col("far")) & (F.col("odds") > LEAST_ODDS)).orderBy(F.desc(F.col("odds") / F.col("far")), "token").limit(MODEL_TOKENS)
-    kept = sure.collect()  # at most MODEL_TOKENS rows
-    scores = np.array([r["odds"] - r["far"] for r in kept])
-    model = Model({r["token"]: float(s) for r, s in zip(kept, scores, strict=True)}, _decay(scores, np.array([r["share"] for r in kept])))
+    far = F.sqrt(1 / one + 1 / zero)
+    drawn = F.signum("odds") * (F.abs("odds") - F.col("far"))
+    kept = counts.select("token", odds.alias("odds"), far.alias("far"), (zero / (clean + all_prior)).alias("share")).where(F.abs("odds") > SURE * F.col("far")).select("token", (drawn - DRIFT).alias("score"), "share").collect()  # tokens of the bounded sample
+    model = Model({r["token"]: r["score"] for r in kept}, _decay(np.array([r["score"] for r in kept]), np.array([r["share"] for r in kept])))
 
     def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
