@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedmill.llm.common import written
 
-#: Schemas of the tools' arguments that the query knows: JSON Schema objects with type, properties and required.
+#: Schemas of the tools' arguments that the query knows; callers give their own to canonical().
 TOOLS = {
-    "search": {"type": "object", "properties": {"query": {"type": "string"}, "limit": {"type": "integer"}}, "required": ["query"]},
+    "search": {"type": "object", "properties": {"query": {"type": "string"}, "limit": {"type": "integer", "minimum": 1}, "order": {"type": "string", "enum": ["date", "rank"]}}, "required": ["query"], "additionalProperties": False},
     "calculate": {"type": "object", "properties": {"expression": {"type": "string"}, "precision": {"type": "integer"}}, "required": ["expression"]},
-    "fetch": {"type": "object", "properties": {"url": {"type": "string"}, "headers": {"type": "object"}}, "required": ["url"]},
+    "fetch": {"type": "object", "properties": {"url": {"type": "string"}, "headers": {"type": "object"}, "retries": {"type": "array", "items": {"type": "number"}}}, "required": ["url"]},
 }
 _KINDS = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|DECIMAL.*", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*", "null": "VOID"}
 _CALLS = "struct<content:string,tool_calls:array<struct<id:string,name:string,arguments:string,function:struct<name:string,arguments:string>>>>"
@@ -21,21 +22,49 @@ _CALLS = "struct<content:string,tool_calls:array<struct<id:string,name:string,ar
 REFERENCE = "$call:"
 
 
+def fits(value: Column, schema: dict) -> Column:
+    """Whether a variant satisfies a JSON Schema: type, enum, properties, required, additionalProperties (false), items, minimum, maximum, minLength, maxLength.
+
+    The schema is unrolled, so the expression is as deep as the schema. A property that is absent or null counts as missing,
+    unless its schema names null.
+    """
+    kind = F.schema_of_variant(value)
+    out = F.lit(True)
+    if names := schema.get("type"):
+        out &= kind.rlike("^(" + "|".join(_KINDS[k] for k in (names if isinstance(names, list) else [names])) + ")$")
+    if "enum" in schema:
+        out &= F.to_json(value).isin([json.dumps(x, separators=(",", ":"), sort_keys=True, ensure_ascii=False) for x in schema["enum"]])
+    number, text = F.try_variant_get(value, "$", "double"), F.try_variant_get(value, "$", "string")
+    if "minimum" in schema:
+        out &= ~kind.rlike(_KINDS["number"]) | (number >= schema["minimum"])
+    if "maximum" in schema:
+        out &= ~kind.rlike(_KINDS["number"]) | (number <= schema["maximum"])
+    if "minLength" in schema:
+        out &= (kind != "STRING") | (F.length(text) >= schema["minLength"])
+    if "maxLength" in schema:
+        out &= (kind != "STRING") | (F.length(text) <= schema["maxLength"])
+    is_object = kind.startswith("OBJECT")
+    for prop, rule in schema.get("properties", {}).items():
+        own = F.try_variant_get(value, "$[" + json.dumps(prop) + "]", "variant")
+        out &= ~is_object | own.isNull() | F.coalesce(F.is_variant_null(own), F.lit(False)) & F.lit("null" not in rule.get("type", "null")) | F.coalesce(fits(own, rule), F.lit(False))
+    for prop in schema.get("required", []):
+        own = F.try_variant_get(value, "$[" + json.dumps(prop) + "]", "variant")
+        null_fits = "null" in (schema.get("properties", {}).get(prop, {}).get("type") or [])
+        out &= ~is_object | own.isNotNull() & (F.lit(null_fits) | ~F.coalesce(F.is_variant_null(own), F.lit(False)))
+    if schema.get("additionalProperties") is False:
+        keys = F.json_object_keys(F.to_json(value))
+        out &= ~is_object | (F.size(F.array_except(keys, F.array(*map(F.lit, schema.get("properties", {}))).cast("array<string>"))) == 0)
+    if "items" in schema:
+        items = F.try_variant_get(value, "$", "array<variant>")
+        out &= ~kind.startswith("ARRAY") | F.coalesce(F.forall(items, lambda x: F.coalesce(fits(x, schema["items"]), F.lit(False))), F.lit(False))
+    return out
+
+
 def valid_arguments(name: Column, arguments: Column, tools: dict[str, dict]) -> Column:
-    """Whether a variant satisfies its tool's schema: an object with all required properties, each of its type; unknown tools fail."""
+    """Whether a variant satisfies its tool's schema (see fits) and is an object; unknown tools fail."""
     out = F.lit(False)
     for tool, schema in tools.items():
-        fit = F.schema_of_variant(arguments).startswith("OBJECT")
-        for prop, rule in schema.get("properties", {}).items():
-            path = "$[" + json.dumps(prop) + "]"
-            value = F.try_variant_get(arguments, path, "variant")
-            kinds = rule.get("type")
-            if kinds:
-                kinds = kinds if isinstance(kinds, list) else [kinds]
-                fit &= value.isNull() | F.schema_of_variant(value).rlike("^(" + "|".join(_KINDS[k] for k in kinds) + ")$")
-        for prop in schema.get("required", []):
-            fit &= F.try_variant_get(arguments, "$[" + json.dumps(prop) + "]", "variant").isNotNull()
-        out = F.when(name == tool, fit).otherwise(out)
+        out = F.when(name == tool, F.schema_of_variant(arguments).startswith("OBJECT") & fits(arguments, schema)).otherwise(out)
     return F.coalesce(out, F.lit(False))
 
 
@@ -61,24 +90,26 @@ def _levels(calls: DataFrame, results: DataFrame) -> DataFrame:
     A call stands after the answers of those that its arguments refer to; what refers to itself over others is cyclic. Each
     round settles the calls of which all that they refer to is settled, so rounds are as many as the longest chain.
     """
-    own = calls.groupBy("conv_id", "call_id").agg(F.min("turn").alias("after"), F.first("body").alias("body"))
+    own = calls.groupBy("conv_id", "call_id").agg(F.min("turn").alias("after"), F.min_by("body", F.struct("turn", "part", "body")).alias("body"))
     own = written(own.join(results.groupBy("conv_id", "call_id").agg(F.min("turn").alias("answer")), ["conv_id", "call_id"], "left"), "calls")
     out = own.select("conv_id", "call_id", "after", F.lit(0).alias("level"), F.greatest("after", "answer").alias("then"))
     uses = own.select("conv_id", "call_id", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r'"\$call:([^"]+)"'), F.lit(1)))).alias("used"))
     uses = written(uses.join(own.select("conv_id", F.col("call_id").alias("used")), ["conv_id", "used"], "left_semi"), "uses")
     if uses.isEmpty():
         return out.withColumn("cyclic", F.lit(False))
-    needs = uses.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"))
-    done = written(out.join(needs, ["conv_id", "call_id"], "left_anti"), "settled")
+    new = written(out.join(uses.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti"), "settled")
+    settled, given, open_uses = [new], [], uses
     while True:
-        ready = uses.join(done.select("conv_id", F.col("call_id").alias("used"), "then", "level"), ["conv_id", "used"])
-        ready = ready.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.max("then").alias("then"), F.max("level").alias("level"))
-        ready = ready.join(needs, ["conv_id", "call_id", "n"], "left_semi").join(done, ["conv_id", "call_id"], "left_anti").join(own, ["conv_id", "call_id"])
+        given.append(written(open_uses.join(new.select("conv_id", F.col("call_id").alias("used"), "then", "level"), ["conv_id", "used"]), "given"))
+        open_uses = written(open_uses.join(new.select("conv_id", F.col("call_id").alias("used")), ["conv_id", "used"], "left_anti"), "open")
+        ready = given[-1].select("conv_id", "call_id").distinct().join(open_uses.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti")
+        told = reduce(DataFrame.unionByName, given).join(ready, ["conv_id", "call_id"], "left_semi").groupBy("conv_id", "call_id").agg(F.max("then").alias("then"), F.max("level").alias("level"))
         after = F.greatest("after", "then")
-        new = written(ready.select("conv_id", "call_id", after.alias("after"), (F.col("level") + 1).alias("level"), F.greatest(after, "answer").alias("then")), "ready")
+        new = written(told.join(own, ["conv_id", "call_id"]).select("conv_id", "call_id", after.alias("after"), (F.col("level") + 1).alias("level"), F.greatest(after, "answer").alias("then")), "settled")
         if new.isEmpty():
             break
-        done = written(done.unionByName(new), "settled")
+        settled.append(new)
+    done = reduce(DataFrame.unionByName, settled)
     rest = out.join(done, ["conv_id", "call_id"], "left_anti").withColumn("cyclic", F.lit(True))
     return done.withColumn("cyclic", F.lit(False)).unionByName(rest)
 
