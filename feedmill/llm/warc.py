@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 
 from feedmill.llm.common import new_path, written
 
-#: Records of one archive file; a reader's task holds one file at a time.
-RECORDS_PER_FILE = 5_000
+#: Bytes of one archive file at most, but for a single larger record: a reader's task holds one file at a time.
+FILE_BYTES = 64 << 20
+#: Payload bytes that bound the classes of pages which go to files of their own, so that as many records as fit are known.
+CLASSES = (1 << 14, 1 << 17, 1 << 20, 1 << 23)
+#: Bytes that a record may have beside payload and target.
+HEAD_BYTES = 1 << 10
 #: Digests of repeated payloads up to which their table may be broadcast (under 100 bytes each).
 BROADCAST_ROWS = 100_000
 PREFIX = "urn:feedmill:page:"
@@ -70,8 +74,23 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Archive files of whole records under path, in any store that Spark writes to."""
-    records(pages, least_bytes).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    """Archive files of whole records under path, in any store that Spark writes to, each of FILE_BYTES at most.
+
+    Records are dealt by size into classes, and a file takes as many as fit if all were of the class's bound;
+    beyond the last class each record has a file of its own. Only classes that occur are written.
+    """
+    made = records(pages, least_bytes).withColumn("bytes", F.octet_length("record"))
+    bounds = [bound + HEAD_BYTES for bound in CLASSES]
+    kind = F.lit(len(bounds))
+    for k in reversed(range(len(bounds))):
+        kind = F.when(F.col("bytes") <= bounds[k], k).otherwise(kind)
+    sizes = pages.select((F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0)) + F.coalesce(F.octet_length(F.col("url").cast("string")), F.lit(0)) + 2 * HEAD_BYTES).alias("most"))
+    largest = sizes.agg(F.max("most")).first()[0] or 0
+    for k in range(len(bounds) + 1):
+        if k and largest <= bounds[k - 1]:
+            break
+        most = max(1, FILE_BYTES // (bounds[k] + 4)) if k < len(bounds) else 1
+        made.where(kind == k).select("record").write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", most).text(path)
 
 
 def _record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
@@ -81,14 +100,7 @@ def _record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     end = data.find(b"\r\n\r\n", found.end() - 2)
     if end < 0:
         raise ValueError("headers without end")
-    head = {}
-    for line in data[found.end() : end].decode("utf-8", "replace").split("\r\n"):
-        name, colon, value = line.partition(":")
-        if not colon:
-            raise ValueError("header without colon")
-        if name.strip().lower() in head:
-            raise ValueError("header stands twice")
-        head[name.strip().lower()] = value.strip()
+    head = _headers(data[found.end() : end].decode("utf-8", "replace"))
     if not head.get("content-length", "").isdigit():
         raise ValueError("no content length")
     start = end + 4
@@ -104,6 +116,24 @@ def _record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return head, block, stop + 4
 
 
+def _headers(raw: str) -> dict[str, str]:
+    """Fields by lower-case name: folded lines belong to the field before, values of a repeated field stand in lines, but a length or type must not repeat."""
+    head: dict[str, str] = {}
+    name = ""
+    for line in raw.split("\r\n"):
+        if line[:1] in (" ", "\t") and name:
+            head[name] = f"{head[name]} {line.strip()}".strip()
+            continue
+        name, colon, value = line.partition(":")
+        name = name.strip().lower()
+        if not colon or not name:
+            raise ValueError("header without name")
+        if name in head and name in ("content-length", "warc-type", "warc-record-id"):
+            raise ValueError("header stands twice")
+        head[name] = f"{head[name]}\n{value.strip()}" if name in head else value.strip()
+    return head
+
+
 def payload(head: dict[str, str], block: bytes) -> bytes:
     """The block without its HTTP headers."""
     if head.get("content-type", "").startswith("application/http"):
@@ -134,17 +164,26 @@ def _plain(data: bytes, base: int = 0) -> Iterator[tuple]:
             at = where
 
 
+def _inflated(view: memoryview, at: int) -> tuple[bytes, int]:
+    """Content and length of the gzip member at a place, which is fed in growing parts so that what follows is not copied."""
+    engine, parts, part, end = zlib.decompressobj(31), [], 1 << 14, at
+    while not engine.eof and end < len(view):
+        parts.append(engine.decompress(view[end : end + part]))
+        end = min(len(view), end + part)
+        part = min(2 * part, 1 << 20)
+    if not engine.eof:
+        raise ValueError("gzip member is cut short")
+    return b"".join(parts), end - len(engine.unused_data) - at
+
+
 def _members(data: bytes) -> Iterator[tuple]:
     """Gzip members one after the other; offsets are those of the members."""
-    at, lost, why = 0, None, ""
+    at, lost, why, view = 0, None, "", memoryview(data)
     while at < len(data):
         try:
             if data[at : at + 3] != _MEMBER:
                 raise ValueError("no gzip member")
-            engine = zlib.decompressobj(31)
-            raw = engine.decompress(data[at:])
-            if not engine.eof:
-                raise ValueError("gzip member is cut short")
+            raw, size = _inflated(view, at)
             if not _VERSION.match(raw):
                 raise ValueError("gzip member without a version line")
         except (ValueError, zlib.error) as wrong:
@@ -156,7 +195,6 @@ def _members(data: bytes) -> Iterator[tuple]:
         if lost is not None:
             yield "gap", lost, at - lost, why, None
             lost = None
-        size = len(data) - at - len(engine.unused_data)
         for kind, _, _, a, b in _plain(raw):
             yield kind, at, size, a, b
         at += size

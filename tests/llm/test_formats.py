@@ -182,3 +182,138 @@ def test_reader_lists_gaps(spark, tmp_path):
     out = warc.read_archives(spark, f"file://{tmp_path}").orderBy("offset").collect()
     assert [(r.kind, r.length, r.reason) for r in out] == [("record", len(recs[0]), None), ("gap", 4, "no version line"), ("record", len(recs[1]), None)]
     assert out[0].payload.startswith(b"<p>text")
+
+
+def record(fields, body=b"x"):
+    return b"WARC/1.1\r\n" + fields + b"Content-Length: " + str(len(body)).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def test_repeated_and_folded_fields_are_valid():
+    good = record(b"WARC-Type: metadata\r\nWARC-Concurrent-To: <a>\r\nWARC-Concurrent-To: <b>\r\nX-Long: one\r\n two\r\n\tthree\r\n")
+    found = list(warc.salvage(good * 2))
+    assert [x[0] for x in found] == ["record", "record"]
+    assert found[0][3]["warc-concurrent-to"] == "<a>\n<b>" and found[0][3]["x-long"] == "one two three"
+    twice = record(b"WARC-Type: metadata\r\nContent-Length: 9\r\n")
+    assert [x[0] for x in warc.salvage(twice + good)] == ["gap", "record"]
+
+
+def test_large_members_and_many_small_ones():
+    rng = random.Random(9)
+    big = record(b"WARC-Type: resource\r\n", bytes(rng.randrange(256) for _ in range(300_000)))
+    data = b"".join(gzip.compress(x) for x in [big, *[record(b"WARC-Type: metadata\r\n")] * 500, big])
+    found = list(warc.salvage(data))
+    assert [x[0] for x in found] == ["record"] * 502 and found[-1][1] + found[-1][2] == len(data) and len(found[0][4]) == 300_000
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 100_000)
+    monkeypatch.setattr(warc, "CLASSES", (1 << 10, 1 << 15))
+    rows = [(i, "http://x", "y" * (50_000 if i % 10 == 0 else 20_000 if i % 3 == 0 else 10)) for i in range(120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, f"file://{tmp_path}/w")
+    sizes = [f.stat().st_size for f in (tmp_path / "w").glob("part-*")]
+    assert max(sizes) <= 100_000
+    back = warc.read_archives(spark, f"file://{tmp_path}/w", with_payload=False)
+    assert back.where("kind = 'record'").count() == 120 and back.where("kind = 'gap'").count() == 0
+
+
+SCHEMA = {
+    "type": "object",
+    "properties": {
+        "name": {"type": "string", "minLength": 2, "maxLength": 4},
+        "kind": {"enum": ["a", 3, None]},
+        "size": {"type": ["number", "null"], "minimum": 0, "maximum": 10},
+        "tags": {"type": "array", "items": {"type": "object", "properties": {"k": {"type": "integer"}}, "required": ["k"], "additionalProperties": False}},
+    },
+    "required": ["name"],
+    "additionalProperties": False,
+}
+
+
+def brute_fits(x, s):
+    kinds = s.get("type")
+    if kinds:
+        kinds = kinds if isinstance(kinds, list) else [kinds]
+        test = {"string": lambda v: isinstance(v, str), "integer": lambda v: isinstance(v, int) and not isinstance(v, bool), "number": lambda v: isinstance(v, int | float) and not isinstance(v, bool), "boolean": lambda v: isinstance(v, bool), "object": lambda v: isinstance(v, dict), "array": lambda v: isinstance(v, list), "null": lambda v: v is None}
+        if not any(test[k](x) for k in kinds):
+            return False
+    if "enum" in s and not any(x == e and type(x) is type(e) for e in s["enum"]):
+        return False
+    if isinstance(x, int | float) and not isinstance(x, bool) and not s.get("minimum", x) <= x <= s.get("maximum", x):
+        return False
+    if isinstance(x, str) and not s.get("minLength", 0) <= len(x) <= s.get("maxLength", 99):
+        return False
+    if isinstance(x, dict):
+        for k, rule in s.get("properties", {}).items():
+            if k in x and not (x[k] is None and "null" not in rule.get("type", "null")) and not brute_fits(x[k], rule):
+                return False
+        for k in s.get("required", []):
+            if x.get(k) is None and "null" not in (s.get("properties", {}).get(k, {}).get("type") or []):
+                return False
+        if s.get("additionalProperties") is False and set(x) - set(s.get("properties", {})):
+            return False
+    return not isinstance(x, list) or "items" not in s or all(brute_fits(e, s["items"]) for e in x)
+
+
+def test_schemas_match_brute_force(spark):
+    rng = random.Random(12)
+    value = lambda: rng.choice(["ab", "x", "abcde", 3, -1, 11, 2.5, True, None, [], {}, [{"k": 1}], [{"k": "1"}], [{"k": 1, "z": 2}], [{}], "a"])
+    cases = [{k: value() for k in ("name", "kind", "size", "tags", "other") if rng.random() < (0.25 if k == "other" else 0.6)} for _ in range(300)]
+    cases = [c | {"name": "abc"} if rng.random() < 0.6 else c for c in cases] + [[], 3]
+    turns = [(i, 1, "assistant", json.dumps({"tool_calls": [{"id": "c", "name": "t", "arguments": json.dumps(c)}]})) for i, c in enumerate(cases)]
+    out = chat.canonical(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), {"t": SCHEMA}).where("kind = 'call'").collect()
+    got = {r.conv_id: r.valid for r in out}
+    for i, c in enumerate(cases):
+        assert got[i] == (isinstance(c, dict) and brute_fits(c, SCHEMA)), c
+    assert {got[i] for i in got} == {True, False}
+
+
+def test_links_and_order_match_brute_force(spark):
+    rng = random.Random(21)
+    turns = []
+    for conv in range(25):
+        ids = [f"c{k}" for k in range(rng.randint(1, 7))]
+        turn = 0
+        for i in ids + rng.sample(ids, min(2, len(ids))):
+            arguments = json.dumps({"query": f"$call:{rng.choice([*ids, 'none'])}"} if rng.random() < 0.7 else {"query": "x"})
+            turn += 1
+            turns.append((conv, turn, "assistant", json.dumps({"tool_calls": [{"id": i, "name": "search", "arguments": arguments}]})))
+            if rng.random() < 0.8:
+                turn += 1
+                turns.append((conv, turn, "tool", json.dumps({"tool_call_id": rng.choice([*ids, "odd"]), "content": "r"})))
+    rows = chat.canonical(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    for conv in range(25):
+        own = [t for t in turns if t[0] == conv]
+        calls, answers = {}, {}
+        for _, turn, role, text in own:
+            body = json.loads(text)
+            if role == "tool":
+                answers.setdefault(body["tool_call_id"], turn)
+            else:
+                c = body["tool_calls"][0]
+                calls.setdefault(c["id"], (turn, json.loads(c["arguments"])["query"].removeprefix("$call:") if "$call:" in c["arguments"] else None))
+        level, after, busy = {}, {}, set()
+
+        def settle(c):
+            if c in level or c in busy:
+                return c in level
+            busy.add(c)
+            turn, used = calls[c]
+            ok = used not in calls or settle(used)
+            if ok:
+                after[c], level[c] = turn, 0
+                if used in calls:
+                    then = max(after[used], answers.get(used, after[used]))
+                    after[c], level[c] = max(turn, then), level[used] + 1
+            busy.discard(c)
+            return ok
+
+        for c in calls:
+            settle(c)
+        for r in rows:
+            if r.conv_id == conv and r.kind == "call":
+                assert r.linked == (r.call_id in answers) and r.valid == (r.call_id in level)
+                if r.call_id in level:
+                    assert (r.level, r.after) == (level[r.call_id], max(r.turn, after[r.call_id]))
+            if r.conv_id == conv and r.kind == "result":
+                assert r.linked == (r.call_id in calls)
