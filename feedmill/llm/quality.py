@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedmill.llm.common import bucket_of
+from feedmill.llm.common import bucket_of, small_batches
 from feedmill.llm.training import labelled_sample
 
 #: Labelled rows that the machine is fitted on.
@@ -43,12 +43,23 @@ def statistics(text: str, words: list[str]) -> list[float]:
     ]
 
 
+#: What is known of a document beside its text: the length that its table states, and how that agrees with the text.
+METADATA = ("stated length", "agreement")
+
+
+def metadata(text: str, n_chars: int | None) -> list[int]:
+    """A step of each of METADATA; step 0 if the table states nothing."""
+    if n_chars is None:
+        return [0, 0]
+    return [1 + min(STEPS - 2, int(math.log1p(max(0, n_chars)))), 1 + (n_chars > len(text)) + 2 * (n_chars < len(text))]
+
+
 def features(text: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values: a step of each statistic and of the metadata, and the distinct hashed words."""
     text = text or ""
     words = _WORD.findall(text)
     stats = [min(STEPS - 1, int(x * STEPS)) for x in statistics(text, words)]
-    stats.append(min(STEPS - 1, int(math.log1p(max(0, n_chars or 0)))))
+    stats += metadata(text, n_chars)
     fixed = [i * STEPS + x for i, x in enumerate(stats)]
     hashed = np.unique(np.fromiter((zlib.crc32(w.encode()) for w in {w.lower() for w in words}), np.int64) % WORD_BUCKETS)
     index = np.concatenate((fixed, hashed + len(stats) * STEPS)).astype(np.int64)
@@ -56,7 +67,7 @@ def features(text: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndar
     return index, value
 
 
-WIDTH = (len(STATISTICS) + 1) * STEPS + WORD_BUCKETS
+WIDTH = (len(STATISTICS) + len(METADATA)) * STEPS + WORD_BUCKETS
 
 
 class Machine:
@@ -109,9 +120,9 @@ class Machine:
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows, y, keys = [], [], []
     for batch in batches:
-        for text, label in zip(batch.column(0), batch.column(1), strict=True):
+        for text, label, n_chars in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), strict=True):
             value = text.as_py()
-            rows.append(features(value, len(value or "")))
+            rows.append(features(value, n_chars))
             y.append(float(label.as_py() > 0))
             keys.append(zlib.crc32((value or "").encode("utf-8", "surrogatepass")))
     order = np.argsort(keys, kind="stable")  # the same fit whatever order rows arrive in
@@ -126,25 +137,31 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, r
 
     Without labels every text scores 0.5; with labels of one kind only, near that label.
     """
-    sample = labelled_sample(docs, labels, "quality", folds, held_out, rows)
-    made = sample.coalesce(1).mapInArrow(_train, "model binary").first()
-    return Machine(*pickle.loads(made["model"])) if made else Machine()
+    sample = labelled_sample(_stated(docs), labels, "quality", folds, held_out, rows, ("n_chars",))
+    made = sample.select("text", "label", "n_chars").coalesce(1).mapInArrow(_train, "model binary").collect()  # one row
+    return Machine(*pickle.loads(made[0]["model"])) if made else Machine()
+
+
+def _stated(docs: DataFrame) -> DataFrame:
+    """doc_id, text, n_chars; a table without n_chars states nothing."""
+    stated = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), stated.alias("n_chars"))
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:
-    """doc_id, score of every row from its whole text; null and empty texts score by their statistics. Rows are independent; other columns are ignored."""
+    """doc_id, score of every row from its whole text; null and empty texts score by their statistics, a null n_chars as one that states nothing. Rows are independent; other columns are ignored."""
     shared = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.weights, machine.vectors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Machine(*shared.value)
         for batch in batches:
             out = []
-            for text in batch.column(1):
-                value = text.as_py()
-                out.append(own.score(value, len(value or "")))
+            for text, n_chars in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                out.append(own.score(text.as_py(), n_chars))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    small_batches(docs.sparkSession)
+    return _stated(docs).mapInArrow(run, "doc_id long, score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, threshold: float = 0.7) -> DataFrame:

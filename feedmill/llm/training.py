@@ -5,27 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedmill.llm.common import bucket_of, written
+from feedmill.llm.common import bucket_of, small_batches, written
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int) -> DataFrame:
-    """(text, label) of at most `rows` labelled documents outside the held-out fold, in an order by hash of the id.
+def _one_text(found: DataFrame, *more: str) -> DataFrame:
+    """text, label and more of one row for each doc_id: of several texts the least."""
+    return found.groupBy("doc_id").agg(F.min(F.struct("text", "label", *more)).alias("row")).select("row.*")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """(text, label) and more columns of at most `rows` labelled documents outside the held-out fold, in an order by hash of the id.
 
     The ids of the sample are broadcast: at most `rows` of them, 12 bytes each. A null label is no label;
-    of repeated labels of a document the largest counts; of repeated rows of a document one is taken.
+    of repeated labels of a document the largest counts; of several texts of a document the least is taken.
     """
+    small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null")
     known = known.where(bucket_of(F.col("doc_id"), folds) != held_out).groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    return written(found.dropDuplicates(["doc_id"]).select("text", "label"), "sample")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more).join(F.broadcast(chosen), "doc_id")
+    return written(_one_text(found, *more), "sample")
 
 
-def sample_by_class(docs: DataFrame, label: str, folds: int, held_out: int, rows: int, classes: int) -> DataFrame:
-    """(text, label) of at most `rows` documents of each of the `classes` most frequent labels that the documents carry themselves."""
+def sample_by_class(docs: DataFrame, label: str, folds: int, held_out: int, rows: int, most: int) -> DataFrame:
+    """(text, label) of at most `rows` documents of every label that the documents carry themselves, and about `most` in all.
+
+    With so many labels that they would be more than `most`, each gets an equal share, one document at least.
+    Of a document's labels and texts the least are taken.
+    """
+    small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(label).cast("string").alias("label")).where("text is not null and label is not null and doc_id is not null")
     own = own.where(bucket_of(F.col("doc_id"), folds) != held_out)
-    top = [r["label"] for r in own.groupBy("label").count().orderBy(F.desc("count"), "label").limit(classes).collect()]
+    labels = own.select("label").distinct().count()
+    each = max(1, min(rows, most // max(1, labels)))
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = own.where(F.col("label").isin(top)).select("doc_id", "label").withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).drop("n")
-    return written(own.join(F.broadcast(ids), ["doc_id", "label"]).dropDuplicates(["doc_id"]).select("text", "label"), "sample")
+    ids = own.select("doc_id", "label").withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).groupBy("doc_id").agg(F.min("label").alias("label"))
+    return written(_one_text(own.join(F.broadcast(ids) if labels * each <= 2 * most else ids, ["doc_id", "label"])), "sample")
