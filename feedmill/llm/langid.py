@@ -5,7 +5,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -13,19 +13,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedmill.llm.common import bucket_of
+from feedmill.llm.common import bucket_of, small_batches
 from feedmill.llm.training import sample_by_class
 
-#: Documents of each language, and most frequent languages, that the field is fitted on.
-SAMPLE_ROWS, LANGUAGES = 300, 64
+#: Documents of each language, and about how many in all, that the field is fitted on. Every language that the documents name is learned.
+SAMPLE_ROWS, SAMPLE_TOTAL = 300, 20_000
 #: Words of one language in a training sequence; two such runs of any two languages make one sequence.
 RUN = 24
-#: Words of each language's lexicon, and bits of a hashed feature's bucket.
-LEXICON, BUCKET_BITS = 300, 16
+#: Share of a language's sampled documents that hold a word of its lexicon, and bits of a hashed feature's bucket.
+LEXICON, BUCKET_BITS = 0.02, 16
 BUCKETS = 1 << BUCKET_BITS
 EPOCHS, RATE, RIDGE = 14, 0.15, 1e-3
-#: Words x languages that a forward-backward pass over padded texts holds at once, texts split into words at once, and words whose scores a worker keeps.
-CELLS, ROWS, CACHE = 1_000_000, 512, 200_000
+#: Words x languages that a forward-backward pass over padded texts holds at once, texts split into words at once, words whose scores a worker keeps.
+CELLS, ROWS, CACHE = 250_000, 128, 100_000
+#: Characters beyond which a text is taken in pieces of so many words.
+LONG, PIECE = 200_000, 8192
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -148,10 +150,44 @@ class Field:
                 out[i] = each[row, : len(texts[i])]
         return out
 
+    def _sums(self, text: str) -> tuple[np.ndarray, int]:
+        """Summed marginals and number of words of a very long text: forward over its pieces, then back, each piece's forward pass made anew."""
+        step = np.exp(self.moves - self.moves.max())
+        pieces, starts, total, n = [], [np.full(len(self.names), 1.0 / len(self.names))], np.zeros(len(self.names)), 0
+
+        def ahead(emit: np.ndarray, now: np.ndarray, first: bool) -> np.ndarray:
+            out = np.empty_like(emit)
+            for t in range(len(emit)):
+                now = (now if first and t == 0 else now @ step) * emit[t]
+                now /= now.sum()
+                out[t] = now
+            return out
+
+        found = (m[0] for m in _WORD.finditer(text.lower()))
+        while words := list(islice(found, PIECE)):
+            self._meet(words)
+            scores = self.table[[self.known[w] for w in words]]
+            pieces.append(np.exp(scores - scores.max(axis=1, keepdims=True)))  # single precision, 4 bytes for each word and language
+            starts.append(ahead(pieces[-1].astype(float), starts[-1], len(pieces) == 1)[-1])
+            n += len(words)
+        back = np.ones(len(self.names))
+        for k in range(len(pieces) - 1, -1, -1):
+            emit = pieces[k].astype(float)
+            front = ahead(emit, starts[k], k == 0)
+            for t in range(len(emit) - 1, -1, -1):
+                each = front[t] * back
+                total += each / each.sum()
+                back = step @ (emit[t] * back)
+                back /= back.sum()
+        return total, n
+
     def document(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language of most expected words in each text and its share; und and 0 for texts without a letter."""
-        found = self.label([words_of(t) for t in texts]) if self.names else [np.empty((0, 0))] * len(texts)
-        return [(self.names[int(m.sum(axis=0).argmax())], float(min(1.0, m.mean(axis=0).max()))) if len(m) else ("und", 0.0) for m in found]
+        if not self.names:
+            return [("und", 0.0)] * len(texts)
+        found = [(m.sum(axis=0), len(m)) for m in self.label([words_of(t) if len(t or "") <= LONG else [] for t in texts])]
+        found = [self._sums(t) if len(t or "") > LONG else x for t, x in zip(texts, found, strict=True)]
+        return [(self.names[int(total.argmax())], float(min(1.0, total.max() / n))) if n else ("und", 0.0) for total, n in found]
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +205,8 @@ def _fitted(texts: list[tuple[list[str], int]], names: list[str]) -> tuple:
         common[k].update(set(words))
     lexicons: dict[str, tuple[int, ...]] = {}
     for k, counts in enumerate(common):
-        for word, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
+        least = max(2, LEXICON * sum(1 for _, own in texts if own == k))
+        for word in sorted(w for w, n in counts.items() if n >= least):
             lexicons[word] = (*lexicons.get(word, ()), k)
     number = {w: i for i, w in enumerate(sorted({w for words, _ in texts for w in words}))}
     held = len(number)
@@ -210,13 +247,14 @@ def _fitted(texts: list[tuple[list[str], int]], names: list[str]) -> tuple:
 
 
 def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, rows: int = SAMPLE_ROWS) -> Field:
-    """Field from text and lang of at most `rows` documents of each language outside the held-out fold, fitted in one task. Without any, no language is known and all texts are und."""
-    made = sample_by_class(docs, "lang", folds, held_out, rows, LANGUAGES).coalesce(1).mapInArrow(_train, "model binary").first()
-    return Field(*pickle.loads(made["model"])) if made else Field([], {}, np.zeros((BUCKETS, 0)), np.zeros((0, 0)))
+    """Field from text and lang of at most `rows` documents of each language outside the held-out fold, and about SAMPLE_TOTAL in all, fitted in one task. Without any, no language is known and all texts are und."""
+    made = sample_by_class(docs, "lang", folds, held_out, rows, SAMPLE_TOTAL).select("text", "label").coalesce(1).mapInArrow(_train, "model binary").collect()  # one row
+    return Field(*pickle.loads(made[0]["model"])) if made else Field([], {}, np.zeros((BUCKETS, 0)), np.zeros((0, 0)))
 
 
 def language_column(field: Field, spark: SparkSession):
     """A function of a text column that gives (lang_pred, score)."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast((field.names, field.lexicons, field.weights, field.moves))
 
     @F.pandas_udf("lang_pred string, score double")
@@ -231,6 +269,7 @@ def language_column(field: Field, spark: SparkSession):
 
 def identified(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, lang_pred, score of every row from its whole text. Null texts and texts without letters are und with score 0. Rows are independent; other columns are ignored."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((field.names, field.lexicons, field.weights, field.moves))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

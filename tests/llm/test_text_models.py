@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -10,10 +11,7 @@ from feedmill.llm import langid, licenses, quality, toxicity
 DATA = "/root/testdata/sf0.01"
 
 
-def brute_segments(hits, n):
-    scores = [-toxicity.DRIFT] * n
-    for i, v in hits:
-        scores[i] = v
+def brute_segments(scores):
     out = []
 
     def search(a, b):
@@ -29,16 +27,15 @@ def brute_segments(hits, n):
             search(a, best[0])
             search(best[1] + 1, b)
 
-    search(0, n)
+    search(0, len(scores))
     return sorted((a, b, round(t, 6)) for a, b, t in out)
 
 
 def test_segments_match_brute_force():
     rng = random.Random(3)
-    for _ in range(60):
-        n = rng.randint(1, 30)
-        hits = [(i, rng.random() * 1.1 + 0.01) for i in range(n) if rng.random() < 0.35]
-        assert sorted((a, b, round(t, 6)) for a, b, t in toxicity.segments(hits)) == brute_segments(hits, n)
+    for _ in range(80):
+        scores = [rng.random() * 1.1 + 0.01 if rng.random() < 0.35 else -rng.random() * 0.8 - 0.01 for _ in range(rng.randint(1, 30))]
+        assert sorted((a, b, round(t, 6)) for a, b, t in toxicity.segments(scores)) == brute_segments(scores)
 
 
 def test_decay_solves_its_equation():
@@ -120,14 +117,32 @@ def test_marginals_match_enumeration():
 def test_language_on_held_out_rows_and_in_mixed_text(spark, tables):
     docs, _ = tables
     field = langid.fit(docs)
-    out = langid.identified(docs, field).toPandas().merge(docs.select("doc_id", "lang").toPandas(), on="doc_id").dropna()
-    assert (out.lang_pred == out.lang).mean() > 0.98
+    out = langid.language_id(docs).toPandas().merge(docs.select("doc_id", "lang").toPandas(), on="doc_id").dropna()
+    held = out[out.held_out]
+    assert len(held) > 100 and (held.lang_pred == held.lang).mean() > 0.98
     texts = {r.lang: r.text for r in docs.where("n_chars between 400 and 900 and doc_id < 400").collect()}
     one, two = langid.words_of(texts["en"])[:40], langid.words_of(texts["de"])[:40]
     labels = field.label([one + two])[0].argmax(axis=1)
     assert (labels[:38] == field.names.index("en")).mean() > 0.9 and (labels[42:] == field.names.index("de")).mean() > 0.9
 
 
+def test_very_long_texts_in_pieces_match_whole_ones(spark, tables, monkeypatch):
+    docs, _ = tables
+    field = langid.fit(docs)
+    texts = [r.text for r in docs.where("text is not null and n_chars > 200").orderBy("doc_id").limit(30).collect()] + ["", None]
+    whole = field.document(texts)
+    monkeypatch.setattr(langid, "LONG", 150)
+    monkeypatch.setattr(langid, "PIECE", 7)
+    pieces = field.document(texts)
+    assert [a for a, _ in whole] == [a for a, _ in pieces] and np.allclose([b for _, b in whole], [b for _, b in pieces], atol=1e-5)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"{chr(0x4E00 + i % 70)}{chr(0x4E00 + i % 70)} word", f"l{i % 70}") for i in range(700)]
+    field = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(field.names) == 70
+
+
 def brute_base(text):
     words, found, word = [], [], ""
     for c in text or "":
@@ -166,11 +181,72 @@ def test_template_regions():
 
 def test_public_notices_are_found():
     scanner = licenses.Scanner()
-    for text, label in (("Released under the MIT License.", "mit-notice"), ("Licensed under CC BY-NC 4.0.", "cc-by-nc"), ("Licensed under the Apache License, Version 2.0.", "apache-2.0"), ("This work is licensed under the GNU General Public License, version 3.", "gpl-notice")):
+    for text, label in (("Released under the MIT License.", "mit-notice"), ("Licensed under CC BY-NC 4.0.", "cc-by-nc"), ("Licensed under the Apache License, Version 2.0.", "apache-2.0-notice"), ("This work is licensed under the GNU General Public License, version 3.", "gpl-notice")):
         assert label in {x for *_, x in scanner.scan("Before. " + text + " After")[2]}, text
     assert "mit-notice" not in {x for *_, x in scanner.scan("Released under an MIT License.")[2]}
 
 
+def as_regex(template):
+    """A template as one regular expression over words that each end in a space."""
+    out = []
+    for found in licenses._MARK.finditer(template):
+        part = found[0]
+        if part == "[[":
+            out.append("(?:")
+        elif part == "]]":
+            out.append(")?")
+        elif part.startswith("{{"):
+            out.append(f"(?:(?:{found[3] or '[^ ]+'}) ){{{found[1]},{found[2]}}}")
+        else:
+            out += [re.escape(w) + " " for w in licenses.words_of(part)]
+    return re.compile("".join(out))
+
+
+def brute_matches(text, label, template):
+    words, pattern, out = licenses.words_of(text), as_regex(template), {}
+    for start in range(len(words)):
+        ends = [end for end in range(start + 1, len(words) + 1) if pattern.fullmatch("".join(w + " " for w in words[start:end]))]
+        if ends:
+            out[max(ends)] = min(start, out.get(max(ends), start))
+    return {(start, end, label) for end, start in out.items()}
+
+
+def test_templates_match_brute_force():
+    rng = random.Random(8)
+    small = {"a": "alpha [[beta [[and]]]] gamma {{1 2 [0-9]+}} delta", "b": "{{0 2}} is free [[of]] {{1 3}} charge", "c": "gamma [[{{1 1}}]] gamma"}
+    scanner = licenses.Scanner(small)
+    pieces = ["alpha", "beta", "and", "gamma", "7", "12", "delta", "is", "free", "of", "charge", "x"]
+    for _ in range(400):
+        text = " ".join(rng.choice(pieces) for _ in range(rng.randint(0, 14)))
+        want = set().union(*(brute_matches(text, k, t) for k, t in small.items()))
+        assert set(scanner.scan(text)[2]) == want, text
+
+
+def filled(template, rng):
+    out, keep = [], [True]
+    for found in licenses._MARK.finditer(template):
+        part = found[0]
+        if part == "[[":
+            keep.append(keep[-1] and rng.random() < 0.5)
+        elif part == "]]":
+            keep.pop()
+        elif keep[-1]:
+            out += ["2024"[: 1 if "{4}" not in part else 4]] * rng.randint(int(found[1]), int(found[2])) if part.startswith("{{") else licenses.words_of(part)
+    return out
+
+
+def test_whole_licenses_are_accepted_and_changed_ones_are_not():
+    scanner, rng = licenses.Scanner(), random.Random(4)
+    for label in ("mit-text", "bsd-2-clause", "bsd-3-clause", "isc", "zlib", "unlicense", "gpl-header", "agpl-header", "lgpl-header", "apache-header", "mpl-2.0-header"):
+        for _ in range(5):
+            words = filled(licenses.TEMPLATES[label], rng)
+            assert label in {x for *_, x in scanner.scan("before " + " ".join(words) + " after")[2]}, label
+            at = rng.randrange(len(words) // 3, len(words) - 10)
+            changed = [*words[:at], "only", "noncommercially", *words[at:]]
+            found = label in {x for *_, x in scanner.scan(" ".join(changed))[2]}
+            assert found == bool(brute_matches(" ".join(changed), label, licenses.TEMPLATES[label])), (label, at)
+
+
 def test_scan_rows(spark):
     out = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(1, "cc by x mit license cc by", 3), (2, None, 4)], "doc_id long, text string, labels int")).collect()}
     assert (out[1].n_words, out[1].n_base, out[1].first_word, out[1].last_word, out[1].base_labels, out[1].labels, out[1].score) == (7, 3, 0, 5, "cc-by,mit", "cc-by,mit", 0.5)
