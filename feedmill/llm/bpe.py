@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedmill.llm.common import small_batches
+from feedmill.llm.common import held_alone, small_batches
 
 #: Pieces, pairs of tokens (and steps of the decoder) and states that a worker keeps, about 150 MB in all, before it starts
 #: pieces, pairs and steps anew; and states beyond those kept after which it starts the states anew. Results don't depend on it.
@@ -217,19 +217,13 @@ class Codec:
         return b"".join(self.stream.feed(ids))
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def parse_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines()) if token}
 
 
 def codec(raw: bytes, pattern: str) -> Codec:
     """The codec of a rank file's content, one for each worker."""
-    key = hashlib.sha256(raw).hexdigest(), pattern
-    if key not in _CODECS:
-        _CODECS[key] = Codec(parse_ranks(raw), pattern)
-    return _CODECS[key]
+    return held_alone(("codec", hashlib.sha256(raw).hexdigest(), pattern), lambda: Codec(parse_ranks(raw), pattern))
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from feedmill.operators.components import components
 from feedmill.storage import forget, new_path, shared_dir, written
 
-__all__ = ["ascii_words", "bucket_of", "components", "forget", "in_pieces", "local_roots", "new_path", "shared_dir", "small_batches", "written"]
+__all__ = ["ascii_words", "bucket_of", "components", "forget", "held_alone", "in_pieces", "local_roots", "new_path", "shared_dir", "small_batches", "written"]
 
 #: Rows that a Python worker gets at once: with whole texts in them, Spark's 10,000 are tens of MB in the JVM and again in the worker.
 BATCH_ROWS = 1024
@@ -22,6 +24,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+_HELD: list = [None, None]
+
+
+def held_alone(key: object = None, make: Callable[[], object] | None = None) -> object:
+    """What a worker keeps from task to task under a key: one thing at a time, so a stage that asks for its own, or for none, frees the one before."""
+    if _HELD[0] != key:
+        _HELD[:] = None, None
+        _HELD[:] = key, make() if make else None
+    return _HELD[1]
+
+
 def in_pieces(dealt: DataFrame, sizes: DataFrame, on: list[str], unit: str, piece: int, broadcast_rows: int = 50_000) -> DataFrame:
     """dealt with piece, low, high: a group of over two pieces of rows is compared as pairs of its pieces.
 

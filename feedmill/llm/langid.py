@@ -2,6 +2,7 @@
 
 import pickle
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedmill.llm.common import bucket_of, small_batches
+from feedmill.llm.common import bucket_of, held_alone, small_batches
 from feedmill.llm.training import sample_by_class
 
 #: Documents of each language, and about how many in all, that the field is fitted on. Every language that the documents name is learned.
@@ -24,6 +25,8 @@ RUN = 24
 LEXICON, BUCKET_BITS = 0.02, 16
 BUCKETS = 1 << BUCKET_BITS
 EPOCHS, RATE, RIDGE = 14, 0.15, 1e-3
+#: Training sequences of a step, and those of them that are held at once.
+STEP, TOGETHER = 4096, 512
 #: Words x languages that a forward-backward pass over padded texts holds at once, texts split into words at once, words whose scores a worker keeps.
 CELLS, ROWS, CACHE = 250_000, 128, 100_000
 #: Characters beyond which a text is taken in pieces of so many words.
@@ -191,30 +194,42 @@ class Field:
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = sorted((zlib.crc32(t.encode("utf-8", "surrogatepass")), t, lang) for b in batches for t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-    texts = [(words_of(t), lang) for _, t, lang in rows]
-    names = sorted({lang for words, lang in texts if words})
-    if names:
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_fitted([(w, names.index(lang)) for w, lang in texts if w], names))], pa.binary())], ["model"])
-
-
-def _fitted(texts: list[tuple[list[str], int]], names: list[str]) -> tuple:
-    kinds = len(names)
-    common = [Counter() for _ in names]
-    for words, k in texts:
-        common[k].update(set(words))
+    held_alone()
+    rows, number, holders = [], {}, {}
+    for batch in batches:
+        for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            value = text.as_py()
+            words = words_of(value)
+            if words:  # places of words in `number` stand for the words
+                ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words))
+                rows.append((lang, zlib.crc32(value.encode("utf-8", "surrogatepass")), ids.tobytes()))
+                holders.setdefault(lang, Counter()).update(np.unique(ids).tolist())
+    names = sorted(holders)
+    if not names:
+        return
+    vocabulary = list(number)
+    order = sorted(range(len(vocabulary)), key=vocabulary.__getitem__)  # the same fit whatever order rows arrive in
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    texts = sorted((crc, names.index(lang), place[np.frombuffer(ids, np.int32)].tolist()) for lang, crc, ids in rows)
+    sizes = Counter(lang for lang, _, _ in rows)
     lexicons: dict[str, tuple[int, ...]] = {}
-    for k, counts in enumerate(common):
-        least = max(2, LEXICON * sum(1 for _, own in texts if own == k))
-        for word in sorted(w for w, n in counts.items() if n >= least):
+    for k, lang in enumerate(names):
+        least = max(2, LEXICON * sizes[lang])
+        for word in sorted(vocabulary[i] for i, n in holders[lang].items() if n >= least):
             lexicons[word] = (*lexicons.get(word, ()), k)
-    number = {w: i for i, w in enumerate(sorted({w for words, _ in texts for w in words}))}
-    held = len(number)
-    column, row = features(list(number), lexicons)
-    runs = [([number[w] for w in words[i : i + RUN]], k) for words, k in texts for i in range(0, len(words), RUN)]
+    weights, moves = _fitted([vocabulary[i] for i in order], [(ids, k) for _, k, ids in texts], lexicons, len(names))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((names, lexicons, weights, moves))], pa.binary())], ["model"])
+
+
+def _fitted(vocabulary: list[str], texts: list[tuple[list[int], int]], lexicons: dict[str, tuple[int, ...]], kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and transitions by AdaGrad over steps of STEP sequences, of which TOGETHER are held at once."""
+    held = len(vocabulary)
+    column, row = features(vocabulary, lexicons)
+    runs = [(words[i : i + RUN], k) for words, k in texts for i in range(0, len(words), RUN)]
     rng = np.random.default_rng(5)
     order = rng.permutation(len(runs))
-    ids, gold = np.zeros((len(runs), 2 * RUN), np.int64), np.full((len(runs), 2 * RUN), -1)
+    ids, gold = np.zeros((len(runs), 2 * RUN), np.int32), np.full((len(runs), 2 * RUN), -1, np.int32)
     lengths = np.zeros(len(runs), np.int64)
     for at, (one, two) in enumerate(zip(range(len(runs)), order, strict=True)):
         parts = [runs[one], runs[two]] if at % 2 else [runs[one]]  # half of the sequences switch, or may
@@ -224,26 +239,27 @@ def _fitted(texts: list[tuple[list[str], int]], names: list[str]) -> tuple:
         gold[at, : len(flat)] = [k for p, k in parts for _ in p]
     weights, moves = np.zeros((BUCKETS, kinds)), np.zeros((kinds, kinds))
     seen_w, seen_m = np.full_like(weights, 1e-8), np.full_like(moves, 1e-8)
-    batch = 512
     for _ in range(EPOCHS):
-        for at in range(0, len(runs), batch * 8):
-            part = slice(at, at + batch * 8)
+        for at in range(0, len(runs), STEP):
             table = np.stack([np.bincount(row, weights[column, k], held) for k in range(kinds)], axis=1)
-            each, pairs, alive = marginals(table[ids[part]], moves, lengths[part])
-            target = (gold[part][:, :, None] == np.arange(kinds)) * 1.0
-            diff = (target - each)[alive]
-            words = ids[part][alive]
-            word_grad = np.stack([np.bincount(words, diff[:, k], held) for k in range(kinds)], axis=1)
-            grad = np.stack([np.bincount(column, word_grad[row, k], BUCKETS) for k in range(kinds)], axis=1) / len(words) - RIDGE * weights / len(runs)
-            both = alive[:, 1:]
-            joint = np.zeros_like(moves)
-            np.add.at(joint, (gold[part][:, :-1][both], gold[part][:, 1:][both]), 1)
-            move_grad = (joint - pairs) / len(words) - RIDGE * moves
+            word_grad, joint, words = np.zeros((held, kinds)), np.zeros_like(moves), 0
+            for start in range(at, min(at + STEP, len(runs)), TOGETHER):
+                part = slice(start, min(start + TOGETHER, at + STEP))
+                each, pairs, alive = marginals(table[ids[part]], moves, lengths[part])
+                diff = ((gold[part][:, :, None] == np.arange(kinds)) - each)[alive]
+                here = ids[part][alive]
+                word_grad += np.stack([np.bincount(here, diff[:, k], held) for k in range(kinds)], axis=1)
+                words += len(here)
+                both = alive[:, 1:]
+                np.add.at(joint, (gold[part][:, :-1][both], gold[part][:, 1:][both]), 1)
+                joint -= pairs
+            grad = np.stack([np.bincount(column, word_grad[row, k], BUCKETS) for k in range(kinds)], axis=1) / words - RIDGE * weights / len(runs)
+            move_grad = joint / words - RIDGE * moves
             seen_w += grad**2
             seen_m += move_grad**2
             weights += RATE * grad / np.sqrt(seen_w)
             moves += RATE * move_grad / np.sqrt(seen_m)
-    return names, lexicons, weights, moves
+    return weights, moves
 
 
 def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, rows: int = SAMPLE_ROWS) -> Field:
@@ -255,11 +271,11 @@ def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, rows: int = SAMPLE_R
 def language_column(field: Field, spark: SparkSession):
     """A function of a text column that gives (lang_pred, score)."""
     small_batches(spark)
-    shared = spark.sparkContext.broadcast((field.names, field.lexicons, field.weights, field.moves))
+    shared, mark = spark.sparkContext.broadcast((field.names, field.lexicons, field.weights, field.moves)), uuid.uuid4().hex
 
     @F.pandas_udf("lang_pred string, score double")
     def language(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = Field(*shared.value)
+        own = held_alone(mark, lambda: Field(*shared.value))
         for part in texts:
             found = [x for at in range(0, len(part), ROWS) for x in own.document(list(part.iloc[at : at + ROWS]))]
             yield pd.DataFrame({"lang_pred": pd.Series([a for a, _ in found], dtype=str), "score": pd.Series([b for _, b in found], dtype=float)})
@@ -270,10 +286,10 @@ def language_column(field: Field, spark: SparkSession):
 def identified(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, lang_pred, score of every row from its whole text. Null texts and texts without letters are und with score 0. Rows are independent; other columns are ignored."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((field.names, field.lexicons, field.weights, field.moves))
+    shared, mark = docs.sparkSession.sparkContext.broadcast((field.names, field.lexicons, field.weights, field.moves)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Field(*shared.value)
+        own = held_alone(mark, lambda: Field(*shared.value))
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedmill.llm.common import ascii_words, components, in_pieces, local_roots, small_batches, written
+from feedmill.llm.common import ascii_words, components, held_alone, in_pieces, local_roots, small_batches, written
 
 SEED = 42
 #: Fingerprints under one lowest node of the index, and children under each node above.
@@ -190,6 +190,7 @@ def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     """uid (of the row), doc_id, digest, size, hashes (ascending, 8 bytes each) of the set of shingles of each (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_alone()
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

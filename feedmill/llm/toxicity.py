@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedmill.llm.common import bucket_of, written
+from feedmill.llm.common import bucket_of, held_alone, written
 from feedmill.llm.training import labelled_sample
 
 #: Labelled rows that the log-odds and the calibration are fitted on.
@@ -79,6 +79,7 @@ class Model:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held_alone()
     both = Counter(), Counter()
     for batch in batches:
         for text, label in zip(batch.column(0), batch.column(1), strict=True):
@@ -160,6 +161,7 @@ def score_column(model: Model):
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        held_alone()
         for part in texts:
             yield pd.Series([model.score(tokens(t)) for t in part], dtype=float)
 
