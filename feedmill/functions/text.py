@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,11 +15,19 @@ def norm_text(text: Column) -> Column:
     return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), NOT_WORD, ""))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: within a lambda of its own an expression would be computed for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def title_bigrams(text: Column) -> Column:
     """Distinct two-character pieces of the normal form; a single character stands for itself, nothing gives an empty array."""
-    t = norm_text(text)
-    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2)))
-    return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(pieces))
+
+    def pieces(chars: Column) -> Column:  # by place in an array: a substring counts from the text's start each time
+        pairs = F.transform(F.slice(chars, F.lit(1), F.greatest(F.size(chars) - 1, F.lit(0))), lambda c, i: F.concat(c, F.get(chars, i + 1)))
+        return F.when(F.size(chars) > 1, F.array_distinct(pairs)).otherwise(chars)
+
+    return bound(F.filter(F.split(norm_text(text), ""), lambda c: c != ""), pieces)
 
 
 def tokens(text: Column) -> Column:
@@ -25,20 +35,20 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), lambda w: w != ""))
 
 
-def _shared(a: Column, b: Column) -> Column:
-    return F.size(F.array_intersect(a, b))
+def _overlap(a: Column, b: Column, use: Callable[[Column], Column]) -> Column:
+    """use(sizes and number of shared values of two arrays, as x.a, x.b, x.n), each array and the intersection computed once."""
+    count = lambda p: F.struct(F.size(p["a"]).alias("a"), F.size(p["b"]).alias("b"), F.size(F.array_intersect(p["a"], p["b"])).alias("n"))
+    return bound(F.struct(a.alias("a"), b.alias("b")), lambda p: bound(count(p), use))
 
 
 def jaccard(a: Column, b: Column, empty: float = 1.0) -> Column:
     """Shared by all of two arrays of distinct values; two empty ones give `empty`."""
-    both = F.size(a) + F.size(b) - _shared(a, b)
-    return F.when(both == 0, F.lit(empty)).otherwise(_shared(a, b) / F.greatest(both, F.lit(1)))
+    return _overlap(a, b, lambda x: F.when(x["a"] + x["b"] == 0, F.lit(empty)).otherwise(x["n"] / F.greatest(x["a"] + x["b"] - x["n"], F.lit(1))))
 
 
 def dice(a: Column, b: Column, empty: float = 1.0) -> Column:
     """Twice the shared by the sum of sizes; two empty arrays give `empty`."""
-    total = F.size(a) + F.size(b)
-    return F.when(total == 0, F.lit(empty)).otherwise(2 * _shared(a, b) / F.greatest(total, F.lit(1)))
+    return _overlap(a, b, lambda x: F.when(x["a"] + x["b"] == 0, F.lit(empty)).otherwise(2 * x["n"] / F.greatest(x["a"] + x["b"], F.lit(1))))
 
 
 def title_similarity(a: Column, b: Column) -> Column:
@@ -63,13 +73,12 @@ def token_jaccard(a: Column, b: Column) -> Column:
 
 def coverage(a: Column, b: Column) -> Column:
     """Share of a that b holds; an empty a gives 0."""
-    return F.when(F.size(a) == 0, F.lit(0.0)).otherwise(_shared(a, b) / F.greatest(F.size(a), F.lit(1)))
+    return _overlap(a, b, lambda x: F.when(x["a"] == 0, F.lit(0.0)).otherwise(x["n"] / F.greatest(x["a"], F.lit(1))))
 
 
 def best_dice(title: Column, titles: Column) -> Column:
     """Greatest Dice of a title with an array of titles; 0 for none."""
-    own = title_bigrams(title)
-    return F.coalesce(F.array_max(F.transform(titles, lambda t: dice(own, title_bigrams(t)))), F.lit(0.0))
+    return bound(title_bigrams(title), lambda own: F.coalesce(F.array_max(F.transform(titles, lambda t: dice(own, title_bigrams(t)))), F.lit(0.0)))
 
 
 def clip(text: Column, size: int = 90) -> Column:
@@ -143,11 +152,37 @@ def numeric_anchors(text: Column, units: str = "%|percent|million|billion|points
     return F.array_distinct(F.transform(found, lambda x: F.lower(F.regexp_replace(x, r"\s+", ""))))
 
 
+def balanced_block(text: Column) -> Column:
+    """The block that the first { or [ of a text opens, up to the sign that balances it outside of strings; null if none does.
+
+    One pass over the characters: depth, whether within a string, whether after a backslash, and where the block ends.
+    """
+
+    def scan(t: Column) -> Column:
+        first = F.regexp_instr(t, F.lit(r"[\{\[]"))
+        rest = F.substring(t, first, F.length(t))
+
+        def step(s: Column, c: Column) -> Column:
+            opens, closes = F.when(s["left"] == "{", c == "{").otherwise(c == "["), F.when(s["left"] == "{", c == "}").otherwise(c == "]")
+            depth = s["depth"] + F.when(s["string"], 0).when(opens, 1).when(closes, -1).otherwise(0)
+            string = F.when(s["string"], (c != '"') | s["escape"]).otherwise(c == '"')
+            escape = s["string"] & ~s["escape"] & (c == "\\")
+            on = F.struct(s["left"].alias("left"), depth.cast("int").alias("depth"), string.alias("string"), escape.alias("escape"), (s["n"] + 1).alias("n"), (depth == 0).alias("done"))
+            return F.when(s["done"], s).otherwise(on)
+
+        start = F.struct(F.substring(rest, 1, 1).alias("left"), F.lit(0).alias("depth"), F.lit(False).alias("string"), F.lit(False).alias("escape"), F.lit(0).alias("n"), F.lit(False).alias("done"))
+        chars = F.filter(F.split(rest, ""), lambda c: c != "")
+        return F.when(first > 0, bound(F.aggregate(chars, start, step), lambda s: F.when(s["done"], F.substring(rest, F.lit(1), s["n"]))))
+
+    return bound(F.coalesce(text, F.lit("")), scan)
+
+
 def first_json(text: Column) -> Column:
-    """First {...} or [...] block of a text that parses as JSON, code fences stripped; null if none does."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"```(?:json)?", "")
-    block = F.regexp_extract(bare, r"(?s)(\{.*\}|\[.*\])", 1)
-    return F.when((block != "") & F.try_parse_json(block).isNotNull(), block)
+    """The first balanced {...} or [...] block of a text, without a code fence around it, if it parses as JSON; else null."""
+    bare = F.trim(F.coalesce(text, F.lit("")))
+    inner = F.regexp_extract(bare, r"(?s)^```(?:json)?\s*(.*?)\s*```$", 1)
+    block = balanced_block(F.when(inner != "", inner).otherwise(bare))
+    return F.when(F.try_parse_json(block).isNotNull(), block)
 
 
 def round_half_up(x: Column) -> Column:

@@ -19,13 +19,31 @@ def sma(rows: DataFrame, value: str, period: int, symbol: str = "symbol", d: str
     return rows.withColumn(name, F.avg(value).over(frame)).withColumn("_n", F.count(value).over(frame)).where(F.col("_n") == period).drop("_n")
 
 
-def ema_of(values: Column, period: int) -> Column:
-    """Exponential means of an array, from the mean of its first `period` values on; empty if it is shorter."""
-    k = 2.0 / (period + 1)
+def last_ema(values: Column, period: int) -> Column:
+    """Exponential mean at the end of an array, from the mean of its first `period` values on; null if it is shorter."""
     seed = F.aggregate(F.slice(values, 1, period), F.lit(0.0), lambda a, x: a + x) / period
     rest = F.slice(values, period + 1, F.greatest(F.size(values) - period, F.lit(0)))
-    grown = F.aggregate(rest, F.array(seed), lambda a, x: F.concat(a, F.array((x - F.element_at(a, -1)) * k + F.element_at(a, -1))))
-    return F.when(F.size(values) >= period, grown).otherwise(F.array().cast("array<double>"))
+    return F.when(F.size(values) >= period, F.aggregate(rest, seed, lambda a, x: a + (x - a) * (2.0 / (period + 1))))
+
+
+def ema(rows: DataFrame, period: int) -> DataFrame:
+    """symbol, d, close, ema of each row with `period` values up to it. A series streams through one task with one number of state."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        symbol, n, value = None, 0, 0.0
+        for pdf in parts:
+            out = []
+            for name, close in zip(pdf["symbol"], pdf["close"], strict=True):
+                if name != symbol:
+                    symbol, n, value = name, 0, 0.0
+                n += 1
+                value += close / period if n <= period else (close - value) * 2.0 / (period + 1)
+                out.append(value if n >= period else None)
+            pdf["ema"] = pd.Series(out, dtype="float64", index=pdf.index)
+            yield pdf[pdf["ema"].notna()]
+
+    dealt = rows.select(F.col("symbol").cast("string"), "d", F.col("close").cast("double")).repartition("symbol").sortWithinPartitions("symbol", "d")
+    return dealt.mapInPandas(run, "symbol string, d date, close double, ema double")
 
 
 def _wilder(period: int):

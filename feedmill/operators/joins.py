@@ -39,10 +39,10 @@ def lookup(rows: DataFrame, dimension: DataFrame, key: str, default: Column | No
 
 
 def cascade(rows: DataFrame, stages: Sequence[tuple[DataFrame, str]], value: str) -> DataFrame:
-    """rows with the value of the first stage (dimension, key) that has their key."""
+    """rows with the value of the first stage (dimension, key) that has their key; of several values of a key the least."""
     out = rows
     names = []
     for i, (dimension, key) in enumerate(stages):
         names.append(f"_v{i}")
-        out = out.join(dimension.select(key, F.col(value).alias(names[-1])).dropDuplicates([key]), key, "left")
+        out = out.join(dimension.groupBy(key).agg(F.min(value).alias(names[-1])), key, "left")
     return out.withColumn(value, F.coalesce(*names)).drop(*names)

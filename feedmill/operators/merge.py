@@ -33,8 +33,8 @@ def fill_by_precedence(today: DataFrame, history: DataFrame, key: str, sticky: S
 
 
 def fill_missing(rows: DataFrame, other: DataFrame, key: str, column: str) -> DataFrame:
-    """rows with a blank column taken from another table's row of the key."""
-    side = other.select(key, F.col(column).alias("_other")).dropDuplicates([key])
+    """rows with a blank column taken from another table's row of the key; of several the least value that is not blank."""
+    side = other.groupBy(key).agg(F.min(F.when(F.coalesce(F.trim(F.col(column)), F.lit("")) != "", F.col(column))).alias("_other"))
     value = F.when(F.coalesce(F.trim(F.col(column)), F.lit("")) == "", F.col("_other")).otherwise(F.col(column))
     return rows.join(side, key, "left").withColumn(column, value).drop("_other")
 

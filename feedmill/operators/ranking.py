@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,14 +49,29 @@ def cap_with_exemption(rows: DataFrame, source: str, score: str, order: Order, c
     return late.withColumn("_nth", nth).where((F.col("_rank") <= cap) | (F.col("_late") & (F.col("_nth") <= extra))).drop("_rank", "_late", "_nth")
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with _copy, the number of a row among those that equal it in all columns, so that every row can be named."""
+    return rows.withColumn("_copy", F.row_number().over(Window.partitionBy(*rows.columns).orderBy(F.lit(0))))
+
+
+def _mark(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Numbered rows with _chosen, whether the few chosen rows name them; nulls equal nulls."""
+    names = rows.columns
+    few = chosen.select(*(F.col(c).alias(f"_x_{i}") for i, c in enumerate(names)), F.lit(True).alias("_chosen"))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_x_{i}")) for i, c in enumerate(names)))
+    return rows.join(F.broadcast(few), same, "left").select(*names, F.coalesce("_chosen", F.lit(False)).alias("_chosen"))
+
+
 def floor_refill(rows: DataFrame, section: str, target: str, fit: Column, order: Order, floor: int = 3) -> DataFrame:
-    """Moves the best fitting rows of other sections to the target until it has `floor`; section tells where a row then stands."""
+    """Moves the best fitting rows of other sections to the target until it has `floor`; section tells where a row then stands.
+
+    A null section or fit is none of the target's and does not fit; of rows that are equal in all columns as many move as are needed.
+    """
+    each = _numbered(rows)
     here = rows.where(F.col(section) == target).agg(F.count("*").alias("_here"))
-    donors = rows.withColumn("_donor", fit & (F.col(section) != target)).crossJoin(F.broadcast(here))  # one row
-    best = donors.where("_donor").orderBy(*order).limit(floor).withColumn("_nth", F.row_number().over(Window.orderBy(*order)))
-    moved = best.where(F.col("_nth") <= floor - F.col("_here")).withColumn(section, F.lit(target)).select(*rows.columns)
-    keys = [c for c in rows.columns if c != section]
-    return rows.join(moved.select(*keys), keys, "left_anti").unionByName(moved) if keys else rows
+    best = each.where(fit & (F.col(section) != target)).orderBy(*order, "_copy").limit(floor).withColumn("_nth", F.row_number().over(Window.orderBy(*order, "_copy")))
+    moved = best.crossJoin(F.broadcast(here)).where(F.col("_nth") <= floor - F.col("_here")).select(*each.columns)  # `floor` rows by one
+    return _mark(each, moved).withColumn(section, F.when(F.col("_chosen"), target).otherwise(F.col(section))).select(*rows.columns)
 
 
 def importance_tiers(rows: DataFrame, group: Sequence[str], order: Order, top: int = 3, tail: float = 0.7) -> DataFrame:
@@ -68,13 +84,12 @@ def importance_tiers(rows: DataFrame, group: Sequence[str], order: Order, top: i
 
 def limit_level(rows: DataFrame, section: str, order: Order, level: int = 3, per_section: int = 1, overall: int = 3) -> DataFrame:
     """importance of rows of the level lowered by one where a section, or what is left in all, has more than allowed."""
-    is_level = F.col("importance") == level
-    spot = F.sum(is_level.cast("int")).over(Window.partitionBy(section).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    kept = rows.withColumn("_keep", is_level & (spot <= per_section))
-    first = kept.where("_keep").orderBy(*order).limit(overall).select(*rows.columns).withColumn("_stays", F.lit(True))
-    keys = list(rows.columns)
-    out = rows.join(first, keys, "left")
-    return out.withColumn("importance", F.when((F.col("importance") == level) & F.col("_stays").isNull(), level - 1).otherwise(F.col("importance"))).drop("_stays")
+    each = _numbered(rows)
+    is_level = F.coalesce(F.col("importance") == level, F.lit(False))
+    spot = F.sum(is_level.cast("int")).over(Window.partitionBy(section).orderBy(*order, "_copy").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    first = each.withColumn("_keep", is_level & (spot <= per_section)).where("_keep").orderBy(*order, "_copy").limit(overall).select(*each.columns)
+    lowered = F.when(is_level & ~F.col("_chosen"), level - 1).otherwise(F.col("importance"))
+    return _mark(each, first).withColumn("importance", lowered).select(*rows.columns)
 
 
 def head_and_tail(rows: DataFrame, group: Sequence[str], order: Order, cap: int, head: int = 2) -> DataFrame:

@@ -65,7 +65,7 @@ def unique(rows: DataFrame, columns: Sequence[str], rule: str = "unique", level:
 def alike(rows: DataFrame, grams: Column, key: str, threshold: float = 0.8, rule: str = "alike", level: str = "warn") -> DataFrame:
     """Pairs of rows whose piece sets are alike by more than the threshold."""
     sets = rows.select(F.col(key).alias("id"), grams.alias("grams")).where(F.size("grams") > 0)
-    found = similar_pairs(sets, sets, threshold).where((F.col("u") < F.col("v")) & (F.col("score") > threshold))
+    found = similar_pairs(sets, None, threshold).where(F.col("score") > threshold)
     return _issues(found, rule, level, "u", F.col("v"))
 
 

@@ -34,10 +34,10 @@ SELECT conv_id, turn, round(len(list_intersect(a, b)) / (len(a) + len(b) - len(l
 @query(_PAIR.format(grams=_grams("text")))
 def turn_similarity(t):
     w = Window.partitionBy("conv_id").orderBy("turn")
-    both = t.conversations.withColumn("before", F.lag("text").over(w)).where("before is not null")
-    a, b = F.col("text"), F.col("before")
-    u, v = text.tokens(a), text.tokens(b)
-    return both.select("conv_id", "turn", F.round(text.title_similarity(a, b), 6).alias("jaccard"), F.round(text.title_similarity_dice(a, b), 6).alias("dice"), F.round(text.token_jaccard(a, b), 6).alias("tokens"), F.round(text.coverage(u, v), 6).alias("coverage"))
+    sets = t.conversations.select("conv_id", "turn", text.title_bigrams(F.col("text")).alias("a"), text.tokens(F.col("text")).alias("u"))
+    both = sets.withColumn("b", F.lag("a").over(w)).withColumn("v", F.lag("u").over(w)).where("b is not null")
+    a, b, u, v = map(F.col, "abuv")
+    return both.select("conv_id", "turn", F.round(text.jaccard(a, b), 6).alias("jaccard"), F.round(text.dice(a, b), 6).alias("dice"), F.round(text.jaccard(u, v, empty=0.0), 6).alias("tokens"), F.round(text.coverage(u, v), 6).alias("coverage"))
 
 
 @query(f"""
@@ -55,10 +55,15 @@ WITH g AS (SELECT page_id, {_grams('url')} AS g FROM pages) SELECT a.page_id AS
 FROM g a JOIN g b ON a.page_id < b.page_id WHERE len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) >= 0.7""")
 def near_dup_pairs(t):
     sets = t.pages.select(F.col("page_id").alias("id"), text.title_bigrams(F.col("url")).alias("grams"))
-    return dedupe.similar_pairs(sets, sets, 0.7).where("u < v").select("u", "v", F.round("score", 6).alias("score"))
+    return dedupe.similar_pairs(sets, None, 0.7).select("u", "v", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE g AS (SELECT row_number() OVER (ORDER BY page_id) AS i, page_id AS pos, url AS title, {_grams('url')} AS g FROM pages),
+m AS (SELECT b.i, list(a.i) AS earlier FROM g a JOIN g b ON a.i < b.i WHERE len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) >= 0.7 GROUP BY b.i),
+s AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS leaders UNION ALL SELECT s.i + 1, CASE WHEN len(list_intersect(coalesce(m.earlier, []), s.leaders)) > 0 THEN s.leaders ELSE list_append(s.leaders, s.i + 1) END FROM s LEFT JOIN m ON m.i = s.i + 1 WHERE s.i < (SELECT max(i) FROM g)),
+l AS (SELECT leaders FROM s WHERE i = (SELECT max(i) FROM g)), f AS (SELECT g.i, g.pos, g.title, coalesce(list_min(list_intersect(coalesce(m.earlier, []), l.leaders)), g.i) AS leader FROM g LEFT JOIN m ON m.i = g.i, l)
+SELECT f.pos, f.title, h.pos AS leader FROM f JOIN g h ON h.i = f.leader""")
 def dedupe_greedy(t):
     return dedupe.title_clusters(t.pages.select(F.col("page_id").alias("pos"), F.col("url").alias("title")), 0.7)
 
@@ -251,7 +256,7 @@ _EMA = "list_reduce(list_prepend(list_avg({0}[1:{1}]), {0}[{1} + 1:]), lambda a,
 WITH {_SERIES}, l AS (SELECT symbol, list(close ORDER BY d) AS c FROM p GROUP BY symbol) SELECT symbol, round({_EMA.format('c', 12)}, 4) AS ema12, round({_EMA.format('c', 26)}, 4) AS ema26, len(c) AS n FROM l WHERE len(c) >= 26""")
 def ema(t):
     lists = _series(t).groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "close"))), lambda x: x["close"]).alias("c")).where(F.size("c") >= 26)  # months of a symbol
-    last = lambda n: F.round(F.element_at(indicators.ema_of(F.col("c"), n), -1), 4)
+    last = lambda n: F.round(indicators.last_ema(F.col("c"), n), 4)
     return lists.select("symbol", last(12).alias("ema12"), last(26).alias("ema26"), F.size("c").cast("long").alias("n"))
 
 
@@ -267,7 +272,13 @@ def rsi(t):
     return out.groupBy("symbol").agg(F.max("d").alias("d"), F.round(F.max_by("rsi", "d"), 4).alias("rsi"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_SERIES}, q AS (SELECT symbol, d, close, row_number() OVER (PARTITION BY symbol ORDER BY d) AS n FROM p),
+s AS (SELECT symbol, d, n, close / 12 AS a, close / 26 AS b, 0::DOUBLE AS c FROM q WHERE n = 1
+  UNION ALL SELECT q.symbol, q.d, q.n, CASE WHEN q.n <= 12 THEN s.a + q.close / 12 ELSE s.a + (q.close - s.a) * 2.0::DOUBLE / 13 END, CASE WHEN q.n <= 26 THEN s.b + q.close / 26 ELSE s.b + (q.close - s.b) * 2.0::DOUBLE / 27 END,
+    CASE WHEN q.n < 26 THEN 0 WHEN q.n <= 34 THEN s.c + ((CASE WHEN q.n <= 12 THEN s.a + q.close / 12 ELSE s.a + (q.close - s.a) * 2.0::DOUBLE / 13 END) - (CASE WHEN q.n <= 26 THEN s.b + q.close / 26 ELSE s.b + (q.close - s.b) * 2.0::DOUBLE / 27 END)) / 9
+    ELSE s.c + (((s.a + (q.close - s.a) * 2.0::DOUBLE / 13) - (s.b + (q.close - s.b) * 2.0::DOUBLE / 27)) - s.c) * 2.0::DOUBLE / 10 END FROM s JOIN q ON q.symbol = s.symbol AND q.n = s.n + 1)
+SELECT symbol, d, round(a - b, 4) AS macd, round(c, 4) AS signal, round(a - b - c, 4) AS histogram FROM s WHERE n >= 34""")
 def macd(t):
     out = indicators.macd(_series(t))
     return out.select("symbol", "d", *(F.round(c, 4).alias(c) for c in ("macd", "signal", "histogram")))

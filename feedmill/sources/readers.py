@@ -38,8 +38,9 @@ def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False
 
 
 def dated_lines(spark: SparkSession, path: str, schema: str, since: str | None = None, until: str | None = None) -> DataFrame:
-    """JSON lines of files with a date in their names, with `day`; the filter on it prunes by file name before rows are parsed."""
-    rows = spark.read.schema(schema).json(path).withColumn("day", F.to_date(F.regexp_extract(F.input_file_name(), r"(\d{4}-\d{2}-\d{2})[^/]*$", 1)))
+    """JSON lines of files with a date in their names, with `day`; a filter on it is one on the file's name, so other files are not read."""
+    rows = spark.read.schema(schema).json(path)
+    rows = rows.select("*", F.to_date(F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4}-\d{2}-\d{2})", 1)).alias("day"))
     if since:
         rows = rows.where(F.col("day") >= F.to_date(F.lit(since)))
     return rows.where(F.col("day") <= F.to_date(F.lit(until))) if until else rows

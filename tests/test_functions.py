@@ -45,7 +45,8 @@ def test_texts(spark):
     assert column(spark, ["One. Bad one! Two."], lambda c: text.scrub_sentences(c, "(?i)bad")) == ["One. Two."]
     assert column(spark, ["<p>a&amp;b</p><script>x<y</script><!-- c --> d"], text.html_to_text) == ["a&b d"]
     assert column(spark, ["", "abcd", "abcde", "日本x"], text.estimate_tokens) == [0, 1, 2, 3]
-    assert column(spark, ["```json\n{\"a\": 1}\n```", "no", "[1, 2] x", "{bad"], text.first_json) == ['{"a": 1}', None, "[1, 2]", None]
+    cases = ["```json\n{\"a\": 1}\n```", "no", "[1, 2] x", "{bad", '{"a":1} then {"b":2}', 'so: [{"a": "}]"}, {"b": "\\\\\\""}] end]', None, "", '{"a": [1}']
+    assert column(spark, cases, text.first_json) == ['{"a": 1}', None, "[1, 2]", None, '{"a":1}', '[{"a": "}]"}, {"b": "\\\\\\""}]', None, None, None]
     assert column(spark, ["up 3.5 % in 40 years, 7"], text.numeric_anchors) == [["3.5%", "40years"]]
     assert column(spark, ["a, b; ;c."], text.split_clauses) == [["a", "b", "c"]]
     assert column(spark, [-1.5, 1.5, 2.4], text.round_half_up, "double") == [-1, 2, 2]

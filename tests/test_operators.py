@@ -92,6 +92,36 @@ def test_floor_and_next_unused(spark):
     assert spark.range(1).select(ranking.next_unused(F.array(F.lit("x"), F.lit("y")), F.array(F.lit("x")))).first()[0] == "y"
 
 
+def test_floor_and_level_with_nulls_and_repeated_rows(spark):
+    schema = "id int, section string, score int, note string"
+    rows = [(1, "a", 5, None), (2, "b", 9, None), (2, "b", 9, None), (3, "b", 7, "x"), (4, None, 8, None)]
+    out = sorted((r.id, str(r.section)) for r in ranking.floor_refill(spark.createDataFrame(rows, schema), "section", "a", F.col("score") > 2, [F.desc("score"), "id"], 3).collect())
+    assert out == [(1, "a"), (2, "a"), (2, "a"), (3, "b"), (4, "None")]
+    rows = [(1, "a", 3, None), (1, "a", 3, None), (2, "b", 3, None), (3, "b", None, None), (4, "c", 1, "x"), (5, None, 3, None)]
+    frame = spark.createDataFrame(rows, "id int, section string, importance int, note string")
+    out = sorted((r.id, str(r.section), str(r.importance)) for r in ranking.limit_level(frame, "section", ["id"], 3, 1, 2).collect())
+    assert out == [(1, "a", "2"), (1, "a", "3"), (2, "b", "3"), (3, "b", "None"), (4, "c", "1"), (5, "None", "2")]
+
+
+def test_greedy_clusters_match_a_scan(spark):
+    import random
+
+    rng = random.Random(4)
+    titles = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in range(120)]
+    links = [rng.choice([None, "", "l1", "l2", f"x{i}"]) for i in range(120)]
+    grams = lambda s: {s[i : i + 2] for i in range(len(s) - 1)} or ({s} if s else set())
+    like = lambda a, b: len(grams(a) & grams(b)) >= 0.7 * len(grams(a) | grams(b))
+    leaders, want = [], {}
+    for i, title in enumerate(titles):
+        found = [j for j in leaders if like(title, titles[j]) or (links[i] and links[i] == links[j])]
+        want[i] = found[0] if found else i
+        if not found:
+            leaders.append(i)
+    frame = spark.createDataFrame([(i, t, u) for i, (t, u) in enumerate(zip(titles, links, strict=True))], "pos long, title string, url string")
+    got = {r.pos: r.leader for r in dedupe.title_clusters(frame, 0.7, F.col("url")).collect()}
+    assert got == want
+
+
 def test_merges(spark):
     schema = "url string, title string, at int"
     old, new = spark.createDataFrame([("a", "old", 1), ("b", "old", 5)], schema), spark.createDataFrame([("a", "new", 1), ("b", "new", 4), ("c", "new", None)], schema)
@@ -141,8 +171,8 @@ def test_indicators_match_loops(spark):
     line = [a - b for a, b in zip(fast[-len(slow) :], slow, strict=True)]
     assert last(indicators.macd(frame), "signal")["a"] == pytest.approx(ema_list(line, 9)[-1])
     assert last(indicators.sma(frame, "close", 20), "sma")["a"] == pytest.approx(sum(close[-20:]) / 20)
-    values = spark.createDataFrame([(close,)], "c array<double>").select(indicators.ema_of(F.col("c"), 12)).first()[0]
-    assert values == pytest.approx(fast)
+    value = spark.createDataFrame([(close,)], "c array<double>").select(indicators.last_ema(F.col("c"), 12)).first()[0]
+    assert value == pytest.approx(fast[-1]) and last(indicators.ema(frame, 12), "ema")["a"] == pytest.approx(fast[-1])
     crossed = indicators.crosses(frame.withColumn("level", F.lit(104.0)), "close", "level").where("symbol = 'a'").orderBy("i").collect()
     want = [(i, "up" if close[i] > 104 else "down") for i in range(1, 80) if (close[i - 1] - 104) * (close[i] - 104) < 0]
     assert [(r.i, r.direction) for r in crossed] == want
