@@ -63,3 +63,13 @@ def cue_sum(text: Column, cues: Sequence[tuple[Sequence[str], float]], most: flo
     for words, weight in cues:
         total = total + F.when(hits(text, words), float(weight)).otherwise(0.0)
     return F.least(total, F.lit(float(most)))
+
+
+def guarded(text: Column, strict: Sequence[str], loose: Sequence[str], guard: Sequence[str]) -> Column:
+    """Whether a strict word hits, or a loose one together with a guard."""
+    return hits(text, strict) | (hits(text, loose) & hits(text, guard))
+
+
+def vetoed(value: Column, text: Column, words: Sequence[str], other: float = 0.0) -> Column:
+    """value, but `other` where one of the words hits."""
+    return F.when(hits(text, words), float(other)).otherwise(value)

@@ -188,3 +188,38 @@ def first_json(text: Column) -> Column:
 def round_half_up(x: Column) -> Column:
     """Nearest integer, halves toward positive infinity."""
     return F.floor(x + 0.5)
+
+
+def clip_at_clause(text: Column, most: int, marks: str = "，；、") -> Column:
+    """A longer text cut at `most` characters, or before the last mark in the second half of those."""
+    cut = F.substring(text, 1, most)
+    tail = F.length(F.regexp_extract(cut, f"([{marks}][^{marks}]*)$", 1))
+    at = F.lit(most) - tail
+    return F.when(F.length(text) <= most, text).when((tail > 0) & (at >= most // 2), F.substring(cut, F.lit(1), at)).otherwise(cut)
+
+
+def without_prefix(text: Column, prefix: str) -> Column:
+    """Trimmed text without a fixed beginning."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    return F.when(t.startswith(prefix), F.trim(F.substring(t, len(prefix) + 1, 1 << 20))).otherwise(t)
+
+
+def longest_common_span(a: Column, b: Column, least: int = 2) -> Column:
+    """Length of the longest run of characters that two short texts share, 0 if it is shorter than `least`: one row of the usual table for each character."""
+
+    def table(p: Column) -> Column:
+        def step(s: Column, c: Column) -> Column:
+            row = F.transform(p["b"], lambda x, j: F.when(x == c, F.when(j == 0, 1).otherwise(F.coalesce(F.get(s["row"], j - 1), F.lit(0)) + 1)).otherwise(0))
+            return bound(row, lambda r: F.struct(r.alias("row"), F.greatest(s["best"], F.coalesce(F.array_max(r), F.lit(0))).alias("best")))
+
+        start = F.struct(F.array().cast("array<int>").alias("row"), F.lit(0).alias("best"))
+        return F.aggregate(p["a"], start, step, lambda s: F.when(s["best"] >= least, s["best"]).otherwise(0))
+
+    chars = lambda t: F.filter(F.split(F.coalesce(t, F.lit("")), ""), lambda c: c != "")
+    return bound(F.struct(chars(a).alias("a"), chars(b).alias("b")), table)
+
+
+def mapped_tags(tags: Column, names: dict[str, str]) -> Column:
+    """Tags followed by the group that each stands for, without repeats."""
+    groups = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    return F.array_distinct(F.concat(tags, F.array_compact(F.transform(tags, lambda t: F.element_at(groups, t)))))

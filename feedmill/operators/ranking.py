@@ -110,3 +110,30 @@ def final_ranks(rows: DataFrame, section: str, pinned: Column, order: Order) ->
 def next_unused(order: Column, used: Column) -> Column:
     """First of an ordered array that another lacks, null if none is left."""
     return F.get(F.array_except(order, used), F.lit(0))
+
+
+def take_first_today(rows: DataFrame, today: Column, order: Order, n: int) -> DataFrame:
+    """First n rows, today's before others, each in the given order."""
+    return rows.orderBy(F.desc(F.coalesce(today, F.lit(False)).cast("int")), *order).limit(n)
+
+
+def by_tier_and_time(rows: DataFrame, group: Sequence[str], tagged: Column, precision: Column, tier_rank: Column, at: Column, key: str) -> DataFrame:
+    """rows with their place in a group: tagged ones first, then by precision of the time, tier (higher first), and time (later first)."""
+    window = Window.partitionBy(*group).orderBy(F.desc(tagged.cast("int")), precision, F.desc(tier_rank), F.desc_nulls_last(at), key)
+    return rows.withColumn("place", F.row_number().over(window))
+
+
+def value_score(importance: Column, local: Column, business: Column) -> Column:
+    """10 for each level of importance (2 if unknown), 5 for a local row, 3 for a business tag."""
+    return F.coalesce(importance, F.lit(2)) * 10 + F.when(local, 5).otherwise(0) + F.when(business, 3).otherwise(0)
+
+
+def best_per_group(rows: DataFrame, group: Sequence[str], score: Column, order: Order) -> DataFrame:
+    """The row of each group with the greatest score, then the first in order."""
+    return top_per_group(rows.withColumn("_score", score), group, [F.desc("_score"), *order], 1).drop("_score")
+
+
+def balanced_pick(rows: DataFrame, kind: str, order: Order, target: int, floor: int = 1) -> DataFrame:
+    """`target` rows in order, but the first `floor` of every kind before all others."""
+    place = F.row_number().over(Window.partitionBy(kind).orderBy(*order))
+    return rows.withColumn("_place", place).orderBy(F.desc((F.col("_place") <= floor).cast("int")), *order).limit(target).drop("_place")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -49,3 +49,23 @@ def classify_error(text: Column) -> Column:
 def tag_counts(rows: DataFrame, tags: str) -> DataFrame:
     """tag, n over all rows, most frequent first."""
     return rows.select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag")
+
+
+def coverage(rows: DataFrame, key: str, lines: Column, names: Sequence[str], examples: int = 2) -> DataFrame:
+    """line, n, examples of every named line, those without a row too: how many rows have it, and the first keys among them."""
+    each = rows.select(F.col(key).alias("_key"), F.explode(F.array_distinct(lines)).alias("line"))
+    place = F.row_number().over(Window.partitionBy("line").orderBy("_key"))
+    first = each.withColumn("_place", place).where(F.col("_place") <= examples).groupBy("line").agg(F.array_sort(F.collect_list("_key")).alias("examples"))  # `examples` keys
+    counted = each.groupBy("line").agg(F.count("*").alias("n"))
+    every = rows.sparkSession.createDataFrame([(n,) for n in names], "line string")
+    return every.join(counted, "line", "left").join(first, "line", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def in_order(rows: DataFrame, group: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """rows with their `place` in a group: what a list of each group would hold, without one."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+
+
+def latest_at(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The latest of all times in several columns, nulls aside: one row."""
+    return rows.agg(F.greatest(*(F.max(c) for c in columns)).alias("latest") if len(columns) > 1 else F.max(columns[0]).alias("latest"))
