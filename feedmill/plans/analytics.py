@@ -59,8 +59,8 @@ def near_dup_pairs(t):
 
 
 @query(f"""
-WITH RECURSIVE g AS (SELECT row_number() OVER (ORDER BY page_id) AS i, page_id AS pos, url AS title, {_grams('url')} AS g FROM pages),
-m AS (SELECT b.i, list(a.i) AS earlier FROM g a JOIN g b ON a.i < b.i WHERE len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) >= 0.7 GROUP BY b.i),
+WITH RECURSIVE g AS MATERIALIZED (SELECT row_number() OVER (ORDER BY page_id) AS i, page_id AS pos, url AS title, {_grams('url')} AS g FROM pages),
+m AS MATERIALIZED (SELECT b.i, list(a.i) AS earlier FROM g a JOIN g b ON a.i < b.i WHERE len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) >= 0.7 GROUP BY b.i),
 s AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS leaders UNION ALL SELECT s.i + 1, CASE WHEN len(list_intersect(coalesce(m.earlier, []), s.leaders)) > 0 THEN s.leaders ELSE list_append(s.leaders, s.i + 1) END FROM s LEFT JOIN m ON m.i = s.i + 1 WHERE s.i < (SELECT max(i) FROM g)),
 l AS (SELECT leaders FROM s WHERE i = (SELECT max(i) FROM g)), f AS (SELECT g.i, g.pos, g.title, coalesce(list_min(list_intersect(coalesce(m.earlier, []), l.leaders)), g.i) AS leader FROM g LEFT JOIN m ON m.i = g.i, l)
 SELECT f.pos, f.title, h.pos AS leader FROM f JOIN g h ON h.i = f.leader""")
@@ -273,7 +273,7 @@ def rsi(t):
 
 
 @query(f"""
-WITH RECURSIVE {_SERIES}, q AS (SELECT symbol, d, close, row_number() OVER (PARTITION BY symbol ORDER BY d) AS n FROM p),
+WITH RECURSIVE {_SERIES}, q AS MATERIALIZED (SELECT symbol, d, close, row_number() OVER (PARTITION BY symbol ORDER BY d) AS n FROM p),
 s AS (SELECT symbol, d, n, close / 12 AS a, close / 26 AS b, 0::DOUBLE AS c FROM q WHERE n = 1
   UNION ALL SELECT q.symbol, q.d, q.n, CASE WHEN q.n <= 12 THEN s.a + q.close / 12 ELSE s.a + (q.close - s.a) * 2.0::DOUBLE / 13 END, CASE WHEN q.n <= 26 THEN s.b + q.close / 26 ELSE s.b + (q.close - s.b) * 2.0::DOUBLE / 27 END,
     CASE WHEN q.n < 26 THEN 0 WHEN q.n <= 34 THEN s.c + ((CASE WHEN q.n <= 12 THEN s.a + q.close / 12 ELSE s.a + (q.close - s.a) * 2.0::DOUBLE / 13 END) - (CASE WHEN q.n <= 26 THEN s.b + q.close / 26 ELSE s.b + (q.close - s.b) * 2.0::DOUBLE / 27 END)) / 9

@@ -89,8 +89,8 @@ def event_novelty(t):
 
 
 _GREEDY = f"""
-s AS (SELECT row_number() OVER (ORDER BY pos) AS i, pos, url, fp FROM r),
-m AS (SELECT b.i, list(a.i) AS earlier FROM s a JOIN s b ON a.i < b.i WHERE (a.url <> '' AND a.url = b.url) OR {_SAME.format('a.fp', 'b.fp')} GROUP BY b.i),
+s AS MATERIALIZED (SELECT row_number() OVER (ORDER BY pos) AS i, pos, url, fp FROM r),
+m AS MATERIALIZED (SELECT b.i, list(a.i) AS earlier FROM s a JOIN s b ON a.i < b.i WHERE (a.url <> '' AND a.url = b.url) OR {_SAME.format('a.fp', 'b.fp')} GROUP BY b.i),
 g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT g.i + 1, CASE WHEN len(list_intersect(coalesce(m.earlier, []), g.kept)) > 0 THEN g.kept ELSE list_append(g.kept, g.i + 1) END FROM g LEFT JOIN m ON m.i = g.i + 1 WHERE g.i < (SELECT max(i) FROM s))
 SELECT s.pos FROM s, (SELECT kept FROM g WHERE i = (SELECT max(i) FROM s)) WHERE list_contains(kept, s.i)"""
 

@@ -15,7 +15,7 @@ _DICE = "2 * len(list_intersect({0}, {1})) / (len({0}) + len({1}))"
 
 @query("""
 WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, o_orderdate + to_hours((o_orderkey % 3) * 8) AS seen FROM orders)
-SELECT o_orderkey, day - 3 AS before, strftime(day, '%m/%d') || ',' || strftime(day - 1, '%m/%d') || ',' || strftime(day - 2, '%m/%d') AS recent, hour(seen) IN (0, 16) AS day_only, day AS in_url,
+SELECT o_orderkey, day - 3 AS before, strftime(day, '%m/%d') || ',' || strftime(day - 1, '%m/%d') || ',' || strftime(day - 2, '%m/%d') AS recent, hour(seen) IN (0, 16) AS day_only, CASE WHEN year(day) >= 2000 THEN day END AS in_url,
   greatest(date_diff('day', day, DATE '1999-01-16'), 0) AS clamped, date_diff('day', day, DATE '1999-01-16') AS signed FROM o""")
 def calendar(t):
     day, today = F.to_date("o_orderdate"), F.lit("1999-01-16").cast("date")
