@@ -28,7 +28,7 @@ EPOCHS, RATE, RIDGE = 14, 0.15, 1e-3
 #: Training sequences of a step, and those of them that are held at once.
 STEP, TOGETHER = 4096, 512
 #: Words x languages that a forward-backward pass over padded texts holds at once, texts split into words at once, words whose scores a worker keeps.
-CELLS, ROWS, CACHE = 250_000, 128, 100_000
+CELLS, ROWS, CACHE = 500_000, 1024, 100_000
 #: Characters beyond which a text is taken in pieces of so many words.
 LONG, PIECE = 200_000, 8192
 
