@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedmill.operators.components import components
 from feedmill.storage import forget, new_path, shared_dir, written
 
-__all__ = ["ascii_words", "bucket_of", "components", "forget", "held_alone", "in_pieces", "local_roots", "new_path", "shared_dir", "small_batches", "written"]
+__all__ = ["ascii_words", "bucket_of", "components", "forget", "held_alone", "in_pieces", "local_roots", "new_path", "shared_dir", "small_batches", "whole_groups", "written"]
 
 #: Rows that a Python worker gets at once: with whole texts in them, Spark's 10,000 are tens of MB in the JVM and again in the worker.
 BATCH_ROWS = 1024
@@ -49,6 +50,27 @@ def in_pieces(dealt: DataFrame, sizes: DataFrame, on: list[str], unit: str, piec
     return out.withColumn("low", F.least("piece", "other")).withColumn("high", F.greatest("piece", "other")).drop("size", "pieces", "other")
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """The groups of a partition that is sorted by those columns, one at a time; no more is held than a group and a batch."""
+    parts: list[pa.Table] = []  # of the group that the next batch may go on with
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        named = np.stack([table[c].to_numpy() for c in by])
+        starts = [0, *(np.flatnonzero((named[:, 1:] != named[:, :-1]).any(axis=0)) + 1), table.num_rows]
+        if parts and any(parts[-1][c][-1].as_py() != table[c][0].as_py() for c in by):
+            yield pa.concat_tables(parts)
+            parts = []
+        for a, b in zip(starts, starts[1:], strict=False):
+            if a:
+                yield pa.concat_tables(parts)
+                parts = []
+            parts.append(table.slice(a, b - a))
+    if parts:
+        yield pa.concat_tables(parts)
+
+
 def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """For each of n nodes the least node that the links i-j reach, by label passing with pointer jumps."""
     label = np.arange(n)

@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedmill.llm.common import components, in_pieces, local_roots, written
+from feedmill.llm.common import components, in_pieces, local_roots, whole_groups, written
 
 #: Vectors that one bucket holds on average, whatever their number: key bits grow with its logarithm.
-BUCKET = 256
+BUCKET = 512
 #: Chance with which a pair exactly at the threshold shares a bucket of some table; closer pairs do more often.
-RECALL = 0.99
+RECALL = 0.999
 #: Deviations that the bound on an estimate allows; beyond it a link would be missed with chance below 1e-4.
 DEVIATIONS = 4.0
 #: Rows of a bucket that one task compares with one another; a larger bucket is dealt as pairs of pieces.
@@ -46,8 +46,17 @@ class Codes:
         first = turned[:, : self.dim]
         signs = np.where(first > 0, 1.0, -1.0)
         factor = np.abs(first).sum(axis=1) / math.sqrt(self.dim)
-        set_ = (turned[:, : self.tables * self.bits] > 0).reshape(len(unit), self.tables, self.bits)
-        return first, signs, factor, set_ @ (1 << np.arange(self.bits, dtype=np.int64))
+        return first, signs, factor, self.keys(turned > 0)
+
+    def keys(self, set_: np.ndarray) -> np.ndarray:
+        """Bucket keys (rows x tables) of set bits, one a column."""
+        return set_[:, : self.tables * self.bits].reshape(len(set_), self.tables, self.bits) @ (1 << np.arange(self.bits, dtype=np.int64))
+
+    def packed(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """rotated, the bits of all rotations' signs as bytes (the code stands first), factor, keys."""
+        turned = unit @ self.turns
+        first = turned[:, : self.dim]
+        return first, np.packbits(turned > 0, axis=1), np.abs(first).sum(axis=1) / math.sqrt(self.dim), self.keys(turned > 0)
 
 
 def estimate(signs: np.ndarray, factor: np.ndarray, rotated: np.ndarray) -> np.ndarray:
@@ -90,67 +99,105 @@ def _unit(raw: list[bytes] | pa.Array, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _bucketed(coder: Codes):
+def _stored(coder: Codes):
+    """What is stored of each vector: its code, correction factor, rotation in single bytes with their scale and what that rounding loses, bucket keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = coder(_unit(batch.column("vec").to_pylist(), coder.dim))[3]
+                first, bits, factor, keys = coder.packed(_unit(batch.column("vec").to_pylist(), coder.dim))
+                scale = np.abs(first).max(axis=1) / 127
+                whole = np.rint(first / scale[:, None]).astype(np.int8)
+                lost = np.linalg.norm(first - whole * scale[:, None], axis=1)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * coder.tables), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("copies"), batch.column("vec"), flat], ["uid", "copies", "vec", "keys"])
+                codes = [pa.array([r.tobytes() for r in part], pa.binary()) for part in (bits, whole)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "uid", "copies")), codes[0], pa.array(factor), codes[1], pa.array(scale), pa.array(lost), flat], _names(STORED + ", keys array<long>"))
 
     return run
 
 
-def _compared(coder: Codes, threshold: float):
-    """Links within the groups of a task: for each vector the copies it links with and the least uid it reaches."""
-
-    def group(rows: dict[str, np.ndarray], coded: tuple[np.ndarray, ...], unit: np.ndarray, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rotated, signs, factor, keys = coded
-        piece, own = rows["piece"][at], rows["tab"][at[0]]
-        across = rows["low"][at[0]] != rows["high"][at[0]]
-        left = at[piece == rows["low"][at[0]]] if across else at
-        right = at[piece == rows["high"][at[0]]] if across else at
-        ii, jj = [], []
-        for a in range(0, len(left), 512):
-            rowset = left[a : a + 512]
-            maybe = estimate(signs[rowset], factor[rowset], rotated[right]) >= (threshold - margin(factor[rowset], coder.dim, threshold))[:, None]
+#: Columns of a stored code, and those that name the group a row is compared in.
+STORED = "key binary, uid long, copies long, bits binary, factor double, turned binary, scale double, lost double"
+GROUP = "tab int, bucket long, low long, high long"
+
+
+def _names(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(", ")]
+
+
+class Bucket:
+    """Stored codes of one group of rows, and the pairs of them that the bounds leave open."""
+
+    def __init__(self, coder: Codes, threshold: float, rows: pa.Table):
+        self.dim = coder.dim
+        signs = np.unpackbits(np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint8).reshape(rows.num_rows, -1), axis=1)
+        self.keys = coder.keys(signs)[:, : rows["tab"][0].as_py()]  # of the tables before this one
+        self.signs = np.where(signs[:, : self.dim], np.float32(1), np.float32(-1))
+        self.turned = np.frombuffer(b"".join(rows["turned"].to_pylist()), np.int8).reshape(-1, self.dim).astype(np.float32)
+        self.factor, self.scale, lost = (rows[c].to_numpy() for c in ("factor", "scale", "lost"))
+        # estimate >= threshold - margin - lost / factor, times factor * sqrt(dim); single precision adds less than 1e-5
+        self.least = ((threshold - margin(self.factor, self.dim, threshold) - 1e-5) * self.factor * math.sqrt(self.dim)).astype(np.float32)
+        self.spare = (lost * math.sqrt(self.dim)).astype(np.float32)
+        self.scale = self.scale.astype(np.float32)
+        low, high, piece = rows["low"][0].as_py(), rows["high"][0].as_py(), rows["piece"].to_numpy()
+        self.across = low != high
+        self.left = np.flatnonzero(piece == low) if self.across else np.arange(rows.num_rows)
+        self.right = np.flatnonzero(piece == high) if self.across else self.left
+
+    def open_pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs whose estimates, from the code of either side, lie within the bounds and that no earlier table brought together."""
+        for a in range(0, len(self.left), 512):
+            rowset = self.left[a : a + 512]
+            maybe = (self.signs[rowset] @ self.turned[self.right].T) * self.scale[self.right] + self.spare[self.right] >= self.least[rowset][:, None]
             p, q = np.nonzero(maybe)
-            if not across:
+            if not self.across:
                 p, q = p[q > p + a], q[q > p + a]
-            p, q = rowset[p], right[q]
-            for b in range(0, len(p), 50_000):  # only these pairs are computed in full
+            p, q = rowset[p], self.right[q]
+            for b in range(0, len(p), 50_000):
                 i, j = p[b : b + 50_000], q[b : b + 50_000]
+                back = np.einsum("ij,ij->i", self.signs[j], self.turned[i]) * self.scale[i] + self.spare[i] >= self.least[j]
+                i, j = i[back], j[back]
+                fresh = ~(self.keys[i] == self.keys[j]).any(axis=1)
+                yield i[fresh], j[fresh]
+
+
+def _survivors(coder: Codes, threshold: float):
+    """The rows of each group that stand in a pair which needs exact computation."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, _names(GROUP)):
+            if rows.num_rows < 2:
+                continue
+            used = np.zeros(rows.num_rows, bool)
+            for i, j in Bucket(coder, threshold, rows).open_pairs():
+                used[i] = used[j] = True
+            if used.any():
+                yield from rows.filter(pa.array(used)).combine_chunks().to_batches()
+
+    return run
+
+
+def _compared(coder: Codes, threshold: float):
+    """Links within each group: for each vector the copies it links with and the least uid it reaches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, _names(GROUP)):
+            unit, copies = _unit(rows["vec"].to_pylist(), coder.dim), rows["copies"].to_numpy()
+            count, ii, jj = np.zeros(len(unit), np.int64), [], []
+            for i, j in Bucket(coder, threshold, rows).open_pairs():  # only these pairs are computed in full
                 near = np.einsum("ij,ij->i", unit[i], unit[j]) >= threshold
                 i, j = i[near], j[near]
-                if own:
-                    fresh = ~(keys[i, :own] == keys[j, :own]).any(axis=1)  # an earlier table has counted the rest
-                    i, j = i[fresh], j[fresh]
-                np.add.at(count, i, rows["copies"][j])
-                np.add.at(count, j, rows["copies"][i])
+                np.add.at(count, i, copies[j])
+                np.add.at(count, j, copies[i])
                 ii.append(i)
                 jj.append(j)
-        return np.concatenate(ii) if ii else np.empty(0, int), np.concatenate(jj) if jj else np.empty(0, int)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        whole = pa.Table.from_batches(got)
-        rows = {c: whole[c].to_numpy() for c in ("uid", "copies", "tab", "bucket", "piece", "low", "high")}
-        unit = _unit(whole["vec"].to_pylist(), coder.dim)
-        coded = coder(unit)
-        order = np.lexsort((rows["uid"], rows["high"], rows["low"], rows["bucket"], rows["tab"]))
-        named = np.stack([rows[c][order] for c in ("tab", "bucket", "low", "high")])
-        starts = np.flatnonzero(np.concatenate(([True], (named[:, 1:] != named[:, :-1]).any(axis=0))))
-        count = np.zeros(len(unit), np.int64)
-        edges = [group(rows, coded, unit, order[a:b], count) for a, b in zip(starts, [*starts[1:], len(order)], strict=True) if b - a > 1]
-        ids, place = np.unique(rows["uid"], return_inverse=True)
-        i = place[np.concatenate([e[0] for e in edges])] if edges else np.empty(0, int)
-        j = place[np.concatenate([e[1] for e in edges])] if edges else np.empty(0, int)
-        root, total = local_roots(len(ids), i, j), np.zeros(len(ids), np.int64)
-        np.add.at(total, place, count)
-        used = np.flatnonzero((total > 0) | (root != np.arange(len(ids))))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[used]), pa.array(total[used]), pa.array(ids[root[used]])], ["uid", "n", "root"])
+            if not count.any():
+                continue
+            ids, place = np.unique(rows["uid"].to_numpy(), return_inverse=True)
+            root, total = local_roots(len(ids), place[np.concatenate(ii)], place[np.concatenate(jj)]), np.zeros(len(ids), np.int64)
+            np.add.at(total, place, count)
+            used = np.flatnonzero(total > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[used]), pa.array(total[used]), pa.array(ids[root[used]])], ["uid", "n", "root"])
 
     return run
 
@@ -165,12 +212,15 @@ def tables_for(n: int, threshold: float) -> tuple[int, int]:
 def _links(unique: DataFrame, dim: int, n: int, threshold: float) -> DataFrame:
     bits, tables = tables_for(n, threshold)
     coder = Codes(dim, tables, bits)
-    keyed = written(unique.where(F.col("dim") == dim).select("uid", "copies", "vec").mapInArrow(_bucketed(coder), "uid long, copies long, vec binary, keys array<long>"), "codes")
-    dealt = keyed.select("uid", "copies", "vec", F.posexplode("keys").alias("tab", "bucket"))
-    hot = written(keyed.select(F.posexplode("keys").alias("tab", "bucket")).groupBy("tab", "bucket").agg(F.count("*").alias("size")).where(F.col("size") > 2 * PIECE), "hot")
-    dealt = in_pieces(dealt, hot, ["tab", "bucket"], "uid", PIECE)
-    dealt = dealt.select("uid", "copies", "tab", "bucket", "piece", "low", "high", "vec").repartition("tab", "bucket", "low", "high")
-    return dealt.mapInArrow(_compared(coder, threshold), "uid long, n long, root long")
+    own = unique.where(F.col("dim") == dim)
+    codes = written(own.select("key", "uid", "copies", "vec").mapInArrow(_stored(coder), STORED + ", keys array<long>"), "codes")
+    hot = written(codes.select(F.posexplode("keys").alias("tab", "bucket")).groupBy("tab", "bucket").agg(F.count("*").alias("size")).where(F.col("size") > 2 * PIECE), "hot")
+    dealt = in_pieces(codes.select(*_names(STORED), F.posexplode("keys").alias("tab", "bucket")), hot, ["tab", "bucket"], "uid", PIECE)
+    group, columns = _names(GROUP), [*_names(GROUP), "piece", *_names(STORED)]
+    dealt = dealt.select(*columns).repartition(*group).sortWithinPartitions(*group)
+    left = written(dealt.mapInArrow(_survivors(coder, threshold), f"{GROUP}, piece long, {STORED}"), "survivors")
+    exact = left.join(own.select("key", "vec"), "key").select(*columns, "vec").repartition(*group).sortWithinPartitions(*group)
+    return exact.mapInArrow(_compared(coder, threshold), "uid long, n long, root long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
@@ -182,9 +232,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     vec_id still counts as a link of others, and has a null component if nothing with an id is in reach. Other columns are ignored.
 
     Candidates share a bucket, that is the bits of a randomised rotation's signs that a table takes; a pair
-    counts in the first table where it does. Of those, the estimate from one side's binary code and correction
-    factor, plus its confidence bound, decides which are computed in double precision; only that result links.
-    Tasks give back counts and spanning forests, never pairs.
+    counts in the first table where it does. Codes, correction factors and rotations rounded to bytes are stored
+    once and stand for the vectors in the buckets; estimates from either side's code with their confidence bounds
+    decide which rows of a bucket are joined with their vectors and which pairs are computed in double precision;
+    only that result links. Tasks hold a group at a time and give back counts and spanning forests, never pairs.
     """
     spark = vectors.sparkSession
     base = written(_clean(vectors), "vectors")
