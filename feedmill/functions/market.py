@@ -47,6 +47,30 @@ def conflicts(moves: Column, quotes: Column, tolerance: float = 0.05) -> Column:
     return F.exists(moves, differs)
 
 
+def overview(quotes: Column) -> Column:
+    """A sentence of the quotes (name, value, change); null without any."""
+    each = F.transform(quotes, lambda q: F.concat(q["name"], F.lit("收报"), q["value"], F.lit("点"), F.when(F.coalesce(q["change"], F.lit("")) == "", "").otherwise(F.concat(F.lit("（"), q["change"], F.lit("）")))))
+    return F.when(F.size(quotes) > 0, F.concat(F.array_join(each, "；"), F.lit("。")))
+
+
+def recap_card(clauses: Column, quotes: Column, names: Sequence[str], up: str, down: str, noise: str, most: int = 5) -> Column:
+    """Struct of overview and sectors from a report's clauses; null if fewer than two clauses tell anything.
+
+    Clauses that are short, noise or cut off tell nothing. Sectors are those that don't just repeat a move. The
+    overview is that of the quotes (name, value, change, pct), but where they conflict with the report its own moves.
+    """
+    told = F.filter(clauses, lambda c: (F.length(c) >= 4) & ~c.rlike(noise) & ~c.rlike(r"(?:^|[^\d])[多少]$"))
+
+    def card(kept: Column) -> Column:
+        sectors = F.slice(F.filter(kept, lambda c: ~is_move_only(c, names)), 1, most)
+        moving = F.filter(kept, lambda c: F.size(index_moves(F.array(c), names, up, down)) > 0)
+        own = F.concat(F.when(F.size(moving) > 0, F.array_join(moving, "，")).otherwise(kept[0]), F.lit("。"))
+        said = F.when(conflicts(index_moves(kept, names, up, down), quotes), own).otherwise(F.coalesce(overview(quotes), kept[0]))
+        return F.when(F.size(kept) >= 2, F.struct(said.alias("overview"), sectors.alias("sectors")))
+
+    return bound(told, card)
+
+
 def is_recap(title: Column, recap: str, intraday: str) -> Column:
     """Whether a title is a report after the close and not one of the running day."""
     return F.coalesce(title.rlike(recap) & ~title.rlike(intraday), F.lit(False))

@@ -137,3 +137,14 @@ def balanced_pick(rows: DataFrame, kind: str, order: Order, target: int, floor:
     """`target` rows in order, but the first `floor` of every kind before all others."""
     place = F.row_number().over(Window.partitionBy(kind).orderBy(*order))
     return rows.withColumn("_place", place).orderBy(F.desc((F.col("_place") <= floor).cast("int")), *order).limit(target).drop("_place")
+
+
+def reading_score(importance: Column, tagged: Column, position: Column, bonus: float = 3.0) -> Column:
+    """10 or 5 by importance (null counts as 2), a bonus for tagged rows, and a little for the first two positions (from 0)."""
+    level = F.coalesce(importance, F.lit(2))
+    return F.when(level == 3, 10.0).when(level == 2, 5.0).otherwise(0.0) + F.when(tagged, bonus).otherwise(0.0) + F.when(position == 0, 1.0).when(position == 1, 0.5).otherwise(0.0)
+
+
+def all_or_quota(rows: DataFrame, source: str, order: Order, n: int, per_source: int = 2) -> DataFrame:
+    """All rows if they are n at most, else the n best with at most per_source of each source. No more than n + 1 rows are counted."""
+    return rows if rows.limit(n + 1).count() <= n else interleaved_quota(rows, source, order, per_source, n)
