@@ -134,9 +134,9 @@ def best_per_group(rows: DataFrame, group: Sequence[str], score: Column, order:
 
 
 def balanced_pick(rows: DataFrame, kind: str, order: Order, target: int, floor: int = 1) -> DataFrame:
-    """`target` rows in order, but the first `floor` of every kind before all others."""
+    """`target` rows in order, but the first `floor` of every kind before all others. Spark cuts each kind at `target` before the shuffle."""
     place = F.row_number().over(Window.partitionBy(kind).orderBy(*order))
-    return rows.withColumn("_place", place).orderBy(F.desc((F.col("_place") <= floor).cast("int")), *order).limit(target).drop("_place")
+    return rows.withColumn("_place", place).where(F.col("_place") <= target).orderBy(F.desc((F.col("_place") <= floor).cast("int")), *order).limit(target).drop("_place")
 
 
 def reading_score(importance: Column, tagged: Column, position: Column, bonus: float = 3.0) -> Column:
