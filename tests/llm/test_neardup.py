@@ -235,3 +235,30 @@ def test_hot_groups_are_searched_in_pieces(spark, monkeypatch):
     want = common.local_roots(len(low), i, j)
     got = common.local_roots(len(low), np.array([place[u] for u, _ in edges]), np.array([place[v] for _, v in edges]))
     assert (want == got).all()
+
+
+def test_groups_of_a_sorted_partition_stay_whole():
+    import pyarrow as pa
+
+    groups = [1, 1, 2, 3, 3, 3, 3, 3, 4, 5, 5]
+    table = pa.table({"g": groups, "h": [0] * len(groups), "x": list(range(len(groups)))})
+    for size in (1, 2, 3, 4, 11):
+        batches = table.to_batches(max_chunksize=size)
+        empty = table.slice(0, 0).to_batches() or [pa.RecordBatch.from_pylist([], schema=table.schema)]
+        got = [t["x"].to_pylist() for t in common.whole_groups(iter([*empty, *batches, *empty]), ["g", "h"])]
+        assert got == [[0, 1], [2], [3, 4, 5, 6, 7], [8], [9, 10]]
+    assert list(common.whole_groups(iter([]), ["g"])) == []
+
+
+def test_pairs_at_the_threshold_are_found(spark):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(1500, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    aside = rng.normal(size=base.shape)
+    aside -= (aside * base).sum(axis=1, keepdims=True) * base
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9005, 0.92, size=(len(base), 1))
+    both = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * aside])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(both)], "vec_id long, embedding array<double>")
+    found = neardup_embeddings.near_duplicates(frame).where("n_links > 0").count()
+    assert found / len(both) >= 0.995
