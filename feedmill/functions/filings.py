@@ -94,3 +94,23 @@ def routed(text: Column, rules: Sequence[tuple[str, Sequence[str]]], default: st
     for action, words in reversed(rules):
         out = F.when(lexicon.hits(text, words), action).otherwise(out)
     return out
+
+
+def has_stale_year(title: Column, published: Column, year: Column, back: int = 2) -> Column:
+    """Whether an item without a day of its own names a year that lies `back` years or more before."""
+    years = F.regexp_extract_all(F.coalesce(title, F.lit("")), F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1))
+    return published.isNull() & F.exists(years, lambda y: y.cast("int") <= year - back)
+
+
+def is_listing(code: Column, name: Column, day: Column) -> Column:
+    """Whether code, name and a day written as yyyy-mm-dd are all there."""
+    filled = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    return filled(code) & filled(name) & F.coalesce(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False))
+
+
+def region_of(registered: Column, city: Column, address: Column, cities: Sequence[str], province: str) -> Column:
+    """gz, gd, nation or '': a registered issuer by its city, or else by its address, and at least of the province; others by their address."""
+    place, at = F.coalesce(city, F.lit("")), F.coalesce(address, F.lit(""))
+    near = F.exists(F.array(*map(F.lit, cities)), lambda c: F.contains(at, F.concat(c, F.lit("市"))) | F.startswith(at, c))
+    own = F.when(place != "", F.when(F.size(lexicon.contained(place, cities)) > 0, "gz").otherwise("gd")).when(near, "gz").otherwise("gd")
+    return F.when(F.coalesce(registered, F.lit(False)), own).when(at == "", "").when(near, "gz").when(F.contains(at, F.lit(province)), "gd").otherwise("nation")

@@ -123,3 +123,21 @@ def test_lexicon(spark):
     assert column(spark, ["red bolt"], lambda c: lexicon.all_matches(c, {"part": ["bolt"], "wood": ["oak"], "colour": ["red"]})) == [["part", "colour"]]
     assert column(spark, ["red bolt"], lambda c: lexicon.cue_sum(c, [(["red"], 80), (["bolt"], 30)])) == [100.0]
     assert column(spark, ["Red bolt"], lambda c: lexicon.contained(c, ["bolt", "oak", "red"])) == [["bolt", "red"]]
+
+
+def test_listing_answers_with_stamps_nulls_and_junk(spark):
+    from feedmill.sources import listings as services
+
+    answers = ['[{"listInfo":{"content":[{"stockCode":"830001","companyName":"A","listDate":1705248000000,"registerAddress":"Shenzhen"},{"stockCode":"","companyName":"B","listDate":"2024-01-15"},{"stockCode":"830002","companyName":null,"stockName":"C","issueResultDate":"2024/01/16","registerAddress":"Shenzhen"}]}}]', None, "", "no json", "[]"]
+    rows = services.listings(spark.createDataFrame([(a,) for a in answers], "answer string"), "answer", "BSE", F.lit("2024-01-10").cast("date")).collect()
+    assert sorted((r.code, r.name, str(r.listed)) for r in rows) == [("830001", "A", "2024-01-15"), ("830002", "C", "2024-01-16")]
+
+
+def test_candidates_without_a_company_stand_alone(spark):
+    from feedmill.operators import listings as candidates
+
+    rows = spark.createDataFrame([(1, None, "2024-01-02", "stage-listed", None), (2, " ", "2024-01-01", None, True), (3, "c", "2024-01-01", "stage-listed", False), (4, "c", "2024-01-02", "stage-listed", False)], "id int, company string, day string, stage string, raised boolean")
+    best = candidates.candidates(rows, "stage", "raised", "company", "day", "id")
+    assert sorted((r.id, r.score) for r in best.collect()) == [(1, 1), (2, 2), (4, 1)]
+    assert [r.id for r in candidates.top(best, "day", "id").collect()] == [2, 1, 4]
+    assert candidates.candidates(rows.limit(0), "stage", "raised", "company", "day", "id").count() == 0
