@@ -16,7 +16,7 @@ def _dealt(key: str, values: list[str | None]):
 
 def _sql(key: str, values: list) -> str:
     """The same as SQL."""
-    return "[" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in values) + f"][CAST({key} % {len(values)} + 1 AS BIGINT)]"
+    return "[" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE" if isinstance(v, float) else str(v) for v in values) + f"][CAST({key} % {len(values)} + 1 AS BIGINT)]"
 
 
 # Title, summary; stage by words, stage shown, issue of the report.
