@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from feedmill.plans import analytics, curation, desk, filings, identity, leads, listings, prospectus, wording  # noqa: F401  they register their queries
+from feedmill.plans import analytics, curation, desk, filings, guard, identity, leads, listings, prospectus, wording  # noqa: F401  they register their queries
 from feedmill.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
