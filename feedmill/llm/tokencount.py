@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from feedmill.llm.bpe import _FAST, _PLAIN
-from feedmill.llm.common import held_alone, small_batches, written
+from feedmill.llm.common import held_alone, small_batches
 
-#: Distinct pre-tokens that are broadcast with their counts at most, and bytes of each of these: 40 MB together.
-FREQUENT, FREQUENT_BYTES = 200_000, 200
+#: Documents from whose pre-tokens the frequent ones are taken, how many of these are broadcast with their counts, and bytes of each at most: 40 MB together.
+SAMPLE_DOCS, FREQUENT, FREQUENT_BYTES = 20_000, 200_000, 200
 #: Characters of a text that are split at once.
 PART = 200_000
 #: Rows of a batch whose frequencies a worker holds at once.
@@ -46,17 +46,6 @@ class PreTokens:
         self.added = re.compile("|".join(re.escape(t["content"]) for t in sorted(added, key=lambda t: -len(t["content"])))) if added else None
         self.byte_level = pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and parsed["normalizer"] is None
         self.letters = byte_letters()
-        self.mapped: dict[str, str] = {}
-
-    def _as_bytes(self, piece: str) -> str:
-        known = self.mapped.get(piece)
-        if known is None:
-            known = "".join([self.letters[b] for b in piece.encode()])
-            if len(self.mapped) > FREQUENT:
-                self.mapped.clear()
-            if len(piece) < 64:
-                self.mapped[piece] = known
-        return known
 
     def _parts(self, text: str) -> Iterator[str]:
         """Parts of a long text, cut where the byte-level pattern always ends a piece: before white space that follows something else."""
@@ -68,30 +57,43 @@ class PreTokens:
         yield text[at:]
 
     def frequencies(self, text: str) -> tuple[int, dict[str, int]]:
-        """Number of added tokens in a text, and how often each pre-token stands in the rest."""
+        """Number of added tokens in a text, and how often each pre-token stands in the rest: under a byte-level pattern as it is written, else as the model gets it."""
         normalizer, split = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer.pre_tokenize_str
-        between = self.added.split(text) if self.added else [text]
-        plain, mapped = Counter(), Counter()
+        between, found = self.added.split(text) if self.added else [text], Counter()
         for rest in between:
-            for part in self._parts(rest) if self.byte_level else [normalizer.normalize_str(rest) if normalizer else rest]:
-                if self.byte_level and _PLAIN.fullmatch(part):
-                    plain.update(_FAST.findall(part))
-                elif part:
-                    mapped.update([piece for piece, _ in split(part)])
-        for piece, k in plain.items():
-            mapped[self._as_bytes(piece)] += k
-        return len(between) - 1, mapped
+            if not self.byte_level:
+                found.update([piece for piece, _ in split(normalizer.normalize_str(rest) if normalizer else rest)])
+                continue
+            for part in self._parts(rest):
+                found.update(_FAST.findall(part) if _PLAIN.fullmatch(part) else [part[a:b] for _, (a, b) in split(part)])
+        return len(between) - 1, found
 
     def tokens(self, piece: str) -> int:
         """Tokens of one pre-token."""
-        return len(self.tokenizer.model.tokenize(piece))
+        return len(self.tokenizer.model.tokenize("".join([self.letters[b] for b in piece.encode()]) if self.byte_level else piece))
 
 
 def _held(config: str) -> PreTokens:
     return held_alone(("pretokens", config), lambda: PreTokens(config))
 
 
-_ROWS = "uid long, doc_id long, n_bytes long, added long, pieces array<struct<piece:string,k:long>>"
+_ROWS = "uid long, doc_id long, n_bytes long, tokens long, piece string, k long"
+
+
+def _frequent(docs: DataFrame, config: str) -> dict[str, int]:
+    """Tokens of the pre-tokens that most documents of a sample hold. They only decide which are counted where: any choice gives the same sums."""
+    shared, n = docs.sparkSession.sparkContext.broadcast(config), docs.count()
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _held(shared.value)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([p for p in own.frequencies(text)[1] if len(p.encode()) <= FREQUENT_BYTES], pa.string())], ["piece"])
+
+    few = docs.select("text") if n <= SAMPLE_DOCS else docs.select("text").sample(SAMPLE_DOCS / n, seed=3)
+    top = few.mapInArrow(pieces, "piece string").groupBy("piece").count().orderBy(F.desc("count"), "piece").limit(FREQUENT)
+    own = PreTokens(config)
+    return {r.piece: own.tokens(r.piece) for r in top.collect()}  # FREQUENT rows of FREQUENT_BYTES at most
 
 
 def counted(docs: DataFrame, config_path: str, limit: int = 512) -> DataFrame:
@@ -101,46 +103,51 @@ def counted(docs: DataFrame, config_path: str, limit: int = 512) -> DataFrame:
     null; other columns are ignored; an empty table gives an empty result. No special tokens are added, those
     that a text spells out are one token each, and neither truncation nor padding is applied.
 
-    Pre-tokens that stand in more than one in FREQUENT of all rows of (document, pre-token) are fewer than
-    FREQUENT; these are broadcast with their counts, so that the join of the others, which goes by shuffle,
-    has no hot key.
+    Each document becomes frequencies of pre-tokens. Frequent pre-tokens, tokenized once, are joined where the
+    document is; all others meet by shuffle, sorted, so that each distinct one is tokenized once as its run goes by
+    and no run is held. A pre-token that one document in 2,000 holds is missing among the frequent ones with a chance of
+    e^-10, so no key of the shuffle is hot.
     """
     spark = docs.sparkSession
     small_batches(spark)
     with open(config_path, encoding="utf-8") as file:
-        shared = spark.sparkContext.broadcast(file.read())
+        config = file.read()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
+    shared = spark.sparkContext.broadcast((config, _frequent(rows, config)))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _held(shared.value)
+        config, frequent = shared.value
+        own = _held(config)
         for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
-            found = [own.frequencies(text) for text in batch.column("text").to_pylist()]
-            starts, total = [0], 0
-            for _, pieces in found:
-                total += len(pieces)
-                starts.append(total)
-            flat = pa.StructArray.from_arrays([pa.array([p for _, pieces in found for p in pieces], pa.string()), pa.array([k for _, pieces in found for k in pieces.values()], pa.int64())], ["piece", "k"])
-            columns = [*(batch.column(c) for c in ("uid", "doc_id", "n_bytes")), pa.array([n for n, _ in found], pa.int64()), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), flat)]
-            yield pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "n_bytes", "added", "pieces"])
+            uids, tokens, owners, rare, times = batch.column("uid").to_pylist(), [], [], [], []
+            for uid, text in zip(uids, batch.column("text").to_pylist(), strict=True):
+                total, found = own.frequencies(text)
+                for piece, k in found.items():
+                    n = frequent.get(piece)
+                    if n is None:
+                        owners.append(uid)
+                        rare.append(piece)
+                        times.append(k)
+                    else:
+                        total += n * k
+                tokens.append(total)
+            nothing = pa.nulls(len(rare), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("uid", "doc_id", "n_bytes")), pa.array(tokens, pa.int64()), pa.nulls(len(uids), pa.string()), pa.nulls(len(uids), pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), nothing, nothing, nothing, pa.array(rare, pa.string()), pa.array(times, pa.int64())], names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _held(shared.value)
+        own, last, n = _held(shared.value[0]), None, 0
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([own.tokens(p) for p in batch.column("piece").to_pylist()], pa.int64())], ["piece", "docs", "n"])
-
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    rows = written(rows.mapInArrow(split, _ROWS), "frequencies")
-    flat = rows.select("uid", F.explode("pieces").alias("one")).select("uid", "one.piece", "one.k")
-    pieces = written(flat.groupBy("piece").agg(F.count("*").alias("docs")).mapInArrow(count, "piece string, docs long, n long"), "pieces")
-    size = pieces.agg(F.count("*").alias("pieces"), F.sum("docs").alias("rows"), F.max(F.octet_length("piece")).alias("longest")).first()
-    short = F.octet_length("piece") <= FREQUENT_BYTES
-    frequent = short if size.pieces <= FREQUENT else short & (F.col("docs") * FREQUENT > size.rows)
-    known, others = pieces.where(frequent).select("piece", "n"), pieces.where(~frequent).select("piece", "n")
-    sums = flat.join(F.broadcast(known), "piece").groupBy("uid").agg(F.sum(F.col("k") * F.col("n")).alias("tokens"))
-    if size.pieces > FREQUENT or (size.longest or 0) > FREQUENT_BYTES:
-        rest = flat.join(F.broadcast(known), "piece", "left_anti").join(others, "piece")
-        sums = sums.unionByName(rest.groupBy("uid").agg(F.sum(F.col("k") * F.col("n")).alias("tokens")))
-    zero = F.lit(None).cast("long")
-    every = rows.select("uid", "doc_id", "n_bytes", F.col("added").alias("tokens")).unionByName(sums.select("uid", zero.alias("doc_id"), zero.alias("n_bytes"), "tokens"))
-    every = every.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("tokens").alias("n_tokens"))
-    return every.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+            tokens = batch.column("tokens").to_pylist()
+            for at, (piece, k) in enumerate(zip(batch.column("piece").to_pylist(), batch.column("k").to_pylist(), strict=True)):
+                if piece is not None:
+                    if piece != last:
+                        last, n = piece, own.tokens(piece)
+                    tokens[at] = n * k
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("uid", "doc_id", "n_bytes")), pa.array(tokens, pa.int64())], names[:4])
+
+    names = [column.split()[0] for column in _ROWS.split(", ")]
+    dealt = rows.mapInArrow(split, _ROWS).repartition(F.coalesce(F.xxhash64("piece"), F.col("uid"))).sortWithinPartitions("piece")
+    sums = dealt.mapInArrow(count, ", ".join(_ROWS.split(", ")[:4])).groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("tokens").alias("n_tokens"))
+    return sums.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
