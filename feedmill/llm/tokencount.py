@@ -148,6 +148,6 @@ def counted(docs: DataFrame, config_path: str, limit: int = 512) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("uid", "doc_id", "n_bytes")), pa.array(tokens, pa.int64())], names[:4])
 
     names = [column.split()[0] for column in _ROWS.split(", ")]
-    dealt = rows.mapInArrow(split, _ROWS).repartition(F.coalesce(F.xxhash64("piece"), F.col("uid"))).sortWithinPartitions("piece")
+    dealt = rows.mapInArrow(split, _ROWS).repartition(F.when(F.col("piece").isNull(), F.col("uid")).otherwise(F.xxhash64("piece"))).sortWithinPartitions("piece")
     sums = dealt.mapInArrow(count, ", ".join(_ROWS.split(", ")[:4])).groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("tokens").alias("n_tokens"))
     return sums.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
