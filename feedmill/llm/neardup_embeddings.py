@@ -239,20 +239,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     """
     spark = vectors.sparkSession
     base = written(_clean(vectors), "vectors")
-    unique = written(base.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("vec").alias("vec"))
-                     .withColumn("uid", F.coalesce("least_id", F.lit(-(2**62)) + F.xxhash64("key") % 2**60)), "unique")
+    unique = base.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("vec").alias("vec"))
+    unique = written(unique.withColumn("uid", F.monotonically_increasing_id()), "unique")  # a vertex is a vector, whatever ids its rows have
     found = spark.createDataFrame([], "uid long, n long, root long")
     for row in unique.groupBy("dim").count().collect():  # as many rows as the table has vector lengths
         found = found.unionByName(_links(unique, row["dim"], row["count"], threshold))
     found = written(found, "links")
     sums = found.groupBy("uid").agg(F.sum("n").alias("n"))
-    joined = components(found.select(F.col("uid").alias("u"), F.col("root").alias("v")))
-    # A vector whose rows all lack an id stands under a made-up negative uid; ids in reach replace it.
-    each = unique.select("key", "uid", "copies", "least_id").join(sums, "uid", "left").join(joined, F.col("uid") == F.col("id"), "left")
-    each = each.withColumn("top", F.coalesce("component_id", "uid")).drop("component_id", "id")
-    odd = each.where("least_id is null").select("top").distinct()
-    named = each.join(odd, "top", "left_semi").groupBy("top").agg(F.min("least_id").alias("named"))
-    each = each.join(named, "top", "left").select("key", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.when(F.col("top") < -(2**60), F.col("named")).otherwise(F.col("top")).alias("component_id"))
+    joined = written(components(found.select(F.col("uid").alias("u"), F.col("root").alias("v"))), "joined")
+    named = joined.join(unique.select(F.col("uid").alias("id"), "least_id"), "id").groupBy("component_id").agg(F.min("least_id").alias("named"))
+    reached = joined.join(written(named, "named"), "component_id").select(F.col("id").alias("uid"), "named", F.lit(True).alias("linked"))
+    each = unique.select("key", "uid", "copies", "least_id").join(sums, "uid", "left").join(reached, "uid", "left")
+    each = each.select("key", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.when(F.col("linked"), F.col("named")).otherwise(F.col("least_id")).alias("component_id"))
     out = base.select("vec_id", "key").join(each, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

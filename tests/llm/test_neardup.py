@@ -262,3 +262,13 @@ def test_pairs_at_the_threshold_are_found(spark):
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(both)], "vec_id long, embedding array<double>")
     found = neardup_embeddings.near_duplicates(frame).where("n_links > 0").count()
     assert found / len(both) >= 0.995
+
+
+def test_embedding_ids_of_any_size_and_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    a, b, c, d = rng.normal(size=(4, 16))
+    low = -(2**63) + 5
+    rows = [(low, a), (7, a * 1.01 + 0.001), (1, b), (9, b + 0.001), (1, c), (10, c + 0.001), (11, c - 0.001), (None, d), (-(2**61), d), (None, rng.normal(size=16))]
+    out = neardup_embeddings.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")).collect()
+    got = sorted((tuple(r) for r in out), key=repr)
+    assert got == sorted([(low, 1, low, True), (7, 1, low, False), (1, 1, 1, True), (9, 1, 1, False), (1, 2, 1, True), (10, 2, 1, False), (11, 2, 1, False), (None, 1, -(2**61), False), (-(2**61), 1, -(2**61), True), (None, 0, None, False)], key=repr)
