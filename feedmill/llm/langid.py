@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from feedmill.llm.common import bucket_of, held_alone, small_batches
 from feedmill.llm.training import sample_by_class
 
-#: Documents of each language, and about how many in all, that the field is fitted on. Every language that the documents name is learned.
-SAMPLE_ROWS, SAMPLE_TOTAL = 300, 20_000
+#: Documents of each language, about how many in all, and about how many characters in all, that the field is fitted on. Every language that the documents name is learned.
+SAMPLE_ROWS, SAMPLE_TOTAL, SAMPLE_CHARS = 300, 20_000, 24_000_000
 #: Words of one language in a training sequence; two such runs of any two languages make one sequence.
 RUN = 24
 #: Share of a language's sampled documents that hold a word of its lexicon, and bits of a hashed feature's bucket.
@@ -32,11 +32,22 @@ CELLS, ROWS, CACHE = 500_000, 1024, 100_000
 #: Characters beyond which a text is taken in pieces of so many words.
 LONG, PIECE = 200_000, 8192
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]+")  # letters, and signs of numbers, which words_in takes out
+
+
+def words_in(text: str | None) -> Iterator[str]:
+    """Runs of letters of a text, lower-cased, one after another."""
+    for found in _WORD.finditer((text or "").lower()):
+        word = found[0]
+        if word.isalpha():
+            yield word
+        else:
+            yield from "".join(c if c.isalpha() else " " for c in word).split()
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    found = _WORD.findall((text or "").lower())
+    return found if all(map(str.isalpha, found)) else list(words_in(text))
 
 
 def _bucket(kind: int, *signs: np.ndarray) -> np.ndarray:
@@ -166,7 +177,7 @@ class Field:
                 out[t] = now
             return out
 
-        found = (m[0] for m in _WORD.finditer(text.lower()))
+        found = words_in(text)
         while words := list(islice(found, PIECE)):
             self._meet(words)
             scores = self.table[[self.known[w] for w in words]]
@@ -211,18 +222,18 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order = sorted(range(len(vocabulary)), key=vocabulary.__getitem__)  # the same fit whatever order rows arrive in
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    texts = sorted((crc, names.index(lang), place[np.frombuffer(ids, np.int32)].tolist()) for lang, crc, ids in rows)
+    texts = sorted((crc, names.index(lang), place[np.frombuffer(ids, np.int32)].astype(np.int32).tobytes()) for lang, crc, ids in rows)
     sizes = Counter(lang for lang, _, _ in rows)
     lexicons: dict[str, tuple[int, ...]] = {}
     for k, lang in enumerate(names):
         least = max(2, LEXICON * sizes[lang])
         for word in sorted(vocabulary[i] for i, n in holders[lang].items() if n >= least):
             lexicons[word] = (*lexicons.get(word, ()), k)
-    weights, moves = _fitted([vocabulary[i] for i in order], [(ids, k) for _, k, ids in texts], lexicons, len(names))
+    weights, moves = _fitted([vocabulary[i] for i in order], [(np.frombuffer(ids, np.int32), k) for _, k, ids in texts], lexicons, len(names))
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((names, lexicons, weights, moves))], pa.binary())], ["model"])
 
 
-def _fitted(vocabulary: list[str], texts: list[tuple[list[int], int]], lexicons: dict[str, tuple[int, ...]], kinds: int) -> tuple[np.ndarray, np.ndarray]:
+def _fitted(vocabulary: list[str], texts: list[tuple[np.ndarray, int]], lexicons: dict[str, tuple[int, ...]], kinds: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights and transitions by AdaGrad over steps of STEP sequences, of which TOGETHER are held at once."""
     held = len(vocabulary)
     column, row = features(vocabulary, lexicons)
@@ -233,10 +244,10 @@ def _fitted(vocabulary: list[str], texts: list[tuple[list[int], int]], lexicons:
     lengths = np.zeros(len(runs), np.int64)
     for at, (one, two) in enumerate(zip(range(len(runs)), order, strict=True)):
         parts = [runs[one], runs[two]] if at % 2 else [runs[one]]  # half of the sequences switch, or may
-        flat = [w for p, _ in parts for w in p]
+        flat = np.concatenate([p for p, _ in parts])
         lengths[at] = len(flat)
         ids[at, : len(flat)] = flat
-        gold[at, : len(flat)] = [k for p, k in parts for _ in p]
+        gold[at, : len(flat)] = np.repeat([k for _, k in parts], [len(p) for p, _ in parts])
     weights, moves = np.zeros((BUCKETS, kinds)), np.zeros((kinds, kinds))
     seen_w, seen_m = np.full_like(weights, 1e-8), np.full_like(moves, 1e-8)
     for _ in range(EPOCHS):
@@ -263,8 +274,8 @@ def _fitted(vocabulary: list[str], texts: list[tuple[list[int], int]], lexicons:
 
 
 def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, rows: int = SAMPLE_ROWS) -> Field:
-    """Field from text and lang of at most `rows` documents of each language outside the held-out fold, and about SAMPLE_TOTAL in all, fitted in one task. Without any, no language is known and all texts are und."""
-    made = sample_by_class(docs, "lang", folds, held_out, rows, SAMPLE_TOTAL).select("text", "label").coalesce(1).mapInArrow(_train, "model binary").collect()  # one row
+    """Field from text and lang of at most `rows` documents of each language outside the held-out fold, and about SAMPLE_TOTAL with SAMPLE_CHARS characters in all, fitted in one task. Without any, no language is known and all texts are und."""
+    made = sample_by_class(docs, "lang", folds, held_out, rows, SAMPLE_TOTAL, SAMPLE_CHARS).select("text", "label").coalesce(1).mapInArrow(_train, "model binary").collect()  # one row
     return Field(*pickle.loads(made[0]["model"])) if made else Field([], {}, np.zeros((BUCKETS, 0)), np.zeros((0, 0)))
 
 
@@ -284,7 +295,7 @@ def language_column(field: Field, spark: SparkSession):
 
 
 def identified(docs: DataFrame, field: Field) -> DataFrame:
-    """doc_id, lang_pred, score of every row from its whole text. Null texts and texts without letters are und with score 0. Rows are independent; other columns are ignored."""
+    """doc_id, lang_pred, score of every row from its whole text. Null texts and texts without letters (Unicode L; signs of numbers are none) are und with score 0. Rows are independent: repeated rows repeat; other columns are ignored; an empty table gives an empty result."""
     small_batches(docs.sparkSession)
     shared, mark = docs.sparkSession.sparkContext.broadcast((field.names, field.lexicons, field.weights, field.moves)), uuid.uuid4().hex
 

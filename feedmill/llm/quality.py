@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from feedmill.llm.common import bucket_of, small_batches
 from feedmill.llm.training import labelled_sample
 
-#: Labelled rows that the machine is fitted on.
-SAMPLE_ROWS = 10_000
+#: Labelled rows that the machine is fitted on, and about how many characters in all: their features are held at once.
+SAMPLE_ROWS, SAMPLE_CHARS = 10_000, 100_000_000
 #: Buckets of hashed words, steps of a statistic, and the length of each feature's vector.
 WORD_BUCKETS, STEPS, RANK = 1 << 15, 24, 8
 EPOCHS, BATCH, RATE, DECAY = 6, 128, 0.05, 1e-5
@@ -133,11 +133,11 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, rows: int = SAMPLE_ROWS) -> Machine:
-    """Machine from at most `rows` labelled documents outside the held-out fold, fitted in one task that keeps features alone.
+    """Machine from at most `rows` labelled documents with about SAMPLE_CHARS characters outside the held-out fold, fitted in one task that keeps features alone.
 
     Without labels every text scores 0.5; with labels of one kind only, near that label.
     """
-    sample = labelled_sample(_stated(docs), labels, "quality", folds, held_out, rows, ("n_chars",))
+    sample = labelled_sample(_stated(docs), labels, "quality", folds, held_out, rows, SAMPLE_CHARS, ("n_chars",))
     made = sample.select("text", "label", "n_chars").coalesce(1).mapInArrow(_train, "model binary").collect()  # one row
     return Machine(*pickle.loads(made[0]["model"])) if made else Machine()
 
@@ -149,7 +149,7 @@ def _stated(docs: DataFrame) -> DataFrame:
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:
-    """doc_id, score of every row from its whole text; null and empty texts score by their statistics, a null n_chars as one that states nothing. Rows are independent; other columns are ignored."""
+    """doc_id, score of every row from its whole text; null and empty texts score by their statistics, a null n_chars as one that states nothing. Rows are independent: repeated rows repeat; other columns are ignored; an empty table gives an empty result."""
     shared = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.weights, machine.vectors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

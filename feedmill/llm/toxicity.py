@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from feedmill.llm.common import bucket_of, held_alone, written
 from feedmill.llm.training import labelled_sample
 
-#: Labelled rows that the log-odds and the calibration are fitted on.
-SAMPLE_ROWS = 20_000
+#: Labelled rows that the log-odds and the calibration are fitted on, and about how many characters in all.
+SAMPLE_ROWS, SAMPLE_CHARS = 20_000, 200_000_000
 #: Weight of the Dirichlet prior as a share of the counted tokens, and the deviations by which a log-odds must differ from zero to count; it is drawn one toward zero.
 PRIOR, SURE = 0.1, 3.0
 #: What every word costs a segment beside its log-odds, so that chance has no drift upward.
@@ -115,11 +115,11 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, rows: int = SAMPLE_ROWS) -> Model:
-    """Model from at most `rows` labelled documents outside the held-out fold (see training.labelled_sample).
+    """Model from at most `rows` labelled documents with about SAMPLE_CHARS characters outside the held-out fold (see training.labelled_sample).
 
     Without labels of both kinds no token scores, and every text gets the share of toxic labels (0 without any).
     """
-    sample = labelled_sample(docs, labels, "toxic", folds, held_out, rows)
+    sample = labelled_sample(docs, labels, "toxic", folds, held_out, rows, SAMPLE_CHARS)
     counts = written(sample.mapInArrow(_counts, "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "tokens")
     clean, toxic = counts.agg(F.coalesce(F.sum("clean"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     n_all, n_toxic = sample.agg(F.count("*"), F.coalesce(F.sum((F.col("label") > 0).cast("long")), F.lit(0))).first()

@@ -5,8 +5,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from feedmill.llm import langid, licenses, quality, toxicity
+from feedmill.llm import langid, licenses, quality, toxicity, training
 
 DATA = "/root/testdata/sf0.01"
 
@@ -251,3 +252,34 @@ def test_scan_rows(spark):
     out = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(1, "cc by x mit license cc by", 3), (2, None, 4)], "doc_id long, text string, labels int")).collect()}
     assert (out[1].n_words, out[1].n_base, out[1].first_word, out[1].last_word, out[1].base_labels, out[1].labels, out[1].score) == (7, 3, 0, 5, "cc-by,mit", "cc-by,mit", 0.5)
     assert (out[2].n_words, out[2].n_base, out[2].first_word, out[2].last_word, out[2].base_labels, out[2].labels, out[2].score) == (0, 0, None, None, "", "", 0.0)
+
+
+def test_signs_of_numbers_are_no_letters(spark):
+    assert langid.words_of("½ ² Ⅷ 一二 x²y ßÉ_a1b") == ["一二", "x", "y", "ßé", "a", "b"]
+    assert list(langid.words_in("a²b c")) == langid.words_of("a²b c")
+    docs = spark.createDataFrame([(i, f"the word of number {i}", "en") for i in range(40)] + [(100, "½ ² Ⅷ", "en"), (101, "١٢٣ ①", None)], "doc_id long, text string, lang string")
+    out = {r.doc_id: (r.lang_pred, r.score) for r in langid.language_id(docs).collect()}
+    assert out[100] == out[101] == ("und", 0.0) and out[0][0] == "en"
+
+
+def test_fits_hold_a_bounded_number_of_characters(spark):
+    texts = [(i, "word " * 10, i % 2) for i in range(200)] + [(1000, "long " * 60_000, 0), (1001, "long " * 60_000, 1)]
+    docs = spark.createDataFrame([(i, t, str(k)) for i, t, k in texts], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, k) for i, _, k in texts], "doc_id long, quality int")
+    for sample in (training.labelled_sample(docs, labels, "quality", 4, 2, 1000, 2_000), training.sample_by_class(docs, "lang", 4, 2, 300, 1000, 2_000)):
+        rows = sample.collect()
+        assert 2_000 <= sum(len(r.text) for r in rows) <= 2_200 and {int(r.label) for r in rows} == {0, 1}
+    only_long = docs.where("doc_id >= 1000").withColumn("doc_id", F.col("doc_id") * 7)
+    assert training.sample_by_class(only_long, "lang", 4, 2, 300, 1000, 10).count() >= 1
+
+
+def test_held_out_rows_teach_nothing(spark, tables):
+    """op3, op9 and op10: with the labels of held-out rows turned round, every score stays the same."""
+    docs, labels = tables
+    fold = lambda folds, out: F.crc32(F.col("doc_id").cast("string")) % folds == out
+    turned = labels.withColumn("toxic", F.when(fold(5, 0), 1 - F.col("toxic")).otherwise(F.col("toxic"))).withColumn("quality", F.when(fold(4, 2), 1 - F.col("quality")).otherwise(F.col("quality")))
+    renamed = docs.withColumn("lang", F.when(fold(4, 2), F.lit("xx")).otherwise(F.col("lang")))
+    rows = lambda frame: sorted((tuple(r) for r in frame.collect()), key=repr)
+    assert rows(toxicity.toxicity(docs, labels)) == rows(toxicity.toxicity(docs, turned))
+    assert rows(quality.quality(docs, labels)) == rows(quality.quality(docs, turned))
+    assert rows(langid.language_id(docs)) == rows(langid.language_id(renamed))
