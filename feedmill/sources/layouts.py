@@ -43,7 +43,7 @@ class Layout:
 
 
 # The layouts of four sites.
-_DATED = r"(20\d\d)[-/_]?(0[1-9]|1[0-2])[-/_]?(0[1-9]|[12]\d|3[01])(?!\d)"
+_DATED = r"(20\d\d)[-/]?(\d{1,2})[-/]?(\d{1,2})"
 SITES = (
     Layout("cctv-finance", url=r"^https?://finance\.cctv\.com/[^\"]+\.shtml$", skip=r"VIDE[A-Za-z0-9]|index\.shtml|node_|/2012/|/2013/", least=4, most=60, dates=r"(\d{4})/(\d{2})/(\d{2})", once=True, limit=25),
     Layout("govcn-policy", within="li", url=r"content_\d+\.htm", least=8, dates=r"(\d{4})-(\d{1,2})-(\d{1,2})", date_tag="span", base="https://www.gov.cn", prefix="【国务院政策】", limit=25),

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,32 +27,32 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-_SCOPES: list[list[str]] = []
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    for scope in _SCOPES:
+    for scope in _SCOPES.get():
         scope.append(path)
     return path
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end what was written within: for callers that have stored their result by then."""
+    """Deletes at its end what this thread wrote within: for callers that have stored their result by then."""
     paths: list[str] = []
-    _SCOPES.append(paths)
+    token = _SCOPES.set((*_SCOPES.get(), paths))
     try:
         yield
     finally:
-        _SCOPES.remove(paths)
+        _SCOPES.reset(token)
         for path in paths:
             _delete(spark, path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here and the files outlive executors."""
-    path = new_path(df.sparkSession, name)
+def written(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends here and the files outlive executors, and the scratch() around them if asked."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}" if outlives else new_path(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_path = path
