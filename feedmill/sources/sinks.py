@@ -1,12 +1,12 @@
-"""Writers: dated documents, append-only logs, ledgers replaced by a swap."""
+"""Writers: dated documents, append-only logs, ledgers replaced by versions."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedmill.sources import manifest
+
 
 def append_log(rows: DataFrame, path: str, day: str | None = None) -> None:
     """Appends JSON lines, in a partition of each day if a time column is named."""
@@ -23,22 +23,13 @@ def dated_snapshot(rows: DataFrame, path: str, day: str = "date") -> None:
 
 
 def replace(rows: DataFrame, path: str) -> None:
-    """Overwrites a table that rows may have been read from: written whole beside it, then moved in its place.
-
-    The old table is moved aside first and deleted last, so one of the two is whole at every moment; after a crash between
-    the moves the old state stands under `path` with the ending .old.
-    """
-    spark = rows.sparkSession
-    made, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old"
-    rows.write.parquet(made)
-    at = spark._jvm.org.apache.hadoop.fs.Path
-    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(at(path)):
-        fs.delete(at(old), True)
-        fs.rename(at(path), at(old))
-    if not fs.rename(at(made), at(path)):
-        raise OSError(f"{made} could not be moved to {path}")
-    fs.delete(at(old), True)
+    """A new version of a table in place of all its rows, which rows may have been read from; readers see the old one or the new one, at every moment (see manifest)."""
+    manifest.write(rows, path, overwrite=True)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a table that replace() writes."""
+    return manifest.read(spark, path)
 
 
 def with_field(documents: DataFrame, column: str, field: str, value) -> DataFrame:

@@ -69,8 +69,9 @@ def test_sinks(spark, tmp_path):
     assert {(r.n, str(r.date)) for r in spark.read.parquet(path).collect()} == {(1, "2024-01-01"), (9, "2024-01-02")}
     flat = str(tmp_path / "flat")
     rows.write.parquet(flat)
-    sinks.replace(spark.read.parquet(flat).where("n = 1"), flat)
-    assert spark.read.parquet(flat).count() == 1
+    sinks.replace(spark.read.parquet(flat).where("n = 1"), f"{flat}-ledger")
+    sinks.replace(sinks.current(spark, f"{flat}-ledger").withColumn("n", F.lit(7)), f"{flat}-ledger")
+    assert [tuple(r) for r in sinks.current(spark, f"{flat}-ledger").collect()] == [(7, "2024-01-01")]
     sinks.append_log(rows, str(tmp_path / "log"))
     sinks.append_log(rows, str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 4
