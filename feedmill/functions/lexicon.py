@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from feedmill.functions.text import bound
+
 _META = re.compile(r"[\\^$.|?*+()\[\]{}]")
 
 
@@ -33,7 +35,9 @@ def hits(text: Column, words: Sequence[str]) -> Column:
 
 def contained(text: Column, words: Sequence[str]) -> Column:
     """Those of the words that stand in a text, in the list's order."""
-    return F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(text), F.lower(w))) if words else F.array().cast("array<string>")
+    if not words:
+        return F.array().cast("array<string>")
+    return bound(F.lower(text), lambda low: F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, F.lower(w))))
 
 
 def first_match(text: Column, rules: Mapping[str, Sequence[str]], default: str | None = None) -> Column:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from feedmill.functions import filings, lexicon
+from feedmill.functions.text import bound
 
 # Stages in the order in which their words decide, their worth, and what shows that a text names a stage at all.
 STAGES = {
@@ -60,96 +62,144 @@ TO_COME = "拟 擬 計劃 计划 規劃 规划 預計 预计 將于 将于 將
 NEAR = 14
 
 
+@dataclass(frozen=True)
+class Listing:
+    """What the rules on listings read: words of stages and what shows that a text names one, reports, names, boards, lines of business, places, what makes an item one of the region, a coming listing, an event of an exchange or finance, and how far a matter has come."""
+
+    stages: Mapping[str, Sequence[str]] = field(default_factory=lambda: STAGES)
+    hints: Sequence[str] = tuple(STAGE_HINTS)
+    first: str = FIRST_STAGE
+    routine: str = ROUTINE_STAGE
+    report: str = REPORT
+    issue: str = ISSUE
+    numbered: tuple[str, str] = ("第", "期")
+    ongoing: str = ONGOING
+    coach: Mapping[str, str] = field(default_factory=lambda: COACH_STAGES)
+    withdrawn: str = "撤回"
+    report_on: str = "进展"
+    colon: str = "："
+    boards: Mapping[str, Sequence[str]] = field(default_factory=lambda: BOARDS)
+    industries: Mapping[str, Sequence[str]] = field(default_factory=lambda: INDUSTRIES)
+    places: Sequence[str] = tuple(PLACES)
+    place_ends: str = "省|市"
+    tail_boards: Sequence[str] = tuple(TAIL_BOARDS)
+    tail_words: Sequence[str] = ("IPO", "上市")
+    tail_stages: Sequence[str] = tuple(TAIL_STAGES)
+    legal_forms: Sequence[str] = tuple(LEGAL_FORMS)
+    registered_at: str = "注册地"
+    status: str = "状态"
+    plans: str = "拟"
+    city: str = r"([\x{4e00}-\x{9fa5}]{2,4}市)"
+    province: str = PROVINCE
+    province_names: str = PROVINCE_NAMES
+    region: Sequence[str] = tuple(REGION)
+    coming: Sequence[str] = tuple(COMING)
+    events: Sequence[str] = tuple(EXCHANGE_EVENTS)
+    finance: Sequence[str] = tuple(FINANCE)
+    abroad: Sequence[str] = tuple(ABROAD)
+    hong_kong: Sequence[str] = tuple(HONG_KONG)
+    landed: Sequence[str] = tuple(LANDED)
+    under_way: Sequence[str] = tuple(UNDER_WAY)
+    to_come: Sequence[str] = tuple(TO_COME)
+    near: int = NEAR
+
+
+CHINESE = Listing()
+
+
 def _joined(*texts: Column) -> Column:
     return F.concat_ws(" ", *(F.coalesce(t, F.lit("")) for t in texts))
 
 
-def infer_stage(title: Column, excerpt: Column) -> Column:
+def infer_stage(title: Column, excerpt: Column, v: Listing = CHINESE) -> Column:
     """Stage by the first list of words that hits; tutoring where none does."""
-    return lexicon.first_match(_joined(title, excerpt), STAGES, FIRST_STAGE)
+    return lexicon.first_match(_joined(title, excerpt), v.stages, v.first)
 
 
-def stage_of(given: Column, title: Column, summary: Column) -> Column:
+def stage_of(given: Column, title: Column, summary: Column, v: Listing = CHINESE) -> Column:
     """The given stage if it is one, else by words; '' where no word tells of a stage."""
-    return F.when(given.isin(*STAGES), given).when(lexicon.hits(_joined(title, summary), STAGE_HINTS), infer_stage(title, summary)).otherwise("")
+    return F.when(given.isin(*v.stages), given).when(lexicon.hits(_joined(title, summary), v.hints), infer_stage(title, summary, v)).otherwise("")
 
 
-def report_issue(text: Column) -> Column:
+def report_issue(text: Column, v: Listing = CHINESE) -> Column:
     """Issue of a progress report as written, ONGOING without a number, '' for other texts."""
-    number = F.regexp_extract(F.coalesce(text, F.lit("")), ISSUE, 1)
-    return F.when(~F.coalesce(text.rlike(REPORT), F.lit(False)), "").when(number == "", ONGOING).otherwise(F.concat(F.lit("第"), number, F.lit("期")))
+    number = F.regexp_extract(F.coalesce(text, F.lit("")), v.issue, 1)
+    return F.when(~F.coalesce(text.rlike(v.report), F.lit(False)), "").when(number == "", v.ongoing).otherwise(F.concat(F.lit(v.numbered[0]), number, F.lit(v.numbered[1])))
 
 
-def is_routine(title: Column, excerpt: Column) -> Column:
+def is_routine(title: Column, excerpt: Column, v: Listing = CHINESE) -> Column:
     """Whether a text is a periodical progress report of tutoring."""
-    return (infer_stage(title, excerpt) == FIRST_STAGE) & (report_issue(_joined(title, excerpt)) != "")
+    return (infer_stage(title, excerpt, v) == v.first) & (report_issue(_joined(title, excerpt), v) != "")
 
 
-def display_stage(given: Column, title: Column, summary: Column) -> Column:
+def display_stage(given: Column, title: Column, summary: Column, v: Listing = CHINESE) -> Column:
     """stage_of, with routine reports as a stage of their own."""
-    stage = stage_of(given, title, summary)
-    return F.when((stage == FIRST_STAGE) & (report_issue(_joined(title, summary)) != ""), ROUTINE_STAGE).otherwise(stage)
+    return bound(stage_of(given, title, summary, v), lambda stage: F.when((stage == v.first) & (report_issue(_joined(title, summary), v) != ""), v.routine).otherwise(stage))
 
 
-def coach_stage(status: Column) -> Column:
+def coach_stage(status: Column, v: Listing = CHINESE) -> Column:
     """Stage by the status that a register of tutoring states; tutoring for unknown ones and null."""
-    out = F.lit(FIRST_STAGE)
-    for name, stage in COACH_STAGES.items():
+    out = F.lit(v.first)
+    for name, stage in v.coach.items():
         out = F.when(status == name, stage).otherwise(out)
     return out
 
 
-def coach_kept(status: Column, report: Column) -> Column:
+def coach_kept(status: Column, report: Column, v: Listing = CHINESE) -> Column:
     """Whether a row of that register is news: neither withdrawn nor a progress report. Null counts as empty."""
-    return ~F.contains(F.coalesce(status, F.lit("")), F.lit("撤回")) & ~F.contains(F.coalesce(report, F.lit("")), F.lit("进展"))
+    return ~F.contains(F.coalesce(status, F.lit("")), F.lit(v.withdrawn)) & ~F.contains(F.coalesce(report, F.lit("")), F.lit(v.report_on))
 
 
-def company_name(title: Column) -> Column:
+def company_name(title: Column, v: Listing = CHINESE) -> Column:
     """What stands before the first colon, without brackets and what they hold."""
     t = F.coalesce(title, F.lit(""))
-    head = F.split_part(t, F.lit("："), F.lit(1))
+    head = F.split_part(t, F.lit(v.colon), F.lit(1))
     s = F.regexp_replace(F.when(head == "", t).otherwise(head), r"[（(][^）)]*[)）]|[【\[][^】\]]*[\]】]", "")
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
-def short_name(title: Column) -> Column:
+def short_name(title: Column, v: Listing = CHINESE) -> Column:
     """A company's name without stage, place and legal form; the name where nothing would be left."""
-    full = company_name(title)
-    s = F.trim(F.regexp_replace(full, rf"(?:{'|'.join(TAIL_BOARDS)})?(?:IPO)?(?:上市)?(?:{'|'.join(TAIL_STAGES)})$", ""))
-    s = F.trim(F.regexp_replace(s, rf"^(?:{'|'.join(PLACES)})(?:省|市)?", ""))
-    s = F.trim(F.regexp_replace(s, rf"(?:{'|'.join(LEGAL_FORMS)})$", ""))
-    return F.when(s == "", full).otherwise(s)
+
+    def made(full: Column) -> Column:
+        words = "".join(f"(?:{w})?" for w in v.tail_words)
+        s = F.trim(F.regexp_replace(full, rf"(?:{'|'.join(v.tail_boards)})?{words}(?:{'|'.join(v.tail_stages)})$", ""))
+        s = F.trim(F.regexp_replace(s, rf"^(?:{'|'.join(v.places)})(?:{v.place_ends})?", ""))
+        s = F.trim(F.regexp_replace(s, rf"(?:{'|'.join(v.legal_forms)})$", ""))
+        return F.coalesce(F.nullif(s, F.lit("")), full)
+
+    return bound(company_name(title, v), made)
 
 
 def _field(text: Column, name: str) -> Column:
     return F.trim(F.regexp_extract(F.coalesce(text, F.lit("")), rf"{name}[:：]\s*([^｜|]+)", 1))
 
 
-def city_of(summary: Column) -> Column:
+def city_of(summary: Column, v: Listing = CHINESE) -> Column:
     """City of the place of registration that a summary states; the province where it states none."""
-    city = F.regexp_extract(F.regexp_replace(_field(summary, "注册地"), f"^{PROVINCE}省?", ""), r"([\x{4e00}-\x{9fa5}]{2,4}市)", 1)
-    return F.when(city == "", PROVINCE).otherwise(city)
+    city = F.regexp_extract(F.regexp_replace(_field(summary, v.registered_at), f"^{v.province}(?:{v.place_ends})?", ""), v.city, 1)
+    return F.when(city == "", v.province).otherwise(city)
 
 
-def planned_board(title: Column) -> Column:
+def planned_board(title: Column, v: Listing = CHINESE) -> Column:
     """Board that a title plans for within parentheses; '' without."""
-    return F.trim(F.regexp_extract(F.coalesce(title, F.lit("")), r"拟\s*([^）)]+?)\s*[）)]", 1))
+    return F.trim(F.regexp_extract(F.coalesce(title, F.lit("")), rf"{v.plans}\s*([^）)]+?)\s*[）)]", 1))
 
 
-def board_exchange(board: Column) -> Column:
+def board_exchange(board: Column, v: Listing = CHINESE) -> Column:
     """Exchange of a board, '' for unknown ones."""
-    return lexicon.first_match(board, BOARDS, "")
+    return lexicon.first_match(board, v.boards, "")
 
 
-def industry(company: Column) -> Column:
+def industry(company: Column, v: Listing = CHINESE) -> Column:
     """Line of business by a company's name, '' for unknown ones."""
-    return lexicon.first_match(company, INDUSTRIES, "")
+    return lexicon.first_match(company, v.industries, "")
 
 
-def progress(title: Column, summary: Column) -> Column:
+def progress(title: Column, summary: Column, v: Listing = CHINESE) -> Column:
     """What follows a title's colon up to parentheses, or the status that a summary states."""
-    said = F.trim(F.regexp_extract(F.coalesce(title, F.lit("")), r"：\s*([^（(]+)", 1))
-    return F.when(said != "", said).otherwise(_field(summary, "状态"))
+    said = F.trim(F.regexp_extract(F.coalesce(title, F.lit("")), rf"{v.colon}\s*([^（(]+)", 1))
+    return F.when(said != "", said).otherwise(_field(summary, v.status))
 
 
 def _apart(words: Sequence[str], markers: Sequence[str], near: int) -> str:
@@ -162,30 +212,37 @@ def _apart(words: Sequence[str], markers: Sequence[str], near: int) -> str:
     return f"(?s)(?<!{before})({'|'.join(words)})(?!{after})"
 
 
-def maturity(text: Column) -> Column:
+def maturity(text: Column, v: Listing = CHINESE) -> Column:
     """Struct of stage (landed, progress or clue) and evidence: the first word that no marker of the future stands near."""
-    t = F.coalesce(text, F.lit(""))
-    done, begun = (F.regexp_extract(t, _apart(words, TO_COME, NEAR), 1) for words in (LANDED, UNDER_WAY))
-    stage = F.when(done != "", "landed").when(begun != "", "progress").otherwise("clue")
-    return F.struct(stage.alias("stage"), F.coalesce(F.nullif(done, F.lit("")), F.nullif(begun, F.lit(""))).alias("evidence"))
+
+    def made(t: Column) -> Column:
+        done, begun = (F.regexp_extract(t, _apart(words, v.to_come, v.near), 1) for words in (v.landed, v.under_way))
+
+        def told(x: Column) -> Column:
+            stage = F.when(x["done"] != "", "landed").when(x["begun"] != "", "progress").otherwise("clue")
+            return F.struct(stage.alias("stage"), F.coalesce(F.nullif(x["done"], F.lit("")), F.nullif(x["begun"], F.lit(""))).alias("evidence"))
+
+        return bound(F.struct(done.alias("done"), F.when(done == "", begun).otherwise("").alias("begun")), told)
+
+    return bound(F.coalesce(text, F.lit("")), made)
 
 
-def of_region(province: Column, known_code: Column, text: Column) -> Column:
+def of_region(province: Column, known_code: Column, text: Column, v: Listing = CHINESE) -> Column:
     """Whether an item is of the region: by its stated province, else by a known code, else by names of places."""
     stated = F.coalesce(province, F.lit("")) != ""
-    return F.when(stated, province.rlike(f"(?i){PROVINCE_NAMES}")).otherwise(F.coalesce(known_code, F.lit(False)) | lexicon.hits(text, REGION))
+    return F.when(stated, province.rlike(f"(?i){v.province_names}")).otherwise(F.coalesce(known_code, F.lit(False)) | lexicon.hits(text, v.region))
 
 
-def decide(title: Column, excerpt: Column, url: Column, source: Column, code: Column, province: Column, known_code: Column, exchanges: Mapping[str, Sequence[str]] = filings.EXCHANGES) -> Column:
+def decide(title: Column, excerpt: Column, url: Column, source: Column, code: Column, province: Column, known_code: Column, exchanges: Mapping[str, Sequence[str]] = filings.EXCHANGES, v: Listing = CHINESE) -> Column:
     """Struct of action (keep, finance or drop) and sub: what a page on listings does with an item.
 
     Items of other regions drop. Coming listings are kept as such; reports of finance alone go to finance; the rest
     is kept under its market, told by the source or by the code, and goes to finance where neither tells.
     """
     text = _joined(title, excerpt, url)
-    coming = lexicon.hits(text, COMING) & ~lexicon.hits(text, FINANCE)
-    finance = lexicon.hits(text, FINANCE) & ~lexicon.hits(text, EXCHANGE_EVENTS)
-    market = F.when(lexicon.hits(source, ABROAD), "overseas").when(lexicon.hits(source, HONG_KONG), "hkex").otherwise(filings.exchange_of(F.coalesce(code, filings.stock_code(text)), exchanges))
+    coming = lexicon.hits(text, v.coming) & ~lexicon.hits(text, v.finance)
+    finance = lexicon.hits(text, v.finance) & ~lexicon.hits(text, v.events)
+    market = F.when(lexicon.hits(source, v.abroad), "overseas").when(lexicon.hits(source, v.hong_kong), "hkex").otherwise(filings.exchange_of(F.coalesce(code, filings.stock_code(text)), exchanges))
     sub = F.when(coming, "ipo-tutoring").when(~finance, market)
-    keep = of_region(province, known_code, text)
+    keep = of_region(province, known_code, text, v)
     return F.struct(F.when(~keep, "drop").when(sub.isNull(), "finance").otherwise("keep").alias("action"), F.when(keep, sub).alias("sub"))

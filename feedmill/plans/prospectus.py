@@ -9,62 +9,51 @@ from feedmill.operators import ranking
 from feedmill.plans.listings import _dealt, _sql
 from feedmill.plans.registry import query
 
-# Text; domicile, whether offshore.
-_FOUNDED = [
-    ("Acme (Incorporated in the Cayman Isl ands with limited liability)", "开曼群岛", True),
-    ("A company registered under the laws of Bermuda", "百慕大", True),
-    ("Cayman Islands [ ] Not Applicable, State or other jurisdiction of incorporation", "开曼群岛", True),
-    ("incorporated in the Peoples Republic of China with limited liability", "中国(境内)", False),
-    ("於開曼群島註冊成立的有限公司", "开曼群岛", True),
-    ("於香港注册成立有限公司", "香港", False),
-    ("於湖南注册成立的股份有限公司", "湖南", False),
-    ("a fund of Cayman Islands", None, False),
-    ("x" * 900 + " incorporated in Bermuda", None, False),
-    ("", None, False),
-    (None, None, False),
-]
-
-
-@query(f"""SELECT o_orderkey, {_sql("o_orderkey", [r[1] for r in _FOUNDED])} AS domicile, {_sql("o_orderkey", [r[2] for r in _FOUNDED])} AS offshore FROM orders""")
+#: A cover, an issuer and exchanges in syllables that the documents have.
+COVER = prospectus.Cover(
+    places={"the": "alpha", "that": "beta", "der": "gamma"}, labels={"alpha": ["the"], "delta": ["an"]}, founded=("tion", "ing"), kinds=("er",), under=("in", "of"), article="a",
+    limited="re", reach=12, column="and", described="st", at="M", registered=("e", "n"),
+)
+ISSUER = prospectus.Issuer(own=("the",), traits=("of", "and"), things=("in", "to"), we=("der",), does=("und", "die"), whole=("de",), legal=("la",), group=("that is",), is_=("is",), stands=("on",), alone=("la", "xx"), chinese=("zq",))
+EXCHANGES, CITIES, OFFSHORE, NEAR = prospectus.Exchanges(cities=("the",), kind="of", names=("qq",)), ("re", "ou", "st an"), ("ALPHA", "delt"), 30
+_PLACE = r"""
+t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', 'x', 'g') AS t FROM documents), c AS (SELECT *, lower(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS c, regexp_extract(left(t, 2000), 'M([^\s,]{2,12})(?:e|n)', 1) AS w FROM t),
+n AS (SELECT *, coalesce(nullif(regexp_extract(left(c, 20000), '(?:tion|ing)(?:er)?(?:in|of)(?:a)?(the|that|der)[^.]{0,12}?re', 1), ''), nullif(regexp_extract(left(c, 800), '(?:tion|ing)(?:er)?(?:in|of)(?:a)?(the|that|der)', 1), ''),
+  nullif(regexp_extract(left(c, 20000), '(the|that|der)and', 1), ''), nullif(regexp_extract(left(c, 20000), 'st(?:in|of)(?:a)?(the|that|der)', 1), '')) AS named FROM c),
+p AS (SELECT *, coalesce(CASE named WHEN 'the' THEN 'alpha' WHEN 'that' THEN 'beta' WHEN 'der' THEN 'gamma' END, CASE WHEN w = '' THEN NULL WHEN regexp_matches(w, '(?i)the') THEN 'alpha' WHEN regexp_matches(w, '(?i)an') THEN 'delta' ELSE trim(w) END) AS place FROM n)"""
+
+
+def _said(t):
+    """Whole texts with one letter for all that are not ASCII, so that both engines see the same ends of words."""
+    return t.documents.select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "x").alias("text"))
+
+
+@query(f"""WITH {_PLACE} SELECT doc_id, place AS domicile, coalesce(contains(lower(place), 'alpha') OR contains(lower(place), 'delt'), false) AS offshore FROM p""")
 def domiciles(t):
-    place = prospectus.domicile(_dealt("o_orderkey", [r[0] for r in _FOUNDED]))
-    return t.orders.select("o_orderkey", place.alias("domicile"), prospectus.is_offshore(place).alias("offshore"))
-
-
-# Text; mentions, hits, verdict.
-_SEATED = [
-    ("Incorporated in Bermuda with limited liability. Our principal subsidiaries are in Shenzhen, Dongguan and 广州.", 3, 3, "redchip"),
-    ("Our offices are in Shenzhen, Foshan, Zhuhai and Shenzhen.", 4, 4, "non-redchip"),
-    ("Listed on the Shenzhen Stock Exchange. Mr. Li lives in Shenzhen.", 1, 0, "non-redchip"),
-    ("本集团在深圳。深圳某律所。", 2, 1, "non-redchip"),
-    ("We operate a plant. " + "We own much " + "more " * 40 + "Guangzhou", 1, 0, "non-redchip"),
-    ("The Group owns Guangzhou Finance Holding Group; a subsidiary in Foshan", 2, 1, "non-redchip"),
-    ("", 0, 0, "unverified"),
-    (None, 0, 0, "unverified"),
-]
+    rows = _said(t).withColumn("domicile", prospectus.domicile(F.col("text"), COVER))
+    return rows.select("doc_id", "domicile", prospectus.is_offshore(F.col("domicile"), OFFSHORE).alias("offshore"))
 
 
-@query(f"""SELECT o_orderkey, {_sql("o_orderkey", [r[1] for r in _SEATED])} AS mentions, {_sql("o_orderkey", [r[2] for r in _SEATED])} AS hits, {_sql("o_orderkey", [r[3] for r in _SEATED])} AS verdict FROM orders""")
+@query(rf"""WITH {_PLACE}, x AS (SELECT *, regexp_replace(t, '(?i)(?:\b(?:the)\s+)?of|qq', ' ', 'g') AS x FROM p),
+s AS (SELECT *, list_transform(string_split(regexp_replace(x, '([.;!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: {{'s': s, 'm': regexp_extract(s, '(?is)^(.*?)(\b(?:(?:the)\s+(?:(?:and|of)\s+)*(?:in|to)|(?:that\s+is|der)\s+(?:die|und)|(?:that\s+is|der)\s+(?:is)\s+(?:on)|(?:de)\s+(?:la)|(?:la|xx))\b|(?:zq))', ['a', 'b'])}}) AS s FROM x),
+h AS (SELECT doc_id, t, place, x, array_to_string(list_transform(s, lambda y: CASE WHEN y.m.b = '' THEN '' ELSE substr(y.s, greatest(length(y.m.a) - 30, 0) + 1, length(y.m.a) + length(y.m.b) + 30 - greatest(length(y.m.a) - 30, 0)) END), chr(10)) AS near FROM s),
+n2 AS (SELECT *, len(regexp_extract_all(lower(x), 'st an|ou|re')) AS mentions, len(regexp_extract_all(lower(near), 'st an|ou|re')) AS hits FROM h)
+SELECT doc_id, mentions, hits, CASE WHEN t = '' THEN 'unverified' WHEN hits >= 3 AND (contains(lower(place), 'alpha') OR contains(lower(place), 'delt')) THEN 'redchip' ELSE 'non-redchip' END AS verdict FROM n2""")
 def seats(t):
-    said = _dealt("o_orderkey", [r[0] for r in _SEATED])
-    return t.orders.select("o_orderkey", prospectus.city_mentions(said).alias("mentions"), prospectus.city_hits(said).alias("hits"), prospectus.verdict(said).alias("verdict"))
-
-
-# Text; institutions, whether kept.
-_INSTITUTIONS = [
-    ("商业银行与银行业", "", True),
-    ("甲乙银行；甲乙银行", "甲乙银行", False),
-    ("甲乙银行，丙丁证券", "甲乙银行,丙丁证券", True),
-    ("广州农商行 广州农村商业银行", "广州银行", True),
-    ("我国存款保险", "", True),
-    (None, "", True),
-]
+    said = F.col("text")
+    return _said(t).select(
+        "doc_id", prospectus.city_mentions(said, CITIES, EXCHANGES).cast("long").alias("mentions"), prospectus.city_hits(said, CITIES, NEAR, ISSUER, EXCHANGES).cast("long").alias("hits"),
+        prospectus.verdict(said, 3, COVER, ISSUER, CITIES, OFFSHORE, EXCHANGES, NEAR).alias("verdict"),
+    )
 
 
-@query(f"""SELECT p_partkey, {_sql("p_partkey", [r[1] for r in _INSTITUTIONS])} AS names, {_sql("p_partkey", [r[2] for r in _INSTITUTIONS])} AS kept FROM part""")
+@query(r"""
+WITH m AS (SELECT doc_id, regexp_extract_all(replace(replace(coalesce(text, ''), 'nation', ' '), 'of the', ' '), '([\x{4e00}-\x{9fa5}A-Za-z0-9]{2,12}?(?:tion|ung))', 1) AS found FROM documents),
+n AS (SELECT doc_id, list_distinct(list_transform(list_filter(found, lambda n: NOT regexp_matches(n, '^(?:tion|ung)$') AND NOT regexp_matches(n, '^(?:re)?ention$|^The')), lambda n: CASE WHEN regexp_matches(n, '^st') THEN 'Stung' WHEN regexp_matches(n, 'ing') THEN 'Ingung' ELSE n END)) AS names FROM m)
+SELECT doc_id, array_to_string(list_sort(names), ',') AS names, len(names) <> 1 OR names[1] IN ('Stung', 'eration') AS kept FROM n""")
 def single_institutions(t):
-    names = prospectus.institutions(_dealt("p_partkey", [r[0] for r in _INSTITUTIONS]), ["广州农商行", "银行业", "与银行"] + ["商业银行与"], ["银行", "保险", "证券"], "^(?:我国|全国)?存款保险$|^商业银行$", [("^广州", "广州银行")])
-    return t.part.select("p_partkey", F.array_join(names, ",").alias("names"), prospectus.keep_unless_single(names, ["广州银行"]).alias("kept"))
+    names = prospectus.institutions(F.col("text"), ["nation", "of the"], ["tion", "ung"], "^(?:re)?ention$|^The", [("^st", "Stung"), ("ing", "Ingung")])
+    return t.documents.select("doc_id", names.alias("n")).select("doc_id", F.array_join(F.array_sort("n"), ",").alias("names"), prospectus.keep_unless_single(F.col("n"), ["Stung", "eration"]).alias("kept"))
 
 
 # Title; overview and sectors with the quote below, overview without quotes.
