@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,52 +54,74 @@ ALL_STALE, SOME_STALE, STALE = "三地股市均无隔夜行情（休市或数据
 ALL_STALE_SPOKEN = "三地股市今日均无隔夜行情"
 
 
-def rolled_up(title: Column, tags: Column) -> Column:
+@dataclass(frozen=True)
+class Desk:
+    """What the rules of a desk read: departments, free tags, lines and themes, authority of issuers and sources, kinds of action, and places."""
+
+    departments: Mapping[str, Sequence[str]] = field(default_factory=lambda: DEPARTMENTS)
+    tags: Mapping[str, str] = field(default_factory=lambda: TAG_DEPARTMENTS)
+    lines: Mapping[str, Sequence[str]] = field(default_factory=lambda: LINES)
+    themes: Mapping[str, Sequence[str]] = field(default_factory=lambda: THEMES)
+    issuers: Sequence[tuple[Sequence[str], float]] = ((TOP_ISSUERS, 0.95), (HIGH_ISSUERS, 0.8), (BODIES, 0.6))
+    foreign: Sequence[str] = tuple(FOREIGN_BANKS)
+    sources: Mapping[str, float] = field(default_factory=lambda: SOURCES)
+    other_source: float = OTHER_SOURCE
+    floors: Mapping[str, float] = field(default_factory=lambda: COLUMN_FLOORS)
+    actions: Sequence[tuple[str, float, Sequence[str]]] = tuple(ACTIONS)
+    other_action: tuple[str, float] = OTHER_ACTION
+    nearest: Sequence[str] = tuple(NEAREST)
+    near: Sequence[str] = tuple(NEAR)
+
+
+BANK = Desk()
+
+
+def rolled_up(title: Column, tags: Column, v: Desk = BANK) -> Column:
     """Departments of the title, the free tags, and the departments of those, without repeats; null tags count as none."""
     free = F.coalesce(tags, F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(lexicon.all_matches(title, DEPARTMENTS), text.mapped_tags(free, TAG_DEPARTMENTS)))
+    return F.array_distinct(F.concat(lexicon.all_matches(title, v.departments), text.mapped_tags(free, dict(v.tags))))
 
 
-def lines_reached(title: Column) -> Column:
+def lines_reached(title: Column, v: Desk = BANK) -> Column:
     """Local lines that a title reaches, in order."""
-    return lexicon.all_matches(title, LINES)
+    return lexicon.all_matches(title, v.lines)
 
 
-def theme_keys(title: Column, line: Column, themes: Mapping[str, Sequence[str]] = THEMES) -> Column:
+def theme_keys(title: Column, line: Column, v: Desk = BANK) -> Column:
     """Theme words of a line that stand in a title, or of all lines where line is null; none for unknown lines."""
     t = F.coalesce(title, F.lit(""))
-    out = F.when(line.isNull(), F.array_distinct(lexicon.contained(t, [w for words in themes.values() for w in words]))).otherwise(F.array().cast("array<string>"))
-    for name, words in themes.items():
+    out = F.when(line.isNull(), F.array_distinct(lexicon.contained(t, [w for words in v.themes.values() for w in words]))).otherwise(F.array().cast("array<string>"))
+    for name, words in v.themes.items():
         out = F.when(line == name, lexicon.contained(t, words)).otherwise(out)
     return out
 
 
-def issuer_authority(said: Column) -> Column:
+def issuer_authority(said: Column, v: Desk = BANK) -> Column:
     """Authority of whoever issued what a text tells; central banks of other countries have none."""
-    return lexicon.vetoed(lexicon.first_value(said, [(TOP_ISSUERS, 0.95), (HIGH_ISSUERS, 0.8), (BODIES, 0.6)]), said, FOREIGN_BANKS)
+    return lexicon.vetoed(lexicon.first_value(said, v.issuers), said, v.foreign)
 
 
-def source_authority(source: Column, column: Column) -> Column:
+def source_authority(source: Column, column: Column, v: Desk = BANK) -> Column:
     """Authority of a source, at least that of its column."""
-    known = F.create_map(*(F.lit(x) for pair in SOURCES.items() for x in pair))
+    known = F.create_map(*(F.lit(x) for pair in v.sources.items() for x in pair))
     floor = F.lit(0.0)
-    for name, value in COLUMN_FLOORS.items():
+    for name, value in v.floors.items():
         floor = F.when(column == name, value).otherwise(floor)
-    return F.greatest(F.coalesce(F.try_element_at(known, source), F.lit(OTHER_SOURCE)), floor)
+    return F.greatest(F.coalesce(F.try_element_at(known, source), F.lit(v.other_source)), floor)
 
 
-def action(said: Column) -> Column:
+def action(said: Column, v: Desk = BANK) -> Column:
     """Struct of type and score: the first kind of action whose words hit."""
-    kind, score = F.lit(OTHER_ACTION[0]), F.lit(OTHER_ACTION[1])
-    for name, value, words in reversed(ACTIONS):
+    kind, score = F.lit(v.other_action[0]), F.lit(v.other_action[1])
+    for name, value, words in reversed(v.actions):
         hit = lexicon.hits(said, words)
         kind, score = F.when(hit, name).otherwise(kind), F.when(hit, value).otherwise(score)
     return F.struct(kind.alias("type"), score.alias("score"))
 
 
-def nearness(said: Column, locale: Column) -> Column:
+def nearness(said: Column, locale: Column, v: Desk = BANK) -> Column:
     """1 for the city, 0.9 for the region or an item filed under the city, else 0."""
-    return F.when(lexicon.hits(said, NEAREST), 1.0).when(lexicon.hits(said, NEAR) | F.coalesce(locale == "gz", F.lit(False)), 0.9).otherwise(0.0)
+    return F.when(lexicon.hits(said, v.nearest), 1.0).when(lexicon.hits(said, v.near) | F.coalesce(locale == "gz", F.lit(False)), 0.9).otherwise(0.0)
 
 
 def market_status(report: Column, days: Mapping[str, Column], most: int = 1) -> Column:

@@ -1,4 +1,4 @@
-"""Candidates for a listing over the driver's tables; titles are dealt to rows, and the SQL states what each must give."""
+"""Candidates for a listing over the driver's tables; the rules read words that the tables have, and the SQL computes them on its own."""
 
 from __future__ import annotations
 
@@ -19,106 +19,83 @@ def _sql(key: str, values: list) -> str:
     return "[" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE" if isinstance(v, float) else str(v) for v in values) + f"][CAST({key} % {len(values)} + 1 AS BIGINT)]"
 
 
-# Title, summary; stage by words, stage shown, issue of the report.
-_STAGED = [
-    ("甲公司：注册生效 即将上市", "", "stage-registered", "stage-registered", ""),
-    ("乙公司：提交注册", None, "stage-registered", "stage-registered", ""),
-    ("丙公司：已问询", "科创板", "stage-reviewing", "stage-reviewing", ""),
-    ("丁公司：进度", "辅导机构：某证券｜辅导验收", "stage-coach-done", "stage-coach-done", ""),
-    ("戊公司：辅导备案", "", "stage-tutoring", "stage-tutoring", ""),
-    ("己公司：辅导备案", "报告: 辅导工作进展情况报告（第五期）", "stage-tutoring", "stage-tutoring-progress", "第五期"),
-    ("庚公司 Pre-IPO", "辅导备案进展", "stage-tutoring", "stage-tutoring-progress", "进展中"),
-    ("辛公司：登陆深交易所", "发行", "stage-listed", "stage-listed", ""),
-    ("壬公司正式上市", "", "stage-listed", "stage-listed", ""),
-    ("癸公司新品", "无关", "stage-tutoring", "", ""),
-    (None, None, "stage-tutoring", "", ""),
-]
-
-
-@query(f"""SELECT o_orderkey, {_sql("o_orderkey", [r[2] for r in _STAGED])} AS inferred, {_sql("o_orderkey", [r[3] for r in _STAGED])} AS shown, {_sql("o_orderkey", [r[4] for r in _STAGED])} AS issue,
-  {_sql("o_orderkey", [r[4] != "" for r in _STAGED])} AS routine, CASE WHEN o_orderkey % 3 = 0 THEN 'stage-listed' ELSE {_sql("o_orderkey", [r[3].replace("-progress", "") for r in _STAGED])} END AS stage FROM orders""")
+#: Rules on listings in words that the documents, parts and orders have.
+WORDS = listings.Listing(
+    stages={"done": ("tion of", "that the"), "begun": ("und der", "the re"), "planned": ("de la",)}, hints=("of the", "der", "que"), first="planned", routine="planned-routine", report="the[^,.;|]{0,4}in", issue=r"on\s*([a-e]+)\s*re",
+    numbered=("no ", "."), ongoing="running", region=("the", "del"), coming=("that the", "tion of"), finance=("ing in", "en un"), events=("und",), abroad=("src1$",), hong_kong=("src2",), province_names="^en$",
+)
+NAMES = listings.Listing(
+    colon=":", places=("small", "red", "hot"), place_ends=" ", tail_boards=("big",), tail_words=("old",), tail_stages=("ring", "gear"), legal_forms=("bolt", "widget"), plans="for", boards={"east": ("eco",), "west": ("pro", "sma")},
+    industries={"metal": ("bolt", "gear"), "flat": ("plate",)}, registered_at="seat", province="Brand", city=r"(#1\d)", status="status",
+)
+_TEXTS = "d AS (SELECT doc_id, doc_id % 5 AS five, source, lang, coalesce(text, '') AS t, coalesce(text, '') || ' ' || coalesce(source, '') AS j FROM documents)"
+_INFERRED = "CASE WHEN regexp_matches(j, '(?i)tion of|that the') THEN 'done' WHEN regexp_matches(j, '(?i)und der|the re') THEN 'begun' ELSE 'planned' END"
+_STAGE = f"CASE WHEN regexp_matches(j, '(?i)of the|der|que') THEN {_INFERRED} ELSE '' END"
+_ISSUE = r"CASE WHEN NOT regexp_matches(j, 'the[^,.;|]{0,4}in') THEN '' WHEN regexp_extract(j, 'on\s*([a-e]+)\s*re', 1) = '' THEN 'running' ELSE 'no ' || regexp_extract(j, 'on\s*([a-e]+)\s*re', 1) || '.' END"
+
+
+@query(f"""
+WITH {_TEXTS}, s AS (SELECT *, {_INFERRED} AS inferred, {_STAGE} AS plain, {_ISSUE} AS issue FROM d)
+SELECT doc_id, inferred, CASE WHEN plain = 'planned' AND issue <> '' THEN 'planned-routine' ELSE plain END AS shown, issue, inferred = 'planned' AND issue <> '' AS routine, CASE WHEN five = 0 THEN 'done' ELSE plain END AS stage FROM s""")
 def listing_stages(t):
-    title, summary = _dealt("o_orderkey", [r[0] for r in _STAGED]), _dealt("o_orderkey", [r[1] for r in _STAGED])
-    given, none = F.when(F.col("o_orderkey") % 3 == 0, "stage-listed").otherwise("other"), F.lit(None).cast("string")
-    text = F.concat_ws(" ", title, summary)
-    return t.orders.select("o_orderkey", listings.infer_stage(title, summary).alias("inferred"), listings.display_stage(none, title, summary).alias("shown"), listings.report_issue(text).alias("issue"),
-                           listings.is_routine(title, summary).alias("routine"), listings.stage_of(given, title, summary).alias("stage"))
+    title, summary, none = F.col("text"), F.col("source"), F.lit(None).cast("string")
+    given = F.when(F.col("doc_id") % 5 == 0, "done").otherwise("other")
+    return t.documents.select(
+        "doc_id", listings.infer_stage(title, summary, WORDS).alias("inferred"), listings.display_stage(none, title, summary, WORDS).alias("shown"), listings.report_issue(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(summary, F.lit(""))), WORDS).alias("issue"),
+        listings.is_routine(title, summary, WORDS).alias("routine"), listings.stage_of(given, title, summary, WORDS).alias("stage"),
+    )
+
+
+@query(r"""
+WITH p AS (SELECT p_partkey, p_name || ' (for ' || p_type || ' )' || CASE WHEN p_size % 3 = 0 THEN ' bigold ring' ELSE '' END || ': ' || p_brand || ' (' || p_size || ')' AS title, 'seat: ' || p_brand || '| status: ' || p_type AS summary FROM part),
+c AS (SELECT *, trim(regexp_replace(regexp_replace(split_part(title, ':', 1), '\([^)]*\)', '', 'g'), '\s+', ' ', 'g')) AS company, trim(regexp_extract(title, 'for\s*([^)]+?)\s*\)', 1)) AS board FROM p),
+n AS (SELECT *, trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(company, '(?:big)?(?:old)?(?:ring|gear)$', '')), '^(?:small|red|hot)(?: )?', '')), '(?:bolt|widget)$', '')) AS cut FROM c)
+SELECT p_partkey, company, CASE WHEN cut = '' THEN company ELSE cut END AS short, coalesce(nullif(regexp_extract(regexp_replace(trim(regexp_extract(summary, 'seat:\s*([^|]+)', 1)), '^Brand(?: )?', ''), '(#1\d)', 1), ''), 'Brand') AS city, board,
+  CASE WHEN regexp_matches(board, '(?i)eco') THEN 'east' WHEN regexp_matches(board, '(?i)pro|sma') THEN 'west' ELSE '' END AS exchange, CASE WHEN regexp_matches(company, '(?i)bolt|gear') THEN 'metal' WHEN regexp_matches(company, '(?i)plate') THEN 'flat' ELSE '' END AS industry,
+  trim(regexp_extract(title, ':\s*([^(]+)', 1)) AS progress FROM n""")
+def listing_names(t):
+    title = F.concat("p_name", F.lit(" (for "), "p_type", F.lit(" )"), F.when(F.col("p_size") % 3 == 0, " bigold ring").otherwise(""), F.lit(": "), "p_brand", F.lit(" ("), F.col("p_size"), F.lit(")"))
+    rows = t.part.select("p_partkey", "p_type", title.alias("title"), F.concat(F.lit("seat: "), "p_brand", F.lit("| status: "), "p_type").alias("summary"))
+    company, board = listings.company_name(F.col("title"), NAMES), listings.planned_board(F.col("title"), NAMES)
+    return rows.select("p_partkey", company.alias("company"), listings.short_name(F.col("title"), NAMES).alias("short"), listings.city_of(F.col("summary"), NAMES).alias("city"), board.alias("board"), listings.board_exchange(board, NAMES).alias("exchange"),
+                       listings.industry(company, NAMES).alias("industry"), listings.progress(F.col("title"), F.col("summary"), NAMES).alias("progress"))
+
+
+@query(f"""
+WITH {_TEXTS}, f AS (SELECT *, CASE WHEN five = 1 THEN lang WHEN five = 2 THEN '' END AS province, regexp_matches(j, '(?i)that the|tion of') AND NOT regexp_matches(j, '(?i)ing in|en un') AS coming, regexp_matches(j, '(?i)ing in|en un') AND NOT regexp_matches(j, '(?i)und') AS finance, (doc_id * 7919) % 1000000 AS code FROM d),
+k AS (SELECT *, CASE WHEN coalesce(province, '') <> '' THEN regexp_matches(province, '(?i)^en$') ELSE doc_id % 4 = 0 OR regexp_matches(j, '(?i)the|del') END AS keep,
+  CASE WHEN regexp_matches(source, '(?i)src1$') THEN 'overseas' WHEN regexp_matches(source, '(?i)src2') THEN 'hkex' WHEN code // 100000 < 3 THEN 'low' WHEN code // 10000 BETWEEN 80 AND 84 THEN 'high' END AS market FROM f),
+s AS (SELECT *, CASE WHEN coming THEN 'ipo-tutoring' WHEN NOT finance THEN market END AS sub FROM k)
+SELECT doc_id, CASE WHEN NOT keep THEN 'drop' WHEN sub IS NULL THEN 'finance' ELSE 'keep' END AS action, CASE WHEN keep THEN sub END AS sub FROM s""")
+def listing_decisions(t):
+    key, none = F.col("doc_id"), F.lit(None).cast("string")
+    code = F.lpad((key * 7919 % 1_000_000).cast("string"), 6, "0")
+    province = F.when(key % 5 == 1, F.col("lang")).when(key % 5 == 2, "")
+    found = listings.decide(F.col("text"), F.col("source"), none, F.col("source"), code, province, key % 4 == 0, {"low": ("0", "1", "2"), "high": ("80", "81", "82", "83", "84")}, WORDS)
+    return t.documents.select("doc_id", found["action"].alias("action"), found["sub"].alias("sub"))
 
 
-# Title, summary; name, short name, city, board, exchange, line of business, progress.
-_NAMED = [
-    ("广东甲芯片股份有限公司：辅导备案（拟创业板）", "注册地：广东深圳市｜状态：辅导", "广东甲芯片股份有限公司", "甲芯片", "深圳市", "创业板", "深交所", "半导体", "辅导备案"),
-    ("深圳市乙药业（集团）有限公司：", "注册地: 广东省广州市番禺区|状态: 受理", "深圳市乙药业有限公司", "乙药业", "广州市", "", "", "", "受理"),
-    ("【快讯】丙生物公司 北交所IPO过会", "注册地：广东", "丙生物公司 北交所IPO过会", "丙生物", "广东", "", "", "医药生物", ""),
-    ("集团：拟登陆(拟 H股 )", "", "集团", "集团", "广东", "登陆(拟 H股", "境外（港股）", "", "拟登陆"),
-    ("丁机床（拟沪主板）", None, "丁机床", "丁机床", "广东", "沪主板", "上交所", "装备制造", ""),
-    (None, "注册地：湖南省长沙市", "", "", "南省长沙市", "", "", "", ""),
-]
+#: What is done, begun and to come in a text of a part.
+GROWN = listings.Listing(landed=("ring", "bolt"), under_way=("gear", "plate"), to_come=("PROMO", "red", "#1"), near=8)
 
 
-@query(f"""SELECT p_partkey, {", ".join(f"{_sql('p_partkey', [r[k + 2] for r in _NAMED])} AS {name}" for k, name in enumerate("company short city board exchange industry progress".split()))} FROM part""")
-def listing_names(t):
-    title, summary = _dealt("p_partkey", [r[0] for r in _NAMED]), _dealt("p_partkey", [r[1] for r in _NAMED])
-    company, board = listings.company_name(title), listings.planned_board(title)
-    return t.part.select("p_partkey", company.alias("company"), listings.short_name(title).alias("short"), listings.city_of(summary).alias("city"), board.alias("board"), listings.board_exchange(board).alias("exchange"),
-                         listings.industry(company).alias("industry"), listings.progress(title, summary).alias("progress"))
-
-
-# Title, source, code, province, whether the code is known; action, sub.
-_DECIDED = [
-    ("深圳甲公司辅导备案", "news", None, None, False, "keep", "ipo-tutoring"),
-    ("深圳甲公司年报", "news", "300001", None, False, "finance", None),
-    ("深圳甲公司定增与回购", "news", "300001", None, False, "keep", "szse"),
-    ("乙公司公告（股票代码：688001）", "news", None, "广东", False, "keep", "sse"),
-    ("乙公司公告", "news", "830001", None, True, "keep", "bse"),
-    ("乙公司公告", "hkex-list", None, "GD", False, "keep", "hkex"),
-    ("乙公司公告", "techcrunch", None, "Guangdong", False, "keep", "overseas"),
-    ("乙公司回购", "sgx", None, "Guangdong", False, "finance", None),
-    ("深圳甲公司辅导备案", "news", None, "湖南", True, "drop", None),
-    ("丙公司招股", "news", None, None, False, "drop", None),
-    ("广州丙公司年会", "news", None, "", None, "finance", None),
-    ("东莞创业赛复赛路演", "news", None, None, False, "finance", None),
-    ("东莞丁公司首发路演", "news", None, None, False, "keep", "ipo-tutoring"),
-    (None, None, None, None, None, "drop", None),
-]
-
-
-@query(f"""SELECT o_orderkey, {_sql("o_orderkey", [r[5] for r in _DECIDED])} AS action, {_sql("o_orderkey", [r[6] for r in _DECIDED])} AS sub FROM orders""")
-def listing_decisions(t):
-    title, source, code, province, known = (_dealt("o_orderkey", [r[k] for r in _DECIDED]) for k in range(5))
-    none = F.lit(None).cast("string")
-    found = listings.decide(title, none, none, source, code.cast("string"), province, known.cast("boolean"))
-    return t.orders.select("o_orderkey", found["action"].alias("action"), found["sub"].alias("sub"))
-
-
-# Text; stage, evidence.
-_GROWN = [
-    ("新厂区正式投产", "landed", "投产"),
-    ("拟在广州建设总部并计划2027年开业", "clue", None),
-    ("项目已竣工，" + "设备安装调试全部结束运行情况良好" + "，预计明年扩建", "landed", "竣工"),
-    ("存量产品业绩基准分批调整", "clue", None),
-    ("电池正式量产", "landed", "量产"),
-    ("项目获批并签约", "progress", "获批"),
-    ("预计开业；" + "另外这一个项目在上个月的时候就已经" + "开工", "progress", "开工"),
-    ("有意向", "clue", None),
-    ("", "clue", None),
-    (None, "clue", None),
-]
-
-
-@query(f"""SELECT o_orderkey, {_sql("o_orderkey", [r[1] for r in _GROWN])} AS stage, {_sql("o_orderkey", [r[2] for r in _GROWN])} AS evidence FROM orders""")
+@query("""
+WITH t AS (SELECT p_partkey, p_name || ' ' || p_type || ' ' || p_name || ' ' || p_brand AS t FROM part), i AS (SELECT p_partkey, t, unnest(range(1, length(t) + 1)) AS i FROM t),
+w AS (SELECT p_partkey, i, w, done FROM i, (VALUES ('ring', true), ('bolt', true), ('gear', false), ('plate', false)) v(w, done) WHERE substr(t, i, length(w)) = w
+  AND NOT EXISTS (SELECT 1 FROM (VALUES ('PROMO'), ('red'), ('#1')) m(m) WHERE contains(substr(t, greatest(i - 8, 1), least(8, i - 1)), m) OR contains(substr(t, i + length(w), 8), m))),
+b AS (SELECT p_partkey, done, min_by(w, i) AS w FROM w GROUP BY ALL)
+SELECT t.p_partkey, CASE WHEN d.w IS NOT NULL THEN 'landed' WHEN u.w IS NOT NULL THEN 'progress' ELSE 'clue' END AS stage, coalesce(d.w, u.w) AS evidence FROM t LEFT JOIN b d ON t.p_partkey = d.p_partkey AND d.done LEFT JOIN b u ON t.p_partkey = u.p_partkey AND NOT u.done""")
 def listing_maturity(t):
-    found = listings.maturity(_dealt("o_orderkey", [r[0] for r in _GROWN]))
-    return t.orders.select("o_orderkey", found["stage"].alias("stage"), found["evidence"].alias("evidence"))
+    found = listings.maturity(F.concat_ws(" ", "p_name", "p_type", "p_name", "p_brand"), GROWN)
+    return t.part.select("p_partkey", found["stage"].alias("stage"), found["evidence"].alias("evidence"))
 
 
-_COACHED = [("辅导备案", "辅导备案报告", "stage-tutoring", True), ("辅导验收", None, "stage-coach-done", True), ("辅导工作完成", "辅导工作完成报告", "stage-coach-done", True), ("撤回辅导备案", "", "stage-tutoring", False), ("辅导备案", "辅导进展情况报告", "stage-tutoring", False), (None, None, "stage-tutoring", True)]
+REGISTER = listings.Listing(first="open", coach={"F": "done", "O": "listed"}, withdrawn="P", report_on="LOW")
 
 
-@query(f"""SELECT s_suppkey, {_sql("s_suppkey", [r[2] for r in _COACHED])} AS stage FROM supplier WHERE {_sql("s_suppkey", [r[3] for r in _COACHED])}""")
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'listed' ELSE 'open' END AS stage FROM orders WHERE NOT contains(o_orderstatus, 'P') AND NOT contains(o_orderpriority, 'LOW')")
 def listing_register(t):
-    status, report = _dealt("s_suppkey", [r[0] for r in _COACHED]), _dealt("s_suppkey", [r[1] for r in _COACHED])
-    return t.supplier.where(listings.coach_kept(status, report)).select("s_suppkey", listings.coach_stage(status).alias("stage"))
+    return t.orders.where(listings.coach_kept(F.col("o_orderstatus"), F.col("o_orderpriority"), REGISTER)).select("o_orderkey", listings.coach_stage(F.col("o_orderstatus"), REGISTER).alias("stage"))
 
 
 def _offered(t):
