@@ -1,4 +1,4 @@
-"""Lines of business, authority, action, nearness, markets and leading items; titles are dealt to rows, and the SQL states what each must give."""
+"""Lines of business, authority, action, nearness, markets and leading items; the rules read words that the tables have, and the SQL computes them on its own."""
 
 from __future__ import annotations
 
@@ -6,59 +6,59 @@ from pyspark.sql import functions as F
 
 from feedmill.functions import desk
 from feedmill.operators import executive
-from feedmill.plans.listings import _dealt, _sql
 from feedmill.plans.registry import query
 
-# Title, tag; tags rolled up, lines reached, themes of gz-credit, themes of all lines.
-_FILED = [
-    ("公积金贷款利率下调", "粤", "信贷,粤", "gz-credit", "公积金,利率,贷款", "公积金,利率,贷款"),
-    ("黄金与养老", "跨境", "财富,客群,跨境", "gz-wealth", "", "黄金"),
-    ("芯片企业股权融资担保", "信用卡", "信贷,私行,信用卡,客群", "gz-credit,gz-private", "融资担保", "融资担保,股权,芯片"),
-    ("居民收入", None, "", "gz-customer", "", "居民收入,收入"),
-    ("无关", "财富", "财富", "", "", ""),
-    (None, None, "", "", "", ""),
-]
-
-
-@query(f"""SELECT o_orderkey, {_sql("o_orderkey", [r[2] for r in _FILED])} AS tags, {_sql("o_orderkey", [r[3] for r in _FILED])} AS lines, {_sql("o_orderkey", [r[4] for r in _FILED])} AS credit, {_sql("o_orderkey", [r[5] for r in _FILED])} AS themes, '' AS other FROM orders""")
+#: Rules of a desk in words that the documents have.
+WORDS = desk.Desk(
+    departments={"one": ("tion of", "that the"), "two": ("und der",), "three": ("que la", "of the")}, tags={"fr": "two", "de": "four"}, lines={"l1": ("the re", "del"), "l2": ("ing in",), "l3": ("la",)},
+    themes={"t1": ("The", "ing", "und "), "t2": ("des", "the", "QUE")}, issuers=((("that the",), 0.95), (("ing in", "des"), 0.8), (("of",), 0.6)), foreign=("en la", "is the"), sources={"src1": 0.9, "src2": 0.5}, floors={"en": 0.3, "de": 0.7},
+    actions=(("act", 0.9, ("that the", "que la")), ("risk", 0.85, ("und der", "re of")), ("soft", 0.2, ("the",))), other_action=("none", 0.5), nearest=("tion of", "des"), near=("ing in",),
+)
+_HIT = lambda words: f"regexp_matches(t, '(?i){words}')"
+_NAMES = lambda rules: "list_filter([" + ", ".join(f"CASE WHEN {_HIT(words)} THEN '{name}' END" for name, words in rules) + "], lambda x: x IS NOT NULL)"
+_IN = lambda words: "list_filter([" + ", ".join(f"'{w}'" for w in words) + "], lambda w: contains(lower(t), lower(w)))"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents), f AS (SELECT *, {_NAMES((("one", "tion of|that the"), ("two", "und der"), ("three", "que la|of the")))} AS own, CASE lang WHEN 'fr' THEN ['fr', 'two'] WHEN 'de' THEN ['de', 'four'] WHEN 'en' THEN [] ELSE [lang] END AS free FROM d)
+SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(own, free))), ',') AS tags, array_to_string({_NAMES((("l1", "the re|del"), ("l2", "ing in"), ("l3", "la")))}, ',') AS lines,
+  array_to_string({_IN(("The", "ing", "und "))}, ',') AS credit, array_to_string(list_sort({_IN(("The", "ing", "und ", "des", "the", "QUE"))}), ',') AS themes, '' AS other FROM f""")
 def desk_tags(t):
-    title, tag = _dealt("o_orderkey", [r[0] for r in _FILED]), _dealt("o_orderkey", [r[1] for r in _FILED])
-    joined = {"tags": desk.rolled_up(title, F.when(tag.isNotNull(), F.array(tag))), "lines": desk.lines_reached(title), "credit": desk.theme_keys(title, F.lit("gz-credit")),
-              "themes": desk.theme_keys(title, F.lit(None).cast("string")), "other": desk.theme_keys(title, F.lit("else"))}
-    return t.orders.select("o_orderkey", *(F.array_join(c, ",").alias(n) for n, c in joined.items()))
-
-
-# Text, source, column, locale; authority of issuer and source, action, its score, nearness.
-_WEIGHED = [
-    ("央行发文降息", "pbc", "cn-finance", None, 0.95, 0.95, "policy_action", 0.9, 0.0),
-    ("加拿大央行加息", "stcn", "cn-policy", "gz", 0.0, 0.9, "default", 0.5, 0.9),
-    ("广东省工业和信息化厅处罚", "gd-gii", None, None, 0.8, 0.86, "risk_action", 0.85, 0.9),
-    ("广州市商务局：同比增长", "blog", None, None, 0.8, 0.42, "data_context", 0.4, 1.0),
-    ("协会年会", None, "cn-finance", None, 0.6, 0.6, "soft", 0.2, 0.0),
-    (None, None, None, None, 0.0, 0.42, "default", 0.5, 0.0),
-]
-
-
-@query("SELECT o_orderkey, " + ", ".join(f"{_sql('o_orderkey', [r[k] for r in _WEIGHED])} AS {n}" for k, n in ((4, "issuer"), (5, "authority"), (6, "type"), (7, "action"), (8, "near"))) + " FROM orders")
+    title, lang = F.col("text"), F.col("lang")
+    key = lambda line: desk.theme_keys(title, line, WORDS)
+    tags = F.array_sort(desk.rolled_up(title, F.when(lang != "en", F.array(lang)), WORDS))
+    joined = {"tags": tags, "lines": desk.lines_reached(title, WORDS), "credit": key(F.lit("t1")), "themes": F.array_sort(key(F.lit(None).cast("string"))), "other": key(F.lit("else"))}
+    return t.documents.select("doc_id", *(F.array_join(c, ",").alias(n) for n, c in joined.items()))
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, CASE WHEN {_HIT("en la|is the")} THEN 0.0 WHEN {_HIT("that the")} THEN 0.95 WHEN {_HIT("ing in|des")} THEN 0.8 WHEN {_HIT("of")} THEN 0.6 ELSE 0.0 END::DOUBLE AS issuer,
+  greatest(CASE source WHEN 'src1' THEN 0.9 WHEN 'src2' THEN 0.5 ELSE 0.42 END, CASE lang WHEN 'en' THEN 0.3 WHEN 'de' THEN 0.7 ELSE 0.0 END)::DOUBLE AS authority,
+  CASE WHEN {_HIT("that the|que la")} THEN 'act' WHEN {_HIT("und der|re of")} THEN 'risk' WHEN {_HIT("the")} THEN 'soft' ELSE 'none' END AS type,
+  CASE WHEN {_HIT("that the|que la")} THEN 0.9 WHEN {_HIT("und der|re of")} THEN 0.85 WHEN {_HIT("the")} THEN 0.2 ELSE 0.5 END::DOUBLE AS action,
+  CASE WHEN {_HIT("tion of|des")} THEN 1.0 WHEN {_HIT("ing in")} OR doc_id % 9 = 0 THEN 0.9 ELSE 0.0 END::DOUBLE AS near FROM d""")
 def desk_weights(t):
-    said, source, column, locale = (_dealt("o_orderkey", [r[k] for r in _WEIGHED]) for k in range(4))
-    act = desk.action(said)
-    return t.orders.select("o_orderkey", desk.issuer_authority(said).alias("issuer"), desk.source_authority(source, column).alias("authority"), act["type"].alias("type"), act["score"].alias("action"), desk.nearness(said, locale).alias("near"))
+    said = F.col("text")
+    act = desk.action(said, WORDS)
+    locale = F.when(F.col("doc_id") % 9 == 0, "gz")
+    return t.documents.select("doc_id", desk.issuer_authority(said, WORDS).alias("issuer"), desk.source_authority(F.col("source"), F.col("lang"), WORDS).alias("authority"), act["type"].alias("type"), act["score"].alias("action"), desk.nearness(said, locale, WORDS).alias("near"))
 
 
-# Days of the three markets before 2024-03-02; those that are fresh, note, spoken.
-_CLOSED = [
-    (["2024-03-01", "2024-03-01", "2024-03-02"], "A股、港股、美股", "", "A股为 3月1日 收盘；港股为 3月1日 收盘；美股为 3月2日 收盘"),
-    (["2024-02-28", "2024-03-01", None], "港股", "A股、美股今日无隔夜行情，其余市场为最新收盘", "A股、美股今日无隔夜行情；港股为 3月1日 收盘"),
-    ([None, "2024-03-03", "2024-02-01"], "", desk.ALL_STALE, desk.ALL_STALE_SPOKEN),
-]
+_FRESH = "datediff('day', {0}, day + 3) BETWEEN 0 AND 1"
 
 
-@query(f"""SELECT p_partkey, {_sql("p_partkey", [r[1] for r in _CLOSED])} AS fresh, {_sql("p_partkey", [r[1] == "" for r in _CLOSED])} AS all_stale, {_sql("p_partkey", [r[2] for r in _CLOSED])} AS note, {_sql("p_partkey", [r[3] for r in _CLOSED])} AS spoken FROM part""")
+@query(f"""
+WITH o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS day FROM orders), m AS (SELECT k, day, day + CAST(k % 4 AS INT) AS a, CASE WHEN k % 5 > 0 THEN day + CAST(k % 3 + 1 AS INT) END AS h, day + CAST(k % 7 AS INT) AS u FROM o),
+f AS (SELECT *, coalesce({_FRESH.format('a')}, false) AS fa, coalesce({_FRESH.format('h')}, false) AS fh, coalesce({_FRESH.format('u')}, false) AS fu FROM m),
+g AS (SELECT *, array_to_string(list_filter([CASE WHEN fa THEN 'A股' END, CASE WHEN fh THEN '港股' END, CASE WHEN fu THEN '美股' END], lambda x: x IS NOT NULL), '、') AS fresh, array_to_string(list_filter([CASE WHEN NOT fa THEN 'A股' END, CASE WHEN NOT fh THEN '港股' END, CASE WHEN NOT fu THEN '美股' END], lambda x: x IS NOT NULL), '、') AS stale FROM f)
+SELECT k AS o_orderkey, fresh, fresh = '' AS all_stale, CASE WHEN fresh = '' THEN '{desk.ALL_STALE}' WHEN stale <> '' THEN stale || '{desk.SOME_STALE}' ELSE '' END AS note,
+  CASE WHEN fresh = '' THEN '{desk.ALL_STALE_SPOKEN}' ELSE array_to_string(list_filter([CASE WHEN stale <> '' THEN stale || '{desk.STALE}' END, CASE WHEN fa THEN 'A股为 ' || month(a) || '月' || day(a) || '日 收盘' END, CASE WHEN fh THEN '港股为 ' || month(h) || '月' || day(h) || '日 收盘' END, CASE WHEN fu THEN '美股为 ' || month(u) || '月' || day(u) || '日 收盘' END], lambda x: x IS NOT NULL), '；') END AS spoken FROM g""")
 def market_statuses(t):
-    days = {k: _dealt("p_partkey", [r[0][i] for r in _CLOSED]).cast("date") for i, k in enumerate(desk.MARKETS)}
-    status = desk.market_status(F.lit("2024-03-02").cast("date"), days)
-    return t.part.select("p_partkey", *(status[c].alias(c) for c in ("fresh", "all_stale", "note", "spoken")))
+    day, k = F.to_date("o_orderdate"), F.col("o_orderkey")
+    later = lambda n: F.date_add(day, n.cast("int"))
+    status = desk.market_status(F.date_add(day, 3), {"a_share": later(k % 4), "hk": F.when(k % 5 > 0, later(k % 3 + 1)), "us": later(k % 7)})
+    return t.orders.select("o_orderkey", *(status[c].alias(c) for c in ("fresh", "all_stale", "note", "spoken")))
 
 
 @query("""

@@ -50,17 +50,22 @@ def lead_ledger(t):
     return leads.ledger(_leads(t)).select("market", "leads", F.to_date("last_at").alias("last_day"))
 
 
-# Registered, city, address; region.
-_PLACED = [(True, "广州市南沙", None, "gz"), (True, "深圳", "广州市", "gd"), (True, "", "湛江开发区", "gz"), (True, None, None, "gd"), (False, None, "广东省清远市", "gz"), (False, None, "广东深圳", "gd"), (None, "广州", "北京市", "nation"), (False, None, "", "")]
-
-
-@query(f"""SELECT s_suppkey, {_sql("s_suppkey", [r[3] for r in _PLACED])} AS region, s_suppkey % 3 = 0 AND s_suppkey % 4 > 0 AS stale, s_suppkey % 5 = 0 AS listing FROM supplier""")
+@query(r"""
+WITH s AS (SELECT s_suppkey, s_name, s_suppkey % 3 AS r, CASE WHEN s_suppkey % 5 > 0 THEN n_name ELSE '' END AS city, CASE WHEN s_suppkey % 7 > 0 THEN n_name || CASE WHEN s_suppkey % 2 = 0 THEN '市' ELSE '' END || ' ' || r_name ELSE '' END AS addr, s_name || ' of ' || (2018 + s_suppkey % 9) AS title,
+  CASE WHEN s_suppkey % 4 > 0 THEN CASE WHEN s_suppkey % 4 = 1 THEN strftime(DATE '2024-01-01' + CAST(s_suppkey % 30 AS INT), '%Y%m%d') ELSE strftime(DATE '2024-01-01' + CAST(s_suppkey % 30 AS INT), '%Y-%m-%d') END END AS day FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+n AS (SELECT *, starts_with(addr, 'NATION_1') OR contains(addr, 'NATION_2市') AS near, contains(city, 'NATION_1') OR contains(city, 'NATION_2') AS mine FROM s)
+SELECT s_suppkey, CASE WHEN r = 1 THEN CASE WHEN city <> '' THEN CASE WHEN mine THEN 'gz' ELSE 'gd' END WHEN near OR starts_with(addr, 'NATION_2') THEN 'gz' ELSE 'gd' END WHEN addr = '' THEN '' WHEN near OR starts_with(addr, 'NATION_2') THEN 'gz' WHEN contains(addr, 'REGION_1') THEN 'gd' ELSE 'nation' END AS region,
+  s_suppkey % 4 = 0 AND 2018 + s_suppkey % 9 <= 2022 AS stale, coalesce(regexp_matches(day, '^\d{4}-\d{2}-\d{2}$'), false) AS listing FROM n""")
 def regions(t):
-    known, city, address = (_dealt("s_suppkey", [r[k] for r in _PLACED]) for k in range(3))
     key = F.col("s_suppkey")
-    stale = filings.has_stale_year(_dealt("s_suppkey", ["2024 report", "of 2021 and 2024", "review 2022", "in 1999."]), F.when(key % 3 != 0, F.current_date()), F.lit(2024))
-    day = _dealt("s_suppkey", ["2024-01-02", "20240102", "2024-1-2", None, ""])
-    return t.supplier.select("s_suppkey", filings.region_of(known, city, address, ["广州", "湛江", "清远"], "广东").alias("region"), stale.alias("stale"), filings.is_listing(F.lit("600001"), F.col("s_name"), day).alias("listing"))
+    rows = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    registered = F.when(key % 3 == 1, True).when(key % 3 == 2, False)
+    city = F.when(key % 5 > 0, F.col("n_name")).when(key % 2 == 0, "")
+    address = F.when(key % 7 > 0, F.concat("n_name", F.when(key % 2 == 0, "市").otherwise(""), F.lit(" "), "r_name"))
+    date = F.date_add(F.lit("2024-01-01").cast("date"), (key % 30).cast("int"))
+    day = F.when(key % 4 > 0, F.when(key % 4 == 1, F.date_format(date, "yyyyMMdd")).otherwise(date.cast("string")))
+    stale = filings.has_stale_year(F.concat("s_name", F.lit(" of "), 2018 + key % 9), day, F.lit(2024))
+    return rows.select("s_suppkey", filings.region_of(registered, city, address, ["NATION_1", "NATION_2"], "REGION_1").alias("region"), stale.alias("stale"), filings.is_listing(key.cast("string"), F.col("s_name"), day).alias("listing"))
 
 
 @query("""

@@ -1,4 +1,4 @@
-"""Domiciles, cities, institutions and cards of market reports; texts are dealt to rows, and the SQL states what each must give."""
+"""Domiciles, cities, institutions and cards of market reports; the rules read whole texts, and the SQL computes them on its own."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from feedmill.functions import market, prospectus, text
 from feedmill.operators import ranking
-from feedmill.plans.listings import _dealt, _sql
 from feedmill.plans.registry import query
 
 #: A cover, an issuer and exchanges in syllables that the documents have.
@@ -56,22 +55,16 @@ def single_institutions(t):
     return t.documents.select("doc_id", names.alias("n")).select("doc_id", F.array_join(F.array_sort("n"), ",").alias("names"), prospectus.keep_unless_single(F.col("n"), ["Stung", "eration"]).alias("kept"))
 
 
-# Title; overview and sectors with the quote below, overview without quotes.
-_REPORTS = [
-    ("恒生指数涨1.20%，内房股逆势走强，半导体股多，智谱跌超12%", "恒生指数收报100点（+1.20%）。", "内房股逆势走强|智谱跌超12%", "恒生指数涨1.20%"),
-    ("恒生指数跌1.20%，内房股逆势走强，上证指数跌0.5%", "恒生指数跌1.20%，上证指数跌0.5%。", "内房股逆势走强", "恒生指数跌1.20%"),
-    ("内房股逆势走强", None, None, None),
-    (None, None, None, None),
-]
-
-
-@query(f"""SELECT p_partkey, {_sql("p_partkey", [r[1] for r in _REPORTS])} AS overview, {_sql("p_partkey", [r[2] for r in _REPORTS])} AS sectors, {_sql("p_partkey", [r[3] for r in _REPORTS])} AS unquoted FROM part""")
+@query("""
+WITH c AS (SELECT p_partkey, p_brand, p_type, p_size, ['up', 'down', 'flat'][p_size % 3 + 1] AS way, p_brand LIKE 'Brand#1%' OR p_brand LIKE 'Brand#2%' AS named, p_name || ' up' AS second FROM part), d AS (SELECT *, p_brand || ' ' || way || ' ' || p_size || '%' AS first FROM c)
+SELECT p_partkey, CASE WHEN p_brand LIKE 'Brand#1%' AND way <> 'flat' AND abs(11 - CASE way WHEN 'up' THEN p_size ELSE -p_size END) > 0.05 THEN first || '。' ELSE 'Brand#1收报100点（+1%）。' END AS overview,
+  CASE WHEN named THEN '' ELSE first || '|' END || second || CASE WHEN p_type = 'SMALL' THEN '' ELSE '|' || p_type || ' steady' END AS sectors, first AS unquoted FROM d""")
 def recap_cards(t):
-    clauses = text.split_clauses(F.replace(_dealt("p_partkey", [r[0] for r in _REPORTS]), F.lit("."), F.lit("\1")))
-    clauses = F.transform(clauses, lambda c: F.replace(c, F.lit("\1"), F.lit(".")))
-    quote = F.struct(F.lit("恒生指数").alias("name"), F.lit("100").alias("value"), F.lit("+1.20%").alias("change"), F.lit(1.2).alias("pct"))
-    names, up, down = ["恒生指数", "上证指数"], "涨|走强|反弹", "跌|走弱|下挫"
-    card, plain = (market.recap_card(clauses, quotes, names, up, down, "直播") for quotes in (F.array(quote), F.filter(F.array(quote), lambda q: F.lit(False))))
+    way = F.element_at(F.array(F.lit("up"), F.lit("down"), F.lit("flat")), (F.col("p_size") % 3 + 1).cast("int"))
+    report = F.concat("p_brand", F.lit(" "), way, F.lit(" "), "p_size", F.lit("%, "), "p_name", F.lit(" up; "), "p_type", F.lit(" steady."))
+    clauses = text.split_clauses(report)
+    quote = F.struct(F.lit("Brand#1").alias("name"), F.lit("100").alias("value"), F.lit("+1%").alias("change"), F.lit(11.0).alias("pct"))
+    card, plain = (market.recap_card(clauses, quotes, ["Brand#1", "Brand#2"], "up", "down", "SMALL") for quotes in (F.array(quote), F.filter(F.array(quote), lambda q: F.lit(False))))
     return t.part.select("p_partkey", card["overview"].alias("overview"), F.array_join(card["sectors"], "|").alias("sectors"), plain["overview"].alias("unquoted"))
 
 
