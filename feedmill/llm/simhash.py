@@ -22,7 +22,7 @@ LEAF, FANOUT = 8, 8
 #: For similar_groups: candidates of a document compared at once, rows of a group that one task compares, ids that may be broadcast (8 bytes each).
 BUCKET, PIECE, BROADCAST_IDS = 64, 4096, 500_000
 #: Shingles that a task counts, that a task deals at once, and that count as one row of a group.
-COUNTED, DEALT, ROW = 1 << 18, 1 << 19, 128
+COUNTED, DEALT, ROW = 1 << 20, 1 << 19, 128
 #: Rows of the frontier (query x node) that a search holds at once.
 FRONTIER = 2_000_000
 
