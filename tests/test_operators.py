@@ -241,3 +241,22 @@ def test_usage(spark):
     assert out == {"a": (2, 1, 16, {"quota": 1}), "unknown": (1, 1, 5, {"timeout": 1})}
     made = usage.source_yield(calls, calls.where("ok"), "backend", "ms", spark.createDataFrame([("z",)], "backend string")).where("backend = 'z'").first()
     assert (made.inflow, made.kept, made.ratio) == (0, 0, 0.0)
+
+
+def test_greedy_leaders_with_groups_match_a_scan(spark):
+    import random
+
+    from feedmill.operators.dedupe import greedy_leaders
+
+    rng = random.Random(11)
+    for _ in range(4):
+        n = 40
+        pairs = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(25)}
+        keys = {(p, rng.choice("abcd")) for p in range(n) if rng.random() < 0.5} | {(p, "hot") for p in range(0, n, 3)}
+        leader = {}
+        for p in range(n):
+            near = [q for q in range(p) if leader[q] == q and ((q, p) in pairs or any((q, k) in keys for k in {k for x, k in keys if x == p}))]
+            leader[p] = min(near) if near else p
+        rows = spark.createDataFrame([(p,) for p in range(n)], "pos long")
+        got = greedy_leaders(rows, spark.createDataFrame(sorted(pairs), "u long, v long"), spark.createDataFrame(sorted(keys), "pos long, key string")).collect()
+        assert {r.pos: r.leader for r in got} == leader
