@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,33 +84,34 @@ def _parts(turns: DataFrame) -> DataFrame:
 
 
 def _levels(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """conv_id, call_id, after, level, then, cyclic: the turn at which a call can stand at the earliest, how many calls stand before it in a chain, and the turn of its answer.
+    """conv_id, call_id, after, level, cyclic: the turn at which a call can stand at the earliest, and how many calls stand before it in a chain.
 
-    A call stands after the answers of those that its arguments refer to; what refers to itself over others is cyclic. Each
-    round settles the calls of which all that they refer to is settled, so rounds are as many as the longest chain.
+    A call stands after the answers of those that its arguments refer to; what refers to itself over others is cyclic.
+    Links are doubled: round k joins links over 2^k references with themselves, and takes latest answers and longest
+    chains along, so rounds are as many as the logarithm of the longest chain. A link over more references than
+    a conversation has calls ends in a cycle.
     """
-    own = calls.groupBy("conv_id", "call_id").agg(F.min("turn").alias("after"), F.min_by("body", F.struct("turn", "part", "body")).alias("body"))
-    own = written(own.join(results.groupBy("conv_id", "call_id").agg(F.min("turn").alias("answer")), ["conv_id", "call_id"], "left"), "calls")
-    out = own.select("conv_id", "call_id", "after", F.lit(0).alias("level"), F.greatest("after", "answer").alias("then"))
-    uses = own.select("conv_id", "call_id", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r'"\$call:([^"]+)"'), F.lit(1)))).alias("used"))
-    uses = written(uses.join(own.select("conv_id", F.col("call_id").alias("used")), ["conv_id", "used"], "left_semi"), "uses")
+    key = ["conv_id", "call_id"]
+    own = calls.groupBy(*key).agg(F.min("turn").alias("after"), F.min_by("body", F.struct("turn", "part", "body")).alias("body"))
+    own = written(own.join(results.groupBy(*key).agg(F.min("turn").alias("answer")), key, "left"), "calls")
+    uses = own.select(*key, F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r'"\$call:([^"]+)"'), F.lit(1)))).alias("used"))
+    uses = written(uses.join(own.select("conv_id", F.col("call_id").alias("used")), ["conv_id", "used"], "left_semi").select(*key, "used"), "uses")
+    alone = own.select(*key, "after", F.lit(0).alias("level"))
     if uses.isEmpty():
-        return out.withColumn("cyclic", F.lit(False))
-    new = written(out.join(uses.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti"), "settled")
-    settled, given, open_uses = [new], [], uses
-    while True:
-        given.append(written(open_uses.join(new.select("conv_id", F.col("call_id").alias("used"), "then", "level"), ["conv_id", "used"]), "given"))
-        open_uses = written(open_uses.join(new.select("conv_id", F.col("call_id").alias("used")), ["conv_id", "used"], "left_anti"), "open")
-        ready = given[-1].select("conv_id", "call_id").distinct().join(open_uses.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti")
-        told = reduce(DataFrame.unionByName, given).join(ready, ["conv_id", "call_id"], "left_semi").groupBy("conv_id", "call_id").agg(F.max("then").alias("then"), F.max("level").alias("level"))
-        after = F.greatest("after", "then")
-        new = written(told.join(own, ["conv_id", "call_id"]).select("conv_id", "call_id", after.alias("after"), (F.col("level") + 1).alias("level"), F.greatest(after, "answer").alias("then")), "settled")
-        if new.isEmpty():
-            break
-        settled.append(new)
-    done = reduce(DataFrame.unionByName, settled)
-    rest = out.join(done, ["conv_id", "call_id"], "left_anti").withColumn("cyclic", F.lit(True))
-    return done.withColumn("cyclic", F.lit(False)).unionByName(rest)
+        return alone.withColumn("cyclic", F.lit(False))
+    most = own.groupBy("conv_id").count().agg(F.max("count")).first()[0]
+    reach = own.select(*key, F.greatest("after", "answer").alias("latest"), F.lit(0).alias("level"))
+    over, links = 1, uses
+    while over <= most and not links.isEmpty():
+        beyond = links.join(reach.withColumnRenamed("call_id", "used"), ["conv_id", "used"]).groupBy(*key).agg(F.max("latest").alias("_latest"), (F.max("level") + over).alias("_level"))
+        reach = written(reach.join(beyond, key, "left").select(*key, F.greatest("latest", "_latest").alias("latest"), F.greatest("level", "_level").alias("level")), "reach")
+        links = written(links.join(links.select("conv_id", F.col("call_id").alias("used"), F.col("used").alias("_used")), ["conv_id", "used"]).select(*key, F.col("_used").alias("used")).distinct(), "links")
+        over *= 2
+    told = uses.join(reach.select("conv_id", F.col("call_id").alias("used"), "latest"), ["conv_id", "used"]).groupBy(*key).agg(F.max("latest").alias("told"))
+    cyclic = links.select(*key).distinct().withColumn("cyclic", F.lit(True))
+    out = alone.drop("level").join(reach.select(*key, "level"), key).join(told, key, "left").join(cyclic, key, "left")
+    cycle = F.coalesce("cyclic", F.lit(False))
+    return out.select(*key, F.when(cycle, F.col("after")).otherwise(F.greatest("after", "told")).alias("after"), F.when(cycle, 0).otherwise(F.col("level")).alias("level"), cycle.alias("cyclic"))
 
 
 def canonical(turns: DataFrame, tools: dict[str, dict] | None = None) -> DataFrame:

@@ -317,3 +317,33 @@ def test_links_and_order_match_brute_force(spark):
                     assert (r.level, r.after) == (level[r.call_id], max(r.turn, after[r.call_id]))
             if r.conv_id == conv and r.kind == "result":
                 assert r.linked == (r.call_id in calls)
+
+
+def test_chains_and_cycles_of_calls_in_few_rounds(spark):
+    """A chain of 200 calls, wide references, cycles and what leads into them, against a walk over all references."""
+    rng = random.Random(13)
+    calls = {f"c{i}": (i, [f"c{i - 1}"] * (i > 0)) for i in range(200)}
+    calls |= {f"w{i}": (i, rng.sample([f"w{j}" for j in range(i)], min(i, rng.randint(0, 3)))) for i in range(30)}
+    calls |= {"x": (5, ["y"]), "y": (6, ["z"]), "z": (7, ["x", "c3"]), "into": (8, ["x", "c9"]), "self": (9, ["self"]), "lost": (3, ["nobody"])}
+    answers = {c: turn + rng.randint(0, 40) for c, (turn, _) in calls.items() if rng.random() < 0.6}
+    rows = []
+    for c, (turn, used) in calls.items():
+        arguments = json.dumps({f"a{k}": f"$call:{u}" for k, u in enumerate(used)})
+        rows.append((1, turn, "assistant", json.dumps({"content": "", "tool_calls": [{"id": c, "name": "t", "arguments": arguments}]})))
+    rows += [(1, turn, "tool", json.dumps({"tool_call_id": c, "content": "ok"})) for c, turn in answers.items()]
+    rows += [(2, 4, "assistant", json.dumps({"content": "", "tool_calls": [{"id": "c0", "name": "t", "arguments": json.dumps({"a": "$call:c7"})}]}))]  # ids count within their conversation
+
+    done = {}  # after, level, latest answer; what is never settled ends in a cycle
+    while True:
+        new = {}
+        for c, (turn, used) in calls.items():
+            found = [done.get(u) for u in used if u in calls]
+            if c not in done and None not in found:
+                after = max([turn, *(f[2] for f in found)])
+                new[c] = after, max([0, *(f[1] + 1 for f in found)]), max(after, answers.get(c, after))
+        if not new:
+            break
+        done |= new
+    want = {c: done[c][:2] if c in done else (turn, 0) for c, (turn, _) in calls.items()}
+    got = {r.call_id: (r.after, r.level) for r in chat.canonical(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("kind = 'call' and conv_id = 1").collect()}
+    assert got == want and got["c199"][1] == 199
