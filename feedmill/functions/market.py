@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedmill.functions.text import bound
@@ -79,3 +81,29 @@ def is_recap(title: Column, recap: str, intraday: str) -> Column:
 def recap_order(title: Column, clauses: Column, broad: str) -> list[Column]:
     """Order of reports: the broader, the more clauses, the longer title first."""
     return [F.desc(F.when(title.rlike(broad), 2).otherwise(1)), F.desc(F.size(clauses)), F.desc(F.length(title))]
+
+
+@dataclass(frozen=True)
+class StockNews:
+    """What tells news on markets from news on a single share: words that never stay, companies that always do, a share's code, words of markets, words of a share; in this order."""
+
+    never: Sequence[str] = ("异动",)
+    companies: Sequence[str] = ()
+    code: str = r"\(\d{4,6}(?:\.\w+)?\)|\([A-Z]{2,5}\.[A-Z]{2}\)"
+    markets: Sequence[str] = ("大盘", "板块", "指数", "A股", "港股", "美股", "央行", "政策")
+    shares: Sequence[str] = ("股价", "财报", "评级", "回购", "涨停", "跌停", "earnings", "shares", "target price")
+
+
+def keep_stock_news(title: Column, v: StockNews = StockNews()) -> Column:  # noqa: B008
+    """Whether a title on stocks stays: companies and markets do, single shares don't, what tells neither does. Words count as they are written; an empty title stays."""
+
+    def made(t: Column) -> Column:
+        stands = lambda words: F.lit(False) if not words else t.rlike("|".join(map(re.escape, words)))
+        return F.when(t == "", True).when(stands(v.never), False).when(stands(v.companies), True).when(t.rlike(v.code), False).when(stands(v.markets), True).otherwise(~stands(v.shares))
+
+    return bound(F.coalesce(title, F.lit("")), made)
+
+
+def filter_stock_news(rows: DataFrame, title: str, category: str, stocks: str = "stocks", v: StockNews = StockNews()) -> DataFrame:  # noqa: B008
+    """rows without single-share news; only the category of stocks is looked at, a null category is another."""
+    return rows.where(~F.coalesce(F.col(category) == stocks, F.lit(False)) | keep_stock_news(F.col(title), v))

@@ -51,6 +51,23 @@ def dice(a: Column, b: Column, empty: float = 1.0) -> Column:
     return _overlap(a, b, lambda x: F.when(x["a"] + x["b"] == 0, F.lit(empty)).otherwise(2 * x["n"] / F.greatest(x["a"] + x["b"], F.lit(1))))
 
 
+def aspects(line: Column, lead: str = "^.*?：", ends: str = "[；;]") -> Column:
+    """Parts of a line between signs, without what leads it in, trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(line, F.lit("")), lead, ""), ends), lambda p: F.trim(p)), lambda p: p != "")
+
+
+def most_repeated(a: Column, b: Column) -> Column:
+    """Struct of score, a and b: the two parts of two arrays of texts that are most alike by Jaccard of their bigrams, the first of equals; null if either is empty."""
+
+    def best(x: Column) -> Column:
+        each = F.transform(x["a"], lambda p: F.struct(p.alias("text"), title_bigrams(p).alias("grams")))
+        others = F.transform(x["b"], lambda p: F.struct(p.alias("text"), title_bigrams(p).alias("grams")))
+        pairs = F.flatten(F.transform(each, lambda p: F.transform(others, lambda q: F.struct(F.when(F.size(p["grams"]) == 0, 0.0).otherwise(jaccard(p["grams"], q["grams"])).alias("score"), p["text"].alias("a"), q["text"].alias("b")))))
+        return bound(pairs, lambda s: F.get(F.filter(s, lambda y: y["score"] == F.array_max(F.transform(s, lambda z: z["score"]))), F.lit(0)))
+
+    return bound(F.struct(a.alias("a"), b.alias("b")), best)
+
+
 def title_similarity(a: Column, b: Column) -> Column:
     """Jaccard of bigrams; two titles without letters are alike."""
     return jaccard(title_bigrams(a), title_bigrams(b))

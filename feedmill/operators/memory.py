@@ -84,3 +84,13 @@ def streaks(rows: DataFrame, key: str, day: str) -> DataFrame:
     each = rows.select(key, day).distinct()
     place = F.row_number().over(Window.partitionBy(key).orderBy(day))
     return each.withColumn("_run", F.date_sub(F.col(day), place)).groupBy(key, "_run").agg(F.min(day).alias("streak_start"), F.count("*").alias("days")).drop("_run")
+
+
+def brief(records: DataFrame, today: Column, group: str, order: list[str], angles: Column, used: str, lookback: int = 10, most: int = 8) -> DataFrame:
+    """Of each group the `most` events told last within `lookback` days before today: records (last_day, ...) with age, and angle, the first of `angles` not in the array `used`, or its first one if all are."""
+    age = F.datediff(today, "last_day")
+    fresh = records.withColumn("age", age).where((F.col("age") >= 0) & (F.col("age") <= lookback))
+    left = F.get(F.array_except(angles, F.coalesce(F.col(used), F.array().cast("array<string>"))), F.lit(0))
+    place = F.row_number().over(Window.partitionBy(group).orderBy("age", *order))
+    out = fresh.withColumn("angle", F.coalesce(left, F.get(F.col(used), F.lit(0)))).withColumn("_place", place)
+    return out.where(F.col("_place") <= most).drop("_place")
