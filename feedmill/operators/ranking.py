@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -49,6 +49,27 @@ def cap_with_exemption(rows: DataFrame, source: str, score: str, order: Order, c
     return late.withColumn("_nth", nth).where((F.col("_rank") <= cap) | (F.col("_late") & (F.col("_nth") <= extra))).drop("_rank", "_late", "_nth")
 
 
+def display_caps(rows: DataFrame, section: str, source: str, value: Order, score: str, rank: Order, caps: Mapping[str, tuple[int, int]], exempt: float = 60, extra: int = 4) -> DataFrame:
+    """rows that sections show. caps: for each section rows of a source and of all; other sections show all theirs.
+
+    Of a source the best by value stay, of these the first by rank up to the section's cap; then rows beyond their source's
+    cap with a score of `exempt` or more fill in, best first, until the section is `extra` over its cap. Each step
+    is a window limit, so a hot source sends no more than its cap.
+    """
+    capped = F.create_map(*(F.lit(x) for name, (each, whole) in caps.items() for x in (name, F.struct(F.lit(each).alias("each"), F.lit(whole).alias("whole")))))
+    marked = rows.withColumn("_cap", F.try_element_at(capped, F.col(section)))
+    most, total = max(each for each, _ in caps.values()), max(whole for _, whole in caps.values())
+    free, own = marked.where("_cap is null").select(*rows.columns), marked.where("_cap is not null")
+    best = own.withColumn("_nth", F.row_number().over(Window.partitionBy(section, source).orderBy(*value)))
+    base = best.where((F.col("_nth") <= most) & (F.col("_nth") <= F.col("_cap.each")))
+    base = base.withColumn("_place", F.row_number().over(Window.partitionBy(section).orderBy(*rank))).where((F.col("_place") <= total) & (F.col("_place") <= F.col("_cap.whole")))
+    n = base.groupBy(section).agg(F.count("*").alias("_n"))  # as many rows as there are capped sections
+    late = best.where((F.col("_nth") > F.col("_cap.each")) & (F.col(score) >= exempt))
+    late = late.withColumn("_late", F.row_number().over(Window.partitionBy(section).orderBy(F.desc(score), *value))).where(F.col("_late") <= total + extra)
+    late = late.join(F.broadcast(n), section).where(F.col("_late") <= F.col("_cap.whole") + extra - F.col("_n"))
+    return free.unionByName(base.select(*rows.columns)).unionByName(late.select(*rows.columns))
+
+
 def _numbered(rows: DataFrame) -> DataFrame:
     """rows with _copy, the number of a row among those that equal it in all columns, so that every row can be named."""
     return rows.withColumn("_copy", F.row_number().over(Window.partitionBy(*rows.columns).orderBy(F.lit(0))))

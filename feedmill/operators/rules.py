@@ -92,3 +92,18 @@ def drop_blocked(rows: DataFrame, key: str, issues: DataFrame) -> DataFrame:
 def first_of_each(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return rows.withColumn("_place", place).where("_place = 1").drop("_place")
+
+
+def purity(rows: DataFrame, section: Column, locale: str, home: str, words: Sequence[str], text: Column, key: str, rule: str = "purity") -> DataFrame:
+    """Rows of a section of a place: blocked if their locale is another or null, warned of if their text names none of its words."""
+    own = rows.where(F.coalesce(section, F.lit(False)))
+    away = ~F.coalesce(F.col(locale) == home, F.lit(False))
+    level = F.when(away, "block").when(~lexicon.hits(F.coalesce(text, F.lit("")), words), "warn")
+    found = own.select(F.lit(rule).alias("rule"), level.alias("level"), F.col(key).cast("string").alias("key"), F.when(away, F.col(locale)).cast("string").alias("detail"))
+    return found.where("level is not null")
+
+
+def untranslated(rows: DataFrame, column: str, key: str, letters: int = 3, most: int = 4, rule: str = "untranslated", level: str = "warn") -> DataFrame:
+    """Rows of `most` or more runs of so many Latin letters."""
+    runs = F.size(F.regexp_extract_all(F.coalesce(F.col(column), F.lit("")), F.lit(f"[A-Za-z]{{{letters},}}"), F.lit(0)))
+    return _issues(rows.where(runs >= most), rule, level, key, runs)

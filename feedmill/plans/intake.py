@@ -9,7 +9,14 @@ from feedmill.plans.registry import query
 from feedmill.storage import new_path
 from feedmill.streaming import lookup
 
-_LEVELS = [F.col("o_totalprice") > 450_000, (F.col("o_orderstatus") == "O") & (F.col("o_totalprice") > 300_000), F.col("o_orderstatus") == "O", F.col("o_orderkey") % 2 == 0]
+
+
+def _levels():
+    """Conditions from strict to lax."""
+    price, unshipped = F.col("o_totalprice"), F.col("o_orderstatus") == "O"
+    return [price > 450_000, unshipped & (price > 300_000), unshipped, F.col("o_orderkey") % 2 == 0]
+
+
 _LEVEL = "CASE WHEN o_totalprice > 450000 THEN 0 WHEN o_orderstatus = 'O' AND o_totalprice > 300000 THEN 1 WHEN o_orderstatus = 'O' THEN 2 WHEN o_orderkey % 2 = 0 THEN 3 END"
 
 
@@ -18,7 +25,7 @@ WITH l AS (SELECT o_custkey % 50 AS team, o_orderkey, o_totalprice, {_LEVEL} AS
 SELECT team, o_orderkey, level FROM l WHERE level IS NOT NULL QUALIFY row_number() OVER (PARTITION BY team ORDER BY level, o_totalprice DESC, o_orderkey) <= 25""")
 def relaxed_pool(t):
     rows = t.orders.withColumn("team", F.col("o_custkey") % 50)
-    return relax.relaxed(rows, _LEVELS, ["team"], [F.desc("o_totalprice"), "o_orderkey"], 25).select("team", "o_orderkey", "level")
+    return relax.relaxed(rows, _levels(), ["team"], [F.desc("o_totalprice"), "o_orderkey"], 25).select("team", "o_orderkey", "level")
 
 
 @query(f"""
@@ -26,7 +33,7 @@ WITH l AS (SELECT o_custkey % 50 AS team, o_orderkey, {_LEVEL} AS level FROM ord
 b AS (SELECT team, level, coalesce(sum(n) OVER (PARTITION BY team ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n)
 SELECT l.team, o_orderkey, l.level FROM l JOIN b ON l.team = b.team AND l.level = b.level WHERE before < 20""")
 def relaxed_levels(t):
-    return relax.relaxed_levels(t.orders.withColumn("team", F.col("o_custkey") % 50), _LEVELS, ["team"], 20).select("team", "o_orderkey", "level")
+    return relax.relaxed_levels(t.orders.withColumn("team", F.col("o_custkey") % 50), _levels(), ["team"], 20).select("team", "o_orderkey", "level")
 
 
 #: Fields of an event's properties.

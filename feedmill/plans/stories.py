@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedmill.functions import market, text
-from feedmill.operators import dedupe, memory
+from feedmill.operators import dedupe, memory, ranking, rules
 from feedmill.plans.registry import query
 
 #: Words of parts that stand in for companies, markets and shares.
@@ -59,3 +59,22 @@ def memory_brief(t):
     events = t.orders.groupBy(F.col("o_custkey").alias("event"), F.col("o_orderpriority").alias("channel")).agg(F.max(F.to_date("o_orderdate")).alias("last_day"), F.array_sort(F.collect_set("o_orderstatus")).alias("used"))
     angles = F.array(F.lit("F"), F.lit("P"), F.lit("O"))
     return memory.brief(events, F.lit("2001-07-20").cast("date"), "channel", ["event"], angles, "used", 30, 8).select("channel", "event", "age", "angle")
+
+
+@query(r"""
+WITH p AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents)
+SELECT 'purity' AS rule, CASE WHEN lang IS DISTINCT FROM 'en' THEN 'block' ELSE 'warn' END AS level, CAST(doc_id AS VARCHAR) AS key, CASE WHEN lang IS DISTINCT FROM 'en' THEN lang END AS detail FROM p WHERE source IN ('src1', 'src2') AND (lang IS DISTINCT FROM 'en' OR NOT regexp_matches(t, '(?i)that the|tion of'))
+UNION ALL SELECT 'untranslated', 'warn', CAST(doc_id AS VARCHAR), CAST(len(regexp_extract_all(t, '[A-Za-z]{12,}')) AS VARCHAR) FROM p WHERE len(regexp_extract_all(t, '[A-Za-z]{12,}')) >= 9""")
+def issue_checks(t):
+    pure = rules.purity(t.documents, F.col("source").isin("src1", "src2"), "lang", "en", ["that the", "tion of"], F.col("text"), "doc_id")
+    return pure.unionByName(rules.untranslated(t.documents, "text", "doc_id", 12, 9))
+
+
+@query("""
+WITH r AS (SELECT o_orderkey, o_orderstatus AS section, o_custkey % 40 AS source, o_totalprice AS value, o_orderkey % 100 AS score FROM orders), c AS (SELECT *, CASE section WHEN 'F' THEN 4 WHEN 'O' THEN 3 END AS each, CASE section WHEN 'F' THEN 60 WHEN 'O' THEN 110 END AS whole FROM r),
+b AS (SELECT *, row_number() OVER (PARTITION BY section, source ORDER BY value DESC, o_orderkey) AS nth FROM c WHERE each IS NOT NULL), s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY o_orderkey) AS place FROM b WHERE nth <= each) WHERE place <= whole),
+n AS (SELECT section, count(*) AS n FROM s GROUP BY section), l AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY score DESC, value DESC, o_orderkey) AS late FROM b WHERE nth > each AND score >= 90)
+SELECT o_orderkey FROM c WHERE each IS NULL UNION ALL SELECT o_orderkey FROM s UNION ALL SELECT o_orderkey FROM l JOIN n USING (section) WHERE late <= whole + 5 - n""")
+def display_caps(t):
+    rows = t.orders.select("o_orderkey", F.col("o_orderstatus").alias("section"), (F.col("o_custkey") % 40).alias("source"), F.col("o_totalprice").alias("value"), (F.col("o_orderkey") % 100).alias("score"))
+    return ranking.display_caps(rows, "section", "source", [F.desc("value"), "o_orderkey"], "score", ["o_orderkey"], {"F": (4, 60), "O": (3, 110)}, 90, 5).select("o_orderkey")

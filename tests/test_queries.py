@@ -44,3 +44,10 @@ def test_query_agrees_with_its_sql(spark, con, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], check=True, cwd=__spark_entry__.__file__.rpartition("/")[0])
