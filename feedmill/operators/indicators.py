@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,96 +27,75 @@ def last_ema(values: Column, period: int) -> Column:
     return F.when(F.size(values) >= period, F.aggregate(rest, seed, lambda a, x: a + (x - a) * (2.0 / (period + 1))))
 
 
-def ema(rows: DataFrame, period: int) -> DataFrame:
-    """symbol, d, close, ema of each row with `period` values up to it. A series streams through one task with one number of state."""
+class Smooth:
+    """An exponential mean that goes on from batch to batch: the mean of the first n values, then so much of the way to each next one."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        symbol, n, value = None, 0, 0.0
-        for pdf in parts:
-            out = []
-            for name, close in zip(pdf["symbol"], pdf["close"], strict=True):
-                if name != symbol:
-                    symbol, n, value = name, 0, 0.0
-                n += 1
-                value += close / period if n <= period else (close - value) * 2.0 / (period + 1)
-                out.append(value if n >= period else None)
-            pdf["ema"] = pd.Series(out, dtype="float64", index=pdf.index)
-            yield pdf[pdf["ema"].notna()]
+    def __init__(self, n: int, way: float):
+        self.n, self.way, self.seen, self.value = n, way, 0, 0.0
 
-    dealt = rows.select(F.col("symbol").cast("string"), "d", F.col("close").cast("double")).repartition("symbol").sortWithinPartitions("symbol", "d")
-    return dealt.mapInPandas(run, "symbol string, d date, close double, ema double")
+    def push(self, x: np.ndarray) -> np.ndarray:
+        """The mean at each of the next values, nan before the n-th; a whole run at once."""
+        out, first = np.full(len(x), np.nan), min(max(self.n - self.seen, 0), len(x))
+        self.value += x[:first].sum() / self.n
+        self.seen += len(x)
+        if first and self.seen >= self.n:
+            out[first - 1] = self.value
+        if first < len(x):
+            out[first:] = pd.Series(np.concatenate(([self.value], x[first:]))).ewm(alpha=self.way, adjust=False).mean().to_numpy()[1:]
+            self.value = out[-1]
+        return out
 
 
-def _wilder(period: int):
+def _by_run(rows: DataFrame, start: Callable[[], dict], step: Callable[[dict, np.ndarray], dict[str, np.ndarray]], names: tuple[str, ...]) -> DataFrame:
+    """symbol, d, close and names of the rows where the last of them is known: series come sorted, each as runs of arrays with a state that goes on; a task holds a batch. Rows without a close are left out."""
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by symbol and day, all of a symbol in one partition; the state goes on from batch to batch."""
-        state: dict = {"symbol": None}
+        symbol, state = None, start()
         for pdf in parts:
-            out = []
-            for symbol, close in zip(pdf["symbol"], pdf["close"], strict=True):
-                if symbol != state["symbol"]:
-                    state = {"symbol": symbol, "last": close, "n": 0, "gain": 0.0, "loss": 0.0}
-                    out.append(None)
-                    continue
-                diff, state["last"] = close - state["last"], close
-                up, down = max(diff, 0.0), max(-diff, 0.0)
-                state["n"] += 1
-                if state["n"] <= period:
-                    state["gain"] += up / period
-                    state["loss"] += down / period
-                else:
-                    state["gain"] = (state["gain"] * (period - 1) + up) / period
-                    state["loss"] = (state["loss"] * (period - 1) + down) / period
-                out.append(None if state["n"] < period else 100 - 100 / (1 + state["gain"] / (state["loss"] or 1e-10)))
-            pdf["rsi"] = pd.Series(out, dtype="float64", index=pdf.index)
-            yield pdf[pdf["rsi"].notna()]
-
-    return run
-
+            named, close = pdf["symbol"].to_numpy(dtype=object), pdf["close"].to_numpy(dtype=float)
+            made = {name: np.full(len(pdf), np.nan) for name in names}
+            starts = np.flatnonzero(np.concatenate(([True], named[1:] != named[:-1]))) if len(pdf) else []
+            for low, high in zip(starts, [*starts[1:], len(pdf)], strict=True):
+                if named[low] != symbol:
+                    symbol, state = named[low], start()
+                for name, values in step(state, close[low:high]).items():
+                    made[name][low:high] = values
+            out = pdf.assign(**made)
+            yield out[out[names[-1]].notna()]
 
-def rsi(rows: DataFrame, period: int = 14) -> DataFrame:
-    """symbol, d, close, rsi (Wilder) where `period` changes lie behind. A series streams through one task with three numbers of state."""
-    dealt = rows.select(F.col("symbol").cast("string"), "d", F.col("close").cast("double")).repartition("symbol").sortWithinPartitions("symbol", "d")
-    return dealt.mapInPandas(_wilder(period), "symbol string, d date, close double, rsi double")
+    dealt = rows.select(F.col("symbol").cast("string"), "d", F.col("close").cast("double")).where("close is not null").repartition("symbol").sortWithinPartitions("symbol", "d")
+    return dealt.mapInPandas(run, "symbol string, d date, close double" + "".join(f", {name} double" for name in names))
 
 
-def _smoothed(periods: tuple[int, int, int]):
-    fast, slow, signal = periods
+def ema(rows: DataFrame, period: int) -> DataFrame:
+    """symbol, d, close, ema of each row with `period` values up to it. A series streams through one task with one number of state."""
+    return _by_run(rows, lambda: {"mean": Smooth(period, 2.0 / (period + 1))}, lambda state, x: {"ema": state["mean"].push(x)}, ("ema",))
 
-    class Mean:
-        def __init__(self, n: int):
-            self.n, self.seen, self.value = n, 0, 0.0
 
-        def push(self, x: float) -> float | None:
-            self.seen += 1
-            if self.seen <= self.n:
-                self.value += x / self.n
-                return self.value if self.seen == self.n else None
-            self.value += (x - self.value) * 2.0 / (self.n + 1)
-            return self.value
+def rsi(rows: DataFrame, period: int = 14) -> DataFrame:
+    """symbol, d, close, rsi (Wilder) where `period` changes lie behind. A series streams through one task with three numbers of state."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        symbol, a, b, c = None, None, None, None
-        for pdf in parts:
-            out = []
-            for name, close in zip(pdf["symbol"], pdf["close"], strict=True):
-                if name != symbol or a is None:
-                    symbol, a, b, c = name, Mean(fast), Mean(slow), Mean(signal)
-                x, y = a.push(close), b.push(close)
-                line = x - y if x is not None and y is not None else None
-                out.append((line, c.push(line) if line is not None else None))
-            pdf["macd"] = pd.Series([m for m, _ in out], dtype="float64", index=pdf.index)
-            pdf["signal"] = pd.Series([s for _, s in out], dtype="float64", index=pdf.index)
-            pdf["histogram"] = pdf["macd"] - pdf["signal"]
-            yield pdf[pdf["signal"].notna()]
+    def step(state: dict, x: np.ndarray) -> dict[str, np.ndarray]:
+        before = np.concatenate((x[:1] if state["last"] is None else [state["last"]], x[:-1]))
+        changes, skip = x - before, int(state["last"] is None)
+        state["last"], out = x[-1], np.full(len(x), np.nan)
+        gain, loss = state["gain"].push(np.maximum(changes[skip:], 0)), state["loss"].push(np.maximum(-changes[skip:], 0))
+        out[skip:] = 100 - 100 / (1 + gain / np.where(loss == 0, 1e-10, loss))
+        return {"rsi": out}
 
-    return run
+    return _by_run(rows, lambda: {"last": None, "gain": Smooth(period, 1 / period), "loss": Smooth(period, 1 / period)}, step, ("rsi",))
 
 
 def macd(rows: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """symbol, d, close, macd, signal, histogram where all three are defined."""
-    dealt = rows.select(F.col("symbol").cast("string"), "d", F.col("close").cast("double")).repartition("symbol").sortWithinPartitions("symbol", "d")
-    return dealt.mapInPandas(_smoothed((fast, slow, signal)), "symbol string, d date, close double, macd double, signal double, histogram double")
+
+    def step(state: dict, x: np.ndarray) -> dict[str, np.ndarray]:
+        line, mean = state["fast"].push(x) - state["slow"].push(x), np.full(len(x), np.nan)
+        told = ~np.isnan(line)
+        mean[told] = state["signal"].push(line[told])
+        return {"macd": line, "signal": mean, "histogram": line - mean}
+
+    return _by_run(rows, lambda: {name: Smooth(n, 2.0 / (n + 1)) for name, n in (("fast", fast), ("slow", slow), ("signal", signal))}, step, ("macd", "signal", "histogram"))
 
 
 def crosses(rows: DataFrame, fast: str, slow: str, symbol: str = "symbol", d: str = "d") -> DataFrame:
