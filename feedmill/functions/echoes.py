@@ -58,12 +58,13 @@ class SuffixAutomaton:
         return start, best
 
 
-# Signs that are no content, signs of numbers, what may stand before a cut, what may stand after one.
-BLANK = re.compile(r"[\s，。！？、；：「」『』（）()【】\[\]·—\-_\"'~～…]")
-NUMBERISH = re.compile(r"[0-9零一二三四五六七八九十百千万亿点成,.%]")
-PEEL = "，。；、"
-OBJECT_TAIL = re.compile(r"(为|把|将|对|向|从|围绕|随着|按|依据|通过|基于)$")
-SUBJECT_HEAD = re.compile(r"^(在|也|都|就|将|会|能|要|正|持续|同步|跟着|同时|以及|并|而|且|进一步|有所|得以|正在|依然|仍然)")
+# Signs that are no content, characters of numbers, words that need an object behind them, words that need a subject before them, particles that may not follow a cut.
+SIGNS = "，。！？、；：「」『』（）()【】[]·—-_\"'~～…"
+NUMBERISH = set("0123456789零一二三四五六七八九十百千万亿点成,.%")
+WANTS_OBJECT = tuple("为 把 将 对 向 从 围绕 随着 按 依据 通过 基于".split())
+WANTS_SUBJECT = tuple("在 也 都 就 将 会 能 要 正 持续 同步 跟着 同时 以及 并 而 且 进一步 有所 得以 正在 依然 仍然".split())
+PARTICLES = "的 了 是 等 与 和 及".split()
+COMMAS, STOPS, PEEL = "，,、；;", "。！？", "，。；、"
 
 
 @dataclass(frozen=True)
@@ -82,26 +83,44 @@ RESULT = "text string, removed_chars long, removed_sentences long, trimmed_sente
 
 def _content(text: str) -> tuple[str, list[int]]:
     """Characters of content and their places."""
-    places = [i for i, c in enumerate(text) if not BLANK.match(c)]
+    places = [i for i, c in enumerate(text) if not c.isspace() and c not in SIGNS]
     return "".join([text[i] for i in places]), places
 
 
 def _tidy(text: str) -> str:
-    """No signs left hanging by a cut."""
-    for pattern, made in ((r"[，,、；;]{2,}", "，"), (r"[，,、；;]\s*(的|了|是|等|与|和|及)", "，"), (r"[，,、；;]+([。！？])", r"\1"), (r"([。！？])[，,、；;]+", r"\1"), (r"^[，,、；;]+", ""), (r"\s{2,}", " ")):
-        text = re.sub(pattern, made, text)
-    return text.strip()
+    """No sign left hanging by a cut: commas that meet become one, those beside a stop or at the start go, and so does a particle right behind one."""
+    out: list[str] = []
+    at = 0
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end] in COMMAS:
+            end += 1
+        if end == at:
+            out.append(text[at])
+            at += 1
+            continue
+        after = end
+        while after < len(text) and text[after].isspace():
+            after += 1
+        particle = next((p for p in PARTICLES if text.startswith(p, after)), "")
+        if not out or out[-1] in STOPS or (end < len(text) and text[end] in STOPS):
+            at = end
+        elif particle:
+            out.append("，")
+            at = after + len(particle)
+        else:
+            out.append(text[at] if end == at + 1 else "，")
+            at = end
+    return re.sub(r"\s{2,}", " ", "".join(out)).strip()
 
 
 def _safe(raw: str, start: int, end: int, peel: str) -> bool:
     """Whether a sentence stays one without that part: cut at signs, no preposition left without its object, no verb without its subject."""
-    after = raw[end:].lstrip()
-    if (start > 0 and raw[start - 1] not in peel) or (after and after[0] not in peel):
-        return False
-    if OBJECT_TAIL.search(re.sub(r"[\s，。；、！？]+$", "", raw[:start])):
+    before, after = raw[:start], raw[end:].lstrip()
+    if (before and before[-1] not in peel) or (after and after[0] not in peel):
         return False
-    after = re.sub(r"^[，。；、！？]+", "", after)
-    return not (after and SUBJECT_HEAD.match(after))
+    edge = COMMAS + STOPS
+    return not before.rstrip(edge + " \t\n\r　").endswith(WANTS_OBJECT) and not after.lstrip(edge).startswith(WANTS_SUBJECT)
 
 
 def pruned(text: str | None, told: str | None, style: Style = Style()) -> tuple:  # noqa: B008
@@ -124,7 +143,7 @@ def pruned(text: str | None, told: str | None, style: Style = Style()) -> tuple:
             continue
         echo, start, end = content[at : at + size], places[at], places[at + size - 1] + 1
         if not (size / len(content) >= style.ratio and len(content) - size < style.rest):
-            if (at and NUMBERISH.match(content[at - 1])) or (at + size < len(content) and NUMBERISH.match(content[at + size])):
+            if (at and content[at - 1] in NUMBERISH) or (at + size < len(content) and content[at + size] in NUMBERISH):
                 numeric += 1
                 kept.append(raw)
                 continue
