@@ -56,6 +56,30 @@ def aspects(line: Column, lead: str = "^.*?：", ends: str = "[；;]") -> Column
     return F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(line, F.lit("")), lead, ""), ends), lambda p: F.trim(p)), lambda p: p != "")
 
 
+def clip(value: Column, most: int = 90, end: str = "…") -> Column:
+    """A text with white space made one, cut after so many characters; null is empty."""
+    return bound(F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), r"\s+", " ")), lambda t: F.when(F.length(t) > most, F.concat(F.substring(t, 1, most), F.lit(end))).otherwise(t))
+
+
+def _pairs_of(value: Column) -> Column:
+    """Neighbouring letters and digits of a text, in order, with repeats."""
+    chars = F.filter(F.split(F.regexp_replace(F.coalesce(value, F.lit("")), NOT_WORD, ""), ""), lambda c: c != "")
+    return bound(chars, lambda c: F.transform(F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0))), lambda x, i: F.concat(x, F.get(c, i + 1))))
+
+
+def uncovered(topics: Column, spoken: Column, least: int = 3, ends: str = "[。；;]") -> Column:
+    """Those of an array of topics of which no clause of a text holds `least` pairs of neighbouring letters or more; none if the text is empty. Topics without letters are covered."""
+
+    def left(x: Column) -> Column:
+        heard = lambda own: F.exists(x["clauses"], lambda c: F.size(F.filter(own, lambda p: F.array_contains(c, p))) >= least)
+        each = F.transform(F.coalesce(topics, F.array().cast("array<string>")), lambda t: F.struct(F.trim(t).alias("topic"), _pairs_of(t).alias("pairs"), (F.regexp_replace(t, NOT_WORD, "") != "").alias("told")))
+        return F.transform(F.filter(each, lambda e: e["told"] & ~heard(e["pairs"])), lambda e: e["topic"])
+
+    clauses = F.transform(F.filter(F.split(F.coalesce(spoken, F.lit("")), ends), lambda c: F.regexp_replace(c, NOT_WORD, "") != ""), _pairs_of)
+    said = F.trim(F.coalesce(spoken, F.lit(""))) != ""
+    return F.when(said, bound(F.struct(clauses.alias("clauses")), left)).otherwise(F.array().cast("array<string>"))
+
+
 def most_repeated(a: Column, b: Column) -> Column:
     """Struct of score, a and b: the two parts of two arrays of texts that are most alike by Jaccard of their bigrams, the first of equals; null if either is empty."""
 

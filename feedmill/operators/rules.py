@@ -107,3 +107,12 @@ def untranslated(rows: DataFrame, column: str, key: str, letters: int = 3, most:
     """Rows of `most` or more runs of so many Latin letters."""
     runs = F.size(F.regexp_extract_all(F.coalesce(F.col(column), F.lit("")), F.lit(f"[A-Za-z]{{{letters},}}"), F.lit(0)))
     return _issues(rows.where(runs >= most), rule, level, key, runs)
+
+
+def time_wording(rows: DataFrame, text: str, when: str, key: str, today: str = "今天", words: Sequence[str] = ("今天", "今日"), rule: str = "time wording", level: str = "warn") -> DataFrame:
+    """Rows whose text speaks of today though their own day, where it is stated, doesn't begin with today's name."""
+    other = F.coalesce(~F.col(when).startswith(today) & (F.col(when) != ""), F.lit(False))
+    said = F.lit(False)
+    for word in words:
+        said = said | F.coalesce(F.contains(F.col(text), F.lit(word)), F.lit(False))
+    return _issues(rows.where(other & said), rule, level, key, F.col(when))

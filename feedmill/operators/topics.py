@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedmill.functions import text
+
 
 def dedupe_items(items: DataFrame) -> DataFrame:
     """One row of each id from (id, date, section, tags, title, summary, importance): earliest date, all tags and dates, fields of the most informative version, repeats."""
@@ -16,6 +18,16 @@ def dedupe_items(items: DataFrame) -> DataFrame:
     )
 
 
+def slim(items: DataFrame, most: int = 90) -> DataFrame:
+    """id, date, section, title, source, importance, tags, summary of issue items (id, date, section, title_cn, title_orig, source, importance, tags, summary): what a search over issues keeps.
+
+    The translated title counts, else the original; summaries are clipped; null importance is 1; empty tags go. Rows without an id are left out.
+    """
+    tags = F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda t: t.isNotNull() & (t != ""))
+    title = F.coalesce(F.nullif("title_cn", F.lit("")), "title_orig", F.lit(""))
+    return items.where("id is not null and id <> ''").select("id", "date", "section", title.alias("title"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("importance", F.lit(1)).alias("importance"), tags.alias("tags"), text.clip(F.col("summary"), most).alias("summary"))
+
+
 def tag_frequency(nodes: DataFrame) -> DataFrame:
     """tag, n (items), n_section (items in its commonest section), n_all (items in all)."""
     by_section = nodes.select(F.explode("tags").alias("tag"), "section").groupBy("tag", "section").agg(F.count("*").alias("n"))

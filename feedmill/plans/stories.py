@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedmill.functions import market, text
-from feedmill.operators import dedupe, memory, ranking, rules
+from feedmill.operators import dedupe, memory, ranking, rules, topics
 from feedmill.plans.registry import query
 
 #: Words of parts that stand in for companies, markets and shares.
@@ -78,3 +78,33 @@ SELECT o_orderkey FROM c WHERE each IS NULL UNION ALL SELECT o_orderkey FROM s U
 def display_caps(t):
     rows = t.orders.select("o_orderkey", F.col("o_orderstatus").alias("section"), (F.col("o_custkey") % 40).alias("source"), F.col("o_totalprice").alias("value"), (F.col("o_orderkey") % 100).alias("score"))
     return ranking.display_caps(rows, "section", "source", [F.desc("value"), "o_orderkey"], "score", ["o_orderkey"], {"F": (4, 60), "O": (3, 110)}, 90, 5).select("o_orderkey")
+
+
+_PAIRS = r"list_transform(range(1, length({0})), lambda i: substr({0}, i, 2))"
+_LETTERS = r"regexp_replace({0}, '[^\p{{L}}\p{{N}}]+', '', 'g')"
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey AS k, [p_name, p_type, p_brand, '#'] AS topics, p_name || '; ' || p_type || ' and ' || p_brand || ';' AS line, CASE p_size % 3 WHEN 0 THEN 'hot day' WHEN 1 THEN 'cold day' END AS day FROM part), j AS (SELECT x.k, x.topics, y.line FROM p x JOIN p y ON x.k = y.k + 1),
+u AS (SELECT k, unnest(topics) AS topic, list_transform(list_filter(string_split(line, ';'), lambda c: {_LETTERS.format('c')} <> ''), lambda c: {_LETTERS.format('c')}) AS clauses FROM j),
+l AS (SELECT k, topic FROM u WHERE {_LETTERS.format('topic')} <> '' AND len(list_filter(clauses, lambda c: len(list_filter({_PAIRS.format(_LETTERS.format('topic'))}, lambda g: list_contains({_PAIRS.format('c')}, g))) >= 3)) = 0)
+SELECT 'uncovered' AS rule, CAST(k AS VARCHAR) AS key, string_agg(topic, ',' ORDER BY topic) AS detail FROM l GROUP BY k UNION ALL SELECT 'time wording', CAST(k AS VARCHAR), day FROM p WHERE day = 'cold day' AND contains(line, 'hot')""")
+def hero_audits(t):
+    line = F.concat("p_name", F.lit("; "), "p_type", F.lit(" and "), "p_brand", F.lit(";"))
+    rows = t.part.select("p_partkey", F.array("p_name", "p_type", "p_brand", F.lit("#")).alias("topics"), line.alias("line"), F.when(F.col("p_size") % 3 == 0, "hot day").when(F.col("p_size") % 3 == 1, "cold day").alias("day"))
+    before = rows.select((F.col("p_partkey") + 1).alias("p_partkey"), F.col("line").alias("spoken"))
+    left = rows.join(before, "p_partkey").select(F.col("p_partkey").cast("string").alias("key"), F.array_sort(text.uncovered(F.col("topics"), F.col("spoken"))).alias("left")).where(F.size("left") > 0)
+    found = left.select(F.lit("uncovered").alias("rule"), "key", F.array_join("left", ",").alias("detail"))
+    return found.unionByName(rules.time_wording(rows, "line", "day", "p_partkey", "hot", ("hot",)).select("rule", "key", "detail"))
+
+
+@query(r"""
+SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN lang = 'en' THEN coalesce(source, '') ELSE lang END AS title, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE doc_id % 3 END AS importance, lang AS tags,
+  CASE WHEN length(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) > 90 THEN left(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), 90) || '…' ELSE trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) END AS summary FROM documents WHERE doc_id % 7 > 0""")
+def slim_items(t):
+    d = t.documents
+    items = d.select(
+        F.when(F.col("doc_id") % 7 > 0, F.col("doc_id").cast("string")).otherwise("").alias("id"), F.lit("2024-01-01").cast("date").alias("date"), F.col("source").alias("section"), F.when(F.col("lang") == "en", "").otherwise(F.col("lang")).alias("title_cn"), F.col("source").alias("title_orig"), "source",
+        F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 3).alias("importance"), F.array(F.lit(""), "lang", F.lit(None).cast("string")).alias("tags"), F.col("text").alias("summary"),
+    )
+    return topics.slim(items).select("id", "title", "importance", F.array_join("tags", ",").alias("tags"), "summary")
