@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 import json
 import urllib.error
-import urllib.parse
+import urllib.request
 from collections.abc import Iterable, Iterator
 from dataclasses import asdict
 
@@ -41,6 +41,22 @@ def page_content(url: str) -> str | None:
     return "".join(parts)
 
 
+def page_exists(url: str) -> bool:
+    """Whether a page is there, without its content where the place can tell."""
+    if not url.startswith(("http://", "https://")):
+        store, path = fs.FileSystem.from_uri(url)
+        return store.get_file_info(path).type != fs.FileType.NotFound
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, method="HEAD"), timeout=30):
+            return True
+    except urllib.error.HTTPError as wrong:
+        if wrong.code in (404, 410):
+            return False
+    except OSError:
+        pass
+    return page_content(url) is not None  # a place that knows no HEAD, or an error that may pass
+
+
 class Page(InputPartition):
     """A source, and the page that is to be read of it; 0 stands for all, from the first."""
 
@@ -56,9 +72,11 @@ class _Sources:
         self.rules = {x["layout"]: x for x in json.loads(options["layouts"])} if "layouts" in options else {x.layout: asdict(x) for x in SITES}
         self.max_pages, self.stale_pages = int(options.get("maxpages", options.get("max_pages", 20))), int(options.get("stalepages", options.get("stale_pages", 2)))
 
+    def link(self, source: dict, page: int) -> str:
+        return source["first"] if page == 1 and "first" in source else source["url"].replace("{page}", str(page))
+
     def content(self, source: dict, page: int) -> str | None:
-        link = source["first"] if page == 1 and "first" in source else source["url"].replace("{page}", str(page))
-        return page_content(link)
+        return page_content(self.link(source, page))
 
     def rows(self, source: dict, page: int, html: str) -> list[tuple]:
         return [(source["id"], page, *item) for item in items(html, self.rules[source["layout"]])]
@@ -136,7 +154,7 @@ class ArchiveReader(_Sources, DataSourceStreamReader):
         out = {}
         for source in self.sources:
             first = page = self._planned().get(source["id"], 1)
-            while page < first + self.max_pages and self.content(source, page) is not None:
+            while page < first + self.max_pages and page_exists(self.link(source, page)):
                 page += 1
             out[source["id"]] = page
         return out
