@@ -131,16 +131,19 @@ def pruned(text: str | None, told: str | None, style: Style = Style()) -> tuple:
     text, told = (text or "").strip(), (told or "").strip()
     if not text or not told:
         return text, 0, 0, 0, 0, 0, []
-    known = SuffixAutomaton(_content(told)[0])
+    other = _content(told)[0]
+    runs = {other[i : i + style.span] for i in range(len(other) - style.span + 1)}  # a sentence without one of these has no echo, and most have none
+    known = None
     kept, echoes, chars, gone, trimmed, numeric, struct = [], [], 0, 0, 0, 0, 0
     for raw in re.split(rf"(?<=[{re.escape(style.ends)}])", text):
         if not raw.strip():
             continue
         content, places = _content(raw)
-        at, size = known.longest_in(content) if len(content) >= style.span else (0, 0)
-        if size < style.span:
+        if not any(content[i : i + style.span] in runs for i in range(len(content) - style.span + 1)):
             kept.append(raw)
             continue
+        known = known or SuffixAutomaton(other)
+        at, size = known.longest_in(content)
         echo, start, end = content[at : at + size], places[at], places[at + size - 1] + 1
         if not (size / len(content) >= style.ratio and len(content) - size < style.rest):
             if (at and content[at - 1] in NUMBERISH) or (at + size < len(content) and content[at + size] in NUMBERISH):
