@@ -40,7 +40,10 @@ def known_language(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """One document of each group of near copies stays, that with the least doc_id, and one row of it; rows without an id stay."""
+    """One document of each group of near copies stays, that with the least doc_id, and one row of it; rows without an id stay.
+
+    SimHash fingerprints name the first candidates, shared rare shingles those that fingerprints miss; all are compared exactly.
+    """
     groups = common.written(simhash.similar_groups(docs), "groups")
     kept = _without(docs, groups.where("doc_id <> component_id").select("doc_id"))
     twice = common.written(groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from feedmill.llm.common import ascii_words, components, held_alone, in_pieces, local_roots, small_batches, written
 
 SEED = 42
+#: Words of a shingle of a fingerprint, and bits in which linked fingerprints differ at most.
+SHINGLE, RADIUS = 3, 2
 #: Fingerprints under one lowest node of the index, and children under each node above.
 LEAF, FANOUT = 8, 8
 #: For similar_groups: candidates of a document compared at once, rows of a group that one task compares, ids that may be broadcast (8 bytes each).
@@ -55,7 +57,7 @@ def fingerprint(hashes: np.ndarray) -> int:
     return _majority(hashes) if len(hashes) else 0
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) of every row; a null text counts as empty."""
 
     small_batches(docs.sparkSession)
@@ -152,7 +154,7 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(own[far]), pa.array(own[root[far]])], ["u", "v"])
 
 
-def links(prints: DataFrame, radius: int = 2) -> DataFrame:
+def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (u, v) between distinct fingerprints (fp) that connect whatever differs in at most radius bits.
 
     Pigeonhole routing: the 64 bits fall into radius + 2 blocks, so two fingerprints within the radius agree
@@ -170,7 +172,7 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     return split.repartition("key", "low", "high").mapInArrow(lambda batches: _links(batches, radius), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable by links of <= radius bits).
 
     Null and empty texts have fingerprint zero and link like any other. Fingerprints are the vertices of the
@@ -187,7 +189,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
 
 
 def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """uid (of the row), doc_id, digest, size, hashes (ascending, 8 bytes each) of the set of shingles of each (doc_id, text)."""
+    """uid (of the row), doc_id, fp (the SimHash fingerprint), digest, size, hashes (ascending, 8 bytes each) of the set of shingles of each (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_alone()
@@ -195,14 +197,15 @@ def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
+                fps = np.fromiter((fingerprint(shingle_hashes(t.as_py(), SHINGLE)) for t in part.column(1)), np.uint64, part.num_rows)
                 found = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in part.column(1)]
                 raw = [x.tobytes() for x in found]
                 digest = [hashlib.blake2b(x, digest_size=16).digest() for x in raw]
                 sizes = pa.array([len(x) for x in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(raw))), part.column(0), pa.array(digest, pa.binary()), sizes, pa.array(raw, pa.binary())], ["uid", "doc_id", "digest", "size", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(raw))), part.column(0), pa.array(fps.view(np.int64)), pa.array(digest, pa.binary()), sizes, pa.array(raw, pa.binary())], ["uid", "doc_id", "fp", "digest", "size", "hashes"])
                 uid += len(raw)
 
-    return docs.mapInArrow(run, "uid long, doc_id long, digest binary, size long, hashes binary")
+    return docs.mapInArrow(run, "uid long, doc_id long, fp long, digest binary, size long, hashes binary")
 
 
 def _dealt(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
@@ -285,10 +288,10 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
 
 
-def similar_forest(sets: list[np.ndarray], side: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
+def similar_forest(sets: list[np.ndarray], side: np.ndarray | None, similarity: float, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs that link whatever sets (not empty) have that Jaccard similarity or more, each computed exactly, none within what others link.
 
-    side: where given, only pairs of different sides count. Sets that share none of their rarest shingles, by
+    side: where given, only pairs of different sides count. known: class of each set by the links that are there already. Sets that share none of their rarest shingles, by
     their frequency among these sets, can't be similar. What is already linked needs no further comparison.
     """
     size = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -303,7 +306,8 @@ def similar_forest(sets: list[np.ndarray], side: np.ndarray | None, similarity:
     by_token = np.argsort(token, kind="stable")  # documents of a token ascend
     posts = doc[by_token]
     lists = np.searchsorted(token[by_token], np.arange(len(count) + 1))
-    marked, label, out = np.zeros(len(count), bool), np.arange(len(sets)), []
+    label = np.arange(len(sets)) if known is None else np.unique(known, return_inverse=True)[1]
+    marked, out = np.zeros(len(count), bool), []
     for x in range(len(sets)):
         own = token[start[x] : start[x + 1]]
         rest = np.unique(posts[_spread(lists[own], lists[own + 1] - lists[own])])
@@ -332,7 +336,7 @@ def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.
     if not got:
         return
     whole = pa.Table.from_batches(got)
-    uid, piece, low, high, bucket = (whole[c].to_numpy() for c in ("uid", "piece", "low", "high", "bucket"))
+    uid, known, piece, low, high, bucket = (whole[c].to_numpy() for c in ("uid", "known", "piece", "low", "high", "bucket"))
     sets = whole["hashes"].to_pylist()
     order = np.lexsort((uid, high, low, bucket))
     named = np.stack([x[order] for x in (bucket, low, high)])
@@ -340,19 +344,53 @@ def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.
     for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
         at = order[a:b]
         if len(at) > 1:
-            found = similar_forest([np.frombuffer(sets[i], np.uint64) for i in at], piece[at] if low[at[0]] != high[at[0]] else None, similarity)
+            found = similar_forest([np.frombuffer(sets[i], np.uint64) for i in at], piece[at] if low[at[0]] != high[at[0]] else None, similarity, known[at])
             if found:
                 u, v = at[np.array(found)].T
                 yield pa.RecordBatch.from_arrays([pa.array(uid[u]), pa.array(uid[v])], ["u", "v"])
 
 
+def _compared(once: DataFrame, buckets: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) of similar sets within the buckets (uid, known, bucket) that connect all those of different known classes there."""
+    few = buckets.count() <= BROADCAST_IDS
+    held = once.select("uid", "size", "hashes").join(F.broadcast(buckets) if few else buckets, "uid")
+    hot = written(held.groupBy("bucket").agg(F.greatest(F.count("*"), F.ceil(F.sum("size") / ROW)).alias("size")).where(F.col("size") > 2 * PIECE), "hot")
+    split = in_pieces(held.drop("size"), hot, ["bucket"], "uid", PIECE).select("uid", "known", "bucket", "piece", "low", "high", "hashes")
+    return split.repartition("bucket", "low", "high").mapInArrow(lambda b: _alike(b, similarity), "u long, v long")
+
+
+def _near_prints(once: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) of similar sets among those whose fingerprints are connected by links of RADIUS bits at most."""
+    prints = written(once.where("size > 0").select("uid", "fp"), "prints")
+    found = components(links(prints.select("fp").distinct()))
+    named = prints.join(found, prints.fp == found.id, "left").select("uid", F.col("uid").alias("known"), F.coalesce("component_id", "fp").alias("bucket"))
+    named = written(named, "named")
+    buckets = named.join(named.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket", "left_semi")
+    return _compared(once, written(buckets.select("uid", "known", "bucket"), "near"), similarity)
+
+
+def _rare_shared(once: DataFrame, linked: DataFrame, shingles: int, similarity: float) -> DataFrame:
+    """Links (u, v) that connect all similar sets which linked (id, component_id) does not connect, however far apart their fingerprints are."""
+    parts = max(1, math.ceil(shingles / COUNTED))
+    dealt = once.select("uid", "hashes").mapInArrow(lambda b: _dealt(b, parts), "part long, uids binary, sizes binary, runs binary, low binary")
+    shared = dealt.repartition(parts, "part").mapInArrow(_shared, "uid long, size long, key long, n long")
+    rare = written(shared.repartition(parts, "uid").mapInArrow(lambda b: _prefixes(b, similarity), "uid long, key long"), "rare")
+    lead = rare.groupBy("key").agg(F.min("uid").alias("v"), F.count("*").alias("n")).where("n > 1")
+    near = components(rare.join(lead, "key").select(F.col("uid").alias("u"), "v")).select(F.col("id").alias("uid"), F.col("component_id").alias("bucket"))
+    near = written(near.join(linked, near.uid == linked.id, "left").select("uid", F.coalesce("component_id", "uid").alias("known"), "bucket"), "near")
+    open_ = near.groupBy("bucket").agg((F.min("known") < F.max("known")).alias("open")).where("open").select("bucket")
+    return _compared(once, written(near.join(open_, "bucket", "left_semi").select("uid", "known", "bucket"), "open"), similarity)
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id of every row with an id: groups linked by word shingles of that Jaccard similarity or more.
 
-    Exact at every size: equal sets of shingles are one vertex; shingles are counted over all vertices, and two
-    sets can only be similar if they share one of the rarest of each, so many that no similar pair escapes. What
-    such shared shingles connect is compared in one task, or in pairs of pieces if it is large, set by set; a
-    forest of the similar pairs comes out.
+    SimHash comes first: documents whose fingerprints the search of near_duplicates() connects are compared by their
+    sets of shingles, so that none goes by its fingerprint alone. Similar texts often differ in more bits than that
+    search takes in, so an exact way for the rest follows, for pairs that are not linked yet: shingles are counted
+    over all documents, and two sets can only be similar if they share one of the rarest of each, so many that no
+    similar pair escapes. Candidates of either way are compared in one task, or in pairs of pieces if they are many,
+    set by set; a forest of the similar pairs comes out. Equal sets are one vertex. Exact at every size.
 
     Null and empty texts are one group. Repeated rows of an id repeat; rows without an id are left out.
     Other columns are ignored.
@@ -363,17 +401,10 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     first = written(sets.groupBy("digest").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("rep")), "first")
     copies = written(sets.select("uid").join(first, "uid", "left_anti"), "copies")
     once = sets.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "uid", "left_anti")
-    parts = max(1, math.ceil((sets.agg(F.sum("size")).first()[0] or 0) / COUNTED))
-    dealt = once.select("uid", "hashes").mapInArrow(lambda b: _dealt(b, parts), "part long, uids binary, sizes binary, runs binary, low binary")
-    shared = dealt.repartition(parts, "part").mapInArrow(_shared, "uid long, size long, key long, n long")
-    rare = written(shared.repartition(parts, "uid").mapInArrow(lambda b: _prefixes(b, similarity), "uid long, key long"), "rare")
-    lead = rare.groupBy("key").agg(F.min("uid").alias("v"), F.count("*").alias("n")).where("n > 1")
-    near = written(components(rare.join(lead, "key").select(F.col("uid").alias("u"), "v")).select(F.col("id").alias("uid"), F.col("component_id").alias("bucket")), "near")
-    few = near.count() <= BROADCAST_IDS
-    held = once.join(F.broadcast(near) if few else near, "uid").select("uid", "bucket", "size", "hashes")
-    hot = written(held.groupBy("bucket").agg(F.greatest(F.count("*"), F.ceil(F.sum("size") / ROW)).alias("size")).where(F.col("size") > 2 * PIECE), "hot")
-    split = in_pieces(held.drop("size"), hot, ["bucket"], "uid", PIECE).select("uid", "bucket", "piece", "low", "high", "hashes")
-    found = components(split.repartition("bucket", "low", "high").mapInArrow(lambda b: _alike(b, similarity), "u long, v long"))
+    near = written(_near_prints(once, similarity), "alike")
+    linked = written(components(near), "linked")
+    rest = _rare_shared(once, linked, sets.agg(F.sum("size")).first()[0] or 0, similarity)
+    found = components(near.unionByName(rest))
     named = written(first.join(found, first.uid == found.id, "left").select("digest", "rep", F.coalesce("component_id", "uid").alias("vertex")), "named")
     least = named.groupBy("vertex").agg(F.min("rep").alias("component_id"))
     return sets.select("doc_id", "digest").join(named.join(least, "vertex").select("digest", "component_id"), "digest").select("doc_id", "component_id")

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from feedmill.llm import common, neardup_embeddings, simhash
 
@@ -153,6 +154,32 @@ def test_similar_groups_lose_none_of_many_documents(spark):
     assert groups_of(spark, rows) == want
 
 
+def test_fingerprints_link_near_copies_and_sets_confirm_them(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [[f"v{rng.randrange(10**6)}" for _ in range(900)] for _ in range(12)]
+    texts = [" ".join(words) for words in base] + [" ".join([*words[:-1], "edited"]) for words in base]
+    line = "this one line of eleven words stands fifty times in both "
+    texts += [line * 50 + " ".join(base[0][:60]), line * 50 + " ".join(base[1][:60])]
+    rows = list(enumerate(texts))
+    fps = [simhash.fingerprint(simhash.shingle_hashes(t, 3)) for t in texts]
+    near = [(a, b) for b in range(len(fps)) for a in range(b) if (fps[a] ^ fps[b]).bit_count() <= 2]
+    assert (24, 25) in near and len(near) > 6
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    want = brute_components(list(range(len(texts))), [(a, b) for a, b in near if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    assert want[25] == 25
+    whole = brute_groups(rows)
+    assert groups_of(spark, rows) == whole
+    monkeypatch.setattr(simhash, "_rare_shared", lambda once, *_: once.select(F.col("uid").alias("u"), F.col("uid").alias("v")))  # no way for the rest
+    assert groups_of(spark, rows) == want
+
+
+def test_what_fingerprints_linked_is_not_compared_again():
+    sets = [np.arange(100, dtype=np.uint64) + k for k in range(4)]
+    assert len(simhash.similar_forest(sets, None, 0.8)) == 3
+    assert len(simhash.similar_forest(sets, None, 0.8, np.array([7, 7, 9, 9]))) == 1
+    assert simhash.similar_forest(sets, None, 0.8, np.array([7, 7, 7, 7])) == []
+
+
 def test_local_roots():
     assert common.local_roots(6, np.array([5, 3, 4]), np.array([4, 2, 1])).tolist() == [0, 1, 2, 2, 1, 1]
 
