@@ -41,25 +41,37 @@ class Transducer:
 
     A sequence of tokens is the encoding of its bytes just if every two neighbours are the encoding of theirs,
     so a nondeterministic machine guesses token ends and checks each new token against the one before.
-    A state here is the set of its live guesses, each with the tokens it has not yet shared with the others;
-    what all share goes out at once, no later than the longest token after its end. Transitions are made
-    when they are first needed and kept.
+    A state here is the set of its live guesses, each a last token and a node in the tree of all tokens' bytes;
+    guesses that no longer token goes on with are dropped. What a state puts out is the token that ends the
+    encoding of the bytes so far, and going back from token to token gives the whole encoding. Transitions are
+    made when they are first needed and kept.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes = {v: k for k, v in ranks.items()}
-        self.prefixes = {t[:n] for t in ranks for n in range(1, len(t) + 1)}
+        self.size = {v: len(k) for k, v in ranks.items()}
+        self.below: dict[int, int] = {}  # by node and next byte
+        self.token, self.grows = [-1], [True]
+        for raw, token in ranks.items():
+            node = 0
+            for byte in raw:
+                self.grows[node] = True
+                if (after := self.below.get(node << 8 | byte)) is None:
+                    after = self.below[node << 8 | byte] = len(self.token)
+                    self.token.append(-1)
+                    self.grows.append(False)
+                node = after
+            self.token[node] = token
         self.spines: dict[int, tuple[list, list]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.clear()
 
     def clear(self) -> None:
-        start = ((), -1, b"")
-        self.states: list[tuple] = [(start,)]
+        self.states: list[tuple] = [(-1, 0)]  # last token and node of each guess, by the place where the guess begins
         self.number = {self.states[0]: 0}
-        self.moves: list[dict[int, tuple[int, tuple]]] = [{}]
-        self.ends: list[tuple] = [()]
+        self.moves: dict[int, int] = {}  # by state and next byte
+        self.ends: list[int] = [-1]
         self.spare, self.missed = 0, 0
 
     def _spine(self, token: int) -> tuple[list, list]:
@@ -86,49 +98,53 @@ class Transducer:
 
     def joins(self, one: int, two: int) -> bool:
         """Whether merging leaves the boundary between the two tokens alone: no part that ends one and no part that begins two merge while both still stand."""
-        if (one, two) not in self.pairs:
-            right = self._spine(one)[1] if one >= 0 else []
-            left = self._spine(two)[0]
-            fit = bool(left) and not any((r := self.ranks.get(a + b)) is not None and r < up_a and r <= up_b for a, up_a in right for b, up_b in left)
-            if len(self.pairs) > PAIRS:
-                self.pairs.clear()
-                self.spines.clear()
-            self.pairs[one, two] = fit
-        return self.pairs[one, two]
-
-    def _move(self, state: int, byte: int) -> tuple[int, tuple]:
-        after, whole, tail, prefixes, ranks = [], None, bytes((byte,)), self.prefixes, self.ranks
-        for held, last, part in self.states[state]:  # by the place where their last token begins, so equal sets have equal order
-            part += tail
-            if part in prefixes:
-                after.append((held, last, part))
-                if whole is None and (token := ranks.get(part)) is not None and self.joins(last, token):
-                    whole = (*held, token)  # just one guess can end here
-        sent = ()
-        if not after or after[0][0]:
-            sent = after[0][0] if after else whole
-            for held, _, _ in (*after[1:], (whole, 0, 0)):
-                while held[: len(sent)] != sent:
-                    sent = sent[:-1]
-            after = [(held[len(sent) :], last, part) for held, last, part in after]
-        after.append((whole[len(sent) :], whole[-1], b""))
-        key = tuple(after)
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
+            self.spines.clear()
+        fit = self.pairs[one << 32 | two] = self._fit(one, two)
+        return fit
+
+    def _fit(self, one: int, two: int) -> bool:
+        left = self._spine(two)[0]
+        if one < 0 or not left:
+            return bool(left)
+        get = self.ranks.get
+        for a, up_a in self._spine(one)[1]:
+            for b, up_b in left:
+                rank = get(a + b)
+                if rank is not None and rank < up_a and rank <= up_b:
+                    return False
+        return True
+
+    def _move(self, state: int, byte: int) -> int:
+        after, whole, guesses, below, pairs = [], -1, iter(self.states[state]), self.below, self.pairs
+        for last, node in zip(guesses, guesses, strict=True):  # by the place where their last token begins, so equal sets have equal order
+            node = below.get(node << 8 | byte)
+            if node is None:
+                continue
+            if self.grows[node]:
+                after += last, node
+            if whole < 0 and (token := self.token[node]) >= 0:
+                fit = pairs.get(last << 32 | token)
+                if self.joins(last, token) if fit is None else fit:
+                    whole = token  # just one guess can end here
+        key = (*after, whole, 0)
         number = self.number.get(key)
         if number is None:
             if len(self.states) >= STATES + 2:  # it takes the place of the last but one such state
                 self.spare, self.missed = 1 - self.spare, self.missed + 1
                 number = len(self.states) - 1 - self.spare
-                self.states[number], self.moves[number], self.ends[number] = key, {}, key[-1][0]
-                return number, sent
+                self.states[number], self.ends[number] = key, whole
+                return number
             number = len(self.states)
             self.states.append(key)
-            self.moves.append({})
-            self.ends.append(key[-1][0])
+            self.ends.append(whole)
             if number >= STATES:
-                return number, sent
+                return number
             self.number[key] = number
-        self.moves[state][byte] = number, sent
-        return number, sent
+        if state < STATES:
+            self.moves[state << 8 | byte] = number
+        return number
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one match of the pattern."""
@@ -137,13 +153,16 @@ class Transducer:
             return (whole,)
         if self.missed > MISSED:
             self.clear()
-        state, out, moves = 0, [], self.moves
+        state, found, moves, ends = 0, [], self.moves, self.ends
         for byte in piece:
-            state, sent = moves[state].get(byte) or self._move(state, byte)
-            if sent:
-                out += sent
-        out += self.ends[state]
-        return tuple(out)
+            state = moves.get(state << 8 | byte) or self._move(state, byte)  # none leads back to the first
+            found.append(ends[state])
+        out, at = [], len(found)
+        while at:
+            token = found[at - 1]
+            out.append(token)
+            at -= self.size[token]
+        return tuple(out[::-1])
 
 
 class Utf8Stream:
@@ -156,6 +175,7 @@ class Utf8Stream:
         self.tokens = tokens
         self.steps: dict[bytes, dict[int, tuple[bytes, bytes]]] = {b"": {}}
         self.kept = 0
+        self.alone = {token: raw for token, raw in tokens.items() if not self._open(raw)}  # tokens that begin no character which they don't end
 
     @staticmethod
     def _open(raw: bytes) -> int:
@@ -192,6 +212,29 @@ class Utf8Stream:
             yield held
 
 
+    def spans(self, ids: Iterable[int]) -> Iterator[bytes]:
+        """What feed() gives, a run of tokens of whole characters at a time."""
+        ids = list(ids)
+        whole = list(map(self.alone.get, ids))
+        at = 0
+        while at < len(ids):
+            try:
+                end = whole.index(None, at)
+            except ValueError:
+                end = len(ids)
+            if end > at:
+                yield b"".join(whole[at:end])
+            at = end
+            held = b""
+            while at < len(ids):
+                held, out = self.steps[held].get(ids[at]) or self._step(held, ids[at])
+                at += 1
+                yield out
+                if not held:
+                    break
+            yield held
+
+
 class Codec:
     """Encoder and decoder of one vocabulary, with the pieces it has met."""
 
@@ -200,11 +243,12 @@ class Codec:
         self.transducer = Transducer(ranks)
         self.stream = Utf8Stream(self.transducer.bytes)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, tuple[int, ...]] = {}  # those known when the last half of PIECES was full; what comes again stays
 
     def _piece(self, piece: str) -> tuple[int, ...]:
-        if len(self.known) > PIECES:
-            self.known.clear()
-        ids = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
+        if len(self.known) > PIECES // 2:
+            self.known, self.before = {}, self.known
+        ids = self.before.get(piece) or self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
         if len(piece) < 64:
             self.known[piece] = ids
         return ids
@@ -214,7 +258,7 @@ class Codec:
         return list(chain.from_iterable([get(p) or make(p) for p in self.split(text)]))
 
     def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(self.stream.feed(ids))
+        return b"".join(self.stream.spans(ids))
 
 
 def parse_ranks(raw: bytes) -> dict[bytes, int]:

@@ -40,6 +40,32 @@ def test_caches_start_anew_without_a_change(codec, monkeypatch):
         assert own.encode(text) == library.encode_ordinary(text)
 
 
+def test_pieces_that_come_again_are_encoded_once(codec, monkeypatch):
+    monkeypatch.setattr(bpe, "PIECES", 40)
+    own, library = bpe.Codec(codec[0].transducer.ranks, public_tokenizers.PATTERN), codec[1]
+    made, encode = [], own.transducer.encode
+    own.transducer.encode = lambda raw: made.append(raw) or encode(raw)
+    for n in range(300):
+        text = f" zzqxword unusual{'abcdefghij'[n % 10] * (n // 10 + 1)}x"
+        assert own.encode(text) == library.encode_ordinary(text)
+    assert made.count(b" zzqxword") == 1
+    assert len(own.known) + len(own.before) <= 44
+
+
+def test_states_hold_no_finished_guess(codec):
+    own = bpe.Transducer(codec[0].transducer.ranks)
+    for n in range(3000):
+        own.encode(f" re{n:b}thation".replace("0", "ing").replace("1", "able").encode())
+    assert all(own.grows[node] for state in own.states for node in state[1::2])
+
+
+def test_spans_of_tokens_are_what_the_stream_gives():
+    stream, rng = bpe.Utf8Stream({i: bytes([i]) for i in range(256)} | {256: "é".encode() + b"\xf0\x9f", 257: b"\x98\x80ab", 258: b"plain"}), random.Random(3)
+    for _ in range(2000):
+        ids = [rng.choice((65, 195, 169, 226, 130, 256, 257, 258, 258, 255)) for _ in range(rng.randint(0, 12))]
+        assert b"".join(stream.spans(ids)) == b"".join(stream.feed(ids)) == b"".join(stream.tokens[i] for i in ids)
+
+
 def test_stream_gives_whole_characters():
     stream = bpe.Utf8Stream({i: bytes([i]) for i in range(256)})
     for text in ("aé日😀z", "߿ࠀ￿"):
