@@ -57,6 +57,11 @@ def delta(previous_date: Column, progress: Column, stage_changed: Column) -> Col
     return F.when(previous_date.isNull(), "new").when((progress >= 0.35) | stage_changed, "changed").otherwise("followup")
 
 
+def ratio(part: Column, whole: Column) -> Column:
+    """part / whole in doubles as IEEE has it, where Spark raises an error: a zero divides to an infinity of part's sign, and zero to NaN, which is above all numbers."""
+    return F.when(whole == 0, part * F.pow(whole.cast("double"), F.lit(-1.0))).otherwise(part / F.nullif(whole, F.lit(0).cast("double")))
+
+
 def filter_samples(events: DataFrame, column: str, low: Column, high: Column, keep_unknown: bool = True) -> DataFrame:
     """events with the nested samples of a time range (bounds included, null bounds open); events left without any go."""
 

@@ -210,7 +210,7 @@ SELECT user_id, day, CASE WHEN before IS NULL THEN 'new' WHEN (top - old) / top
 def deltas(t):
     w = Window.partitionBy("user_id").orderBy("day")
     rows = t.events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.max("value").alias("top")).withColumn("before", F.lag("day").over(w)).withColumn("old", F.lag("top").over(w))
-    return rows.select("user_id", "day", memory.delta(F.col("before"), (F.col("top") - F.col("old")) / F.col("top"), F.dayofmonth("day") % 7 == 0).alias("delta"))
+    return rows.select("user_id", "day", memory.delta(F.col("before"), memory.ratio(F.col("top") - F.col("old"), F.col("top")), F.dayofmonth("day") % 7 == 0).alias("delta"))
 
 
 @query("""
