@@ -28,9 +28,9 @@ _ONE = "regexp_replace({0}, 'bolt|nut', 'bolt', 'g')"
 _SAME = f"(len(list_intersect({{0}}, {{1}})) >= 2 AND len({_SUBJECTS.format('list_intersect({0}, {1})')}) >= 1)"
 
 
-def _titles(t):
+def _titles(t, *more):
     title = F.concat_ws(" ", "p_name", "p_brand", (F.col("p_size") % 7).cast("string"), F.lit("years"))
-    return t.part.select(F.col("p_partkey").alias("id"), title.alias("title"), F.concat_ws(" ", "p_type", "p_name", (F.col("p_size") % 3).cast("string"), F.lit("percent")).alias("body"))
+    return t.part.select(F.col("p_partkey").alias("id"), title.alias("title"), F.concat_ws(" ", "p_type", "p_name", (F.col("p_size") % 3).cast("string"), F.lit("percent")).alias("body"), *more)
 
 
 @query(f"""
@@ -131,9 +131,10 @@ h AS (SELECT *, greatest(aj, td, CASE WHEN aj >= 0.3 THEN cov ELSE 0 END) AS har
 s AS (SELECT id, event_id, CASE WHEN same THEN 1.0 WHEN hard >= 0.5 THEN greatest(hard, 0.51) WHEN hard >= 0.3 AND ((sj >= 1 AND st >= 1) OR st >= 2) THEN 0.5 ELSE greatest(hard, CASE WHEN st >= 2 THEN 0.35 ELSE 0 END) END AS similarity FROM h)
 SELECT id, event_id, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.5 QUALIFY row_number() OVER (PARTITION BY id ORDER BY similarity DESC, event_id) = 1""")
 def find_matching_event(t):
-    c = _titles(t).select("id", "title", F.concat(F.lit("u"), F.col("id") % 97).alias("url"), events.fingerprint(F.col("title"), PARTS).alias("anchors"), events.themes(F.col("title"), PARTS).alias("tags"))
-    first = c.join(t.part.select(F.col("p_partkey").alias("id"), "p_size"), "id").groupBy("p_size").agg(F.min_by(F.struct("title", "url", "anchors", "tags"), "id").alias("x"))
-    out = identity.best_match(c, first.select(F.concat(F.lit("e"), F.col("p_size")).alias("event_id"), "x.*"), PARTS)
+    rows = _titles(t, "p_size").withColumn("url", F.concat(F.lit("u"), F.col("id") % 97))
+    first = rows.groupBy("p_size").agg(F.min_by(F.struct("title", "url"), "id").alias("x")).select(F.concat(F.lit("e"), F.col("p_size")).alias("event_id"), "x.*")
+    made = lambda f: f.withColumns({"anchors": events.fingerprint(F.col("title"), PARTS), "tags": events.themes(F.col("title"), PARTS)})
+    out = identity.best_match(made(rows.select("id", "title", "url")), made(first), PARTS)
     return out.select("id", "event_id", F.round("similarity", 6).alias("similarity"))
 
 

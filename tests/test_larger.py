@@ -7,6 +7,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from feedmill.operators import identity
+from feedmill.plans.identity import PARTS
 from feedmill.plans.queries import ORACLE_SQL, QUERIES
 
 
@@ -23,7 +25,27 @@ def agrees(spark, folder, name, **tables):
     assert sorted(map(repr, map(tuple, found.collect()))) == sorted(repr(tuple(r[i] for i in order)) for r in rel.fetchall())
 
 
+def plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
 def test_days_whose_highest_value_is_zero(spark, tmp_path):
     at = lambda day: datetime.datetime(2024, 1, day, 12)
     rows = [(1, at(1), 5.0), (1, at(2), 0.0), (1, at(3), 0.0), (1, at(4), 3.0), (2, at(1), -1.0), (2, at(2), 0.0), (2, at(3), None), (3, at(6), 0.0), (3, at(7), 0.0)]
     agrees(spark, tmp_path, "deltas", events=spark.createDataFrame(rows, "user_id long, ts timestamp_ntz, value double"))
+
+
+def stored(frame, path):
+    """frame as a table on disk, by whose files Spark judges what it may broadcast."""
+    frame.write.parquet(str(path))
+    return frame.sparkSession.read.parquet(str(path))
+
+
+def test_matches_of_events_broadcast_no_sets_of_pieces(spark, tmp_path):
+    shape = "title string, url string, anchors array<string>, tags array<string>"
+    rows = [("small bolt of 5 years", "u1", ["bolt", "#5years"], ["x"]), ("small bolt of 5 years", "u2", ["bolt", "#5years"], ["x"]), (None, "u2", [], []), ("plate", "", ["plate"], []), (None, None, [], [])]
+    told = [("e3", "small bolt of 5 years", "", ["#5years", "bolt"], ["x"]), ("e2", "another", "u2", ["rod"], []), ("e4", "", "u2", [], []), ("e5", None, None, [], [])]
+    candidates = stored(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"id long, {shape}"), tmp_path / "candidates")
+    out = identity.best_match(candidates, stored(spark.createDataFrame(told, f"event_id string, {shape}"), tmp_path / "told"), PARTS)
+    assert "Broadcast" not in plan(out)
+    assert {r.id: (r.event_id, r.similarity) for r in out.collect()} == {0: ("e3", 1.0), 1: ("e2", 1.0), 2: ("e2", 1.0)}
