@@ -80,12 +80,17 @@ r AS (SELECT id, told, fresh, 0.45::DOUBLE * CASE WHEN len(nf) = 0 THEN 0 ELSE l
 v AS (SELECT id, len(fresh) AS k, greatest(0, least(1, raw * (1 - CASE WHEN told > 0.6 THEN least((told - 0.6::DOUBLE) / 0.4::DOUBLE, 1) * 0.45::DOUBLE ELSE 0 END))) AS novel FROM r)
 SELECT id, round(novel, 6) AS novelty, novel >= 0.25 AND (id % 11 = 0 OR (id % 2 = 0 AND id % 100 >= 80) OR (id % 3 = 0 AND k > 0)) AS breaks FROM v""")
 def event_novelty(t):
-    rows = _titles(t).withColumn("facts", events.candidate_facts(F.col("title"), F.col("body"), PARTS)).withColumn("grams", text.title_bigrams(F.concat_ws(" ", "title", "body")))
-    old = rows.select((F.col("id") + 1).alias("id"), F.col("title").alias("old_title"), F.col("facts").alias("old_facts"), F.col("grams").alias("old_grams"))
-    both = rows.join(old, "id").withColumn("novel", events.novelty(F.col("facts"), F.col("old_facts"), F.col("grams"), F.col("old_grams"), events.title_dice(F.col("title"), F.col("old_title")), PARTS))
+    rows = _titles(t)
+    old = rows.select((F.col("id") + 1).alias("id"), F.col("title").alias("old_title"), F.col("body").alias("old_body"))
+    both = rows.join(old.hint("merge"), "id")  # texts are joined and their sets made after it; by the file's size Spark would broadcast them
+    for at in ("", "old_"):
+        title, body = F.col(f"{at}title"), F.col(f"{at}body")
+        both = both.withColumns({f"{at}facts": events.candidate_facts(title, body, PARTS), f"{at}grams": text.title_bigrams(F.concat_ws(" ", title, body))})
+    both = both.withColumn("novel", events.novelty(F.col("facts"), F.col("old_facts"), F.col("grams"), F.col("old_grams"), events.title_dice(F.col("title"), F.col("old_title")), PARTS))
     tier, section = F.when(F.col("id") % 2 == 0, "must_read"), F.when(F.col("id") % 3 == 0, "risk").otherwise("other")
     breaks = events.can_break_cooldown(F.col("novel"), F.col("id") % 11 == 0, tier, F.col("id") % 100, section, F.size(F.array_except("facts", "old_facts")))
-    return both.select("id", F.round("novel", 6).alias("novelty"), breaks.alias("breaks"))
+    novelty = F.round(F.col("novel") * 1e6) / 1e6  # in binary, as SQL rounds: by its decimal digits 0.5103125 would go up
+    return both.select("id", novelty.alias("novelty"), breaks.alias("breaks"))
 
 
 _GREEDY = f"""

@@ -49,3 +49,8 @@ def test_matches_of_events_broadcast_no_sets_of_pieces(spark, tmp_path):
     out = identity.best_match(candidates, stored(spark.createDataFrame(told, f"event_id string, {shape}"), tmp_path / "told"), PARTS)
     assert "Broadcast" not in plan(out)
     assert {r.id: (r.event_id, r.similarity) for r in out.collect()} == {0: ("e3", 1.0), 1: ("e2", 1.0), 2: ("e2", 1.0)}
+
+
+def test_novelty_joins_texts_without_a_broadcast(spark):
+    found = plan(QUERIES["event_novelty"](spark, "/root/testdata/sf0.001"))
+    assert "SortMergeJoin" in found and "Broadcast" not in found
