@@ -116,3 +116,16 @@ def test_pages_of_few_hosts_take_seconds(spark, tmp_path, name):
     began = time.time()
     QUERIES[name](spark, str(tmp_path)).write.format("noop").mode("overwrite").save()
     assert time.time() - began < 60  # the join over pieces took more than that
+
+
+def test_names_of_many_suppliers_take_seconds(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(i, f"Supplier#{i:09d}", rng.randint(0, 24)) for i in range(40_000)]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    began = time.time()
+    got = {(int(r.key), int(r.detail)) for r in QUERIES["alike_names"](spark, str(tmp_path)).collect()}
+    assert time.time() - began < 60  # the join over pieces took more than that
+    sets = [pieces(f"{name}{nation}") for _, name, nation in rows]
+    assert all(jaccard(sets[u], sets[v]) > 0.85 for u, v in rng.sample(sorted(got), 500))
+    for u in rng.sample(range(len(rows)), 20):
+        assert {v for v in range(len(rows)) if v != u and jaccard(sets[u], sets[v]) > 0.85} == {b if a == u else a for a, b in got if u in (a, b)}
